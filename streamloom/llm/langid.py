@@ -8,7 +8,9 @@ dictionary gives the fewest bytes wins.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 import zstandard
@@ -21,10 +23,17 @@ from streamloom.llm.common import map_arrow, slices
 SAMPLE_ROWS, SAMPLE_CHARS, DICT_BYTES = 400, 2000, 96 << 10
 #: Texts are encoded in blocks of this many bytes, each against the plain dictionary.
 BLOCK_BYTES = 4096
-#: Least (second - best) / second for a sure decision.
-MIN_MARGIN = 0.002
+#: Least (second - best) / second for a sure decision, asked only of texts with some evidence:
+#: the few bytes of a very short text tie too easily to reject it for that.
+MIN_MARGIN, MIN_LETTERS = 0.002, 64
 LEVEL = 3
 LETTER = re.compile(r"[^\W\d_]")
+OTHER = re.compile(r"[\W\d_]+")
+
+
+def plain(text: str) -> str:
+    """Lower-case letters; everything between words is one space."""
+    return OTHER.sub(" ", text.lower())
 
 
 def held_out(doc_id: F.Column) -> F.Column:
@@ -44,13 +53,36 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     picks = rows_.select("doc_id", "lang", rank.alias("rank")).where(F.col("rank") <= rows)
     sample = rows_.join(F.broadcast(picks.select("doc_id", "lang")), ["doc_id", "lang"], "left_semi")
-    found: dict[str, dict[str, int]] = {}
-    for r in sample.select("lang", "doc_id", F.substring("text", 1, chars).alias("text")).collect():
-        text = r.text.lower()
-        if LETTER.search(text):
-            found.setdefault(r.lang, {})[text] = r.doc_id
-    # Zstandard finds the dictionary's end with the shortest offsets; the order is fixed by the text.
-    return {k: "\n".join(sorted(v)).encode()[-dict_bytes:] for k, v in sorted(found.items())}
+    found: dict[str, set[str]] = {}
+    for r in sample.select("lang", F.substring("text", 1, chars).alias("text")).collect():
+        found.setdefault(r.lang, set()).update(filter(LETTER.search, map(plain, r.text.split("\n"))))
+    return _dictionaries(_own_lines(found, dict_bytes), dict_bytes)
+
+
+def _dictionaries(lines: dict[str, set[str]], dict_bytes: int) -> dict[str, bytes]:
+    """The lines of each language in the order of their checksums, so any cut is a fair sample."""
+    return {k: " ".join(sorted(v, key=lambda x: (zlib.crc32(x.encode()), x))).encode()[-dict_bytes:] for k, v in sorted(lines.items()) if v}
+
+
+def _own_lines(found: dict[str, set[str]], dict_bytes: int) -> dict[str, set[str]]:
+    """Lines that dictionaries made without them also take for their language.
+
+    Texts quote passages of other languages; each half of the lines is judged
+    by the other half, and what doesn't fit goes.  A language that would lose
+    all its lines keeps them.
+    """
+    half = [{k: {x for x in v if zlib.crc32(x.encode()) % 2 == h} for k, v in found.items()} for h in (0, 1)]
+    kept: dict[str, set[str]] = {k: set() for k in found}
+    for h in (0, 1):
+        judge = Model(_dictionaries(half[1 - h], dict_bytes))
+        for lang, lines in half[h].items():
+            kept[lang] |= {x for x in lines if judge.predict(x)[0] == lang}
+    return {k: v or found[k] for k, v in kept.items()}
+
+
+def enough(text: str) -> bool:
+    """Whether a text has ``MIN_LETTERS`` letters; stops at the last one needed."""
+    return next(islice(LETTER.finditer(text), MIN_LETTERS - 1, None), None) is not None
 
 
 class Model:
@@ -65,7 +97,7 @@ class Model:
             self.coders.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False))
 
     def sizes(self, text: str) -> list[int]:
-        raw = text.lower().encode()
+        raw = plain(text).encode()
         blocks = [raw[i : i + BLOCK_BYTES] for i in range(0, len(raw), BLOCK_BYTES)]
         return [sum(len(c.compress(b)) for b in blocks) for c in self.coders]
 
@@ -85,7 +117,8 @@ def classify(docs: DataFrame, dicts: dict[str, bytes], id_col: str = "doc_id", t
 
     Without ``keep`` only the id goes along.  Null or empty text and text
     without a letter: ``und``, score 0, rejected.  A tie goes to the first
-    language by name and is rejected, as its margin is 0.  Repeated rows each
+    language by name; it has the narrowest margin, 0, and is rejected if the
+    text has ``MIN_LETTERS`` letters.  Repeated rows each
     get their row; input columns named like the new ones are replaced.
     """
     new = ("lang_pred", "score", "rejected")
@@ -96,9 +129,10 @@ def classify(docs: DataFrame, dicts: dict[str, bytes], id_col: str = "doc_id", t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(dicts)
         for b in slices(batches):
-            out = [model.predict(t) for t in b.column(at).to_pylist()]
+            texts = b.column(at).to_pylist()
+            out = [model.predict(t) for t in texts]
             cols = [pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64()),
-                    pa.array([x[0] == "und" or x[1] < min_margin for x in out], pa.bool_())]
+                    pa.array([x[0] == "und" or x[1] < min_margin and enough(t) for x, t in zip(out, texts, strict=True)], pa.bool_())]
             kept = [(n, b.column(i)) for i, n in enumerate(own) if keep or n != text_col]
             yield pa.RecordBatch.from_arrays([c for _, c in kept] + cols, names=[n for n, _ in kept] + list(new))
 
