@@ -50,8 +50,12 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     """
     rows_ = labelled.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows_ = rows_.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    picks = rows_.select("doc_id", "lang", rank.alias("rank")).where(F.col("rank") <= rows)
+    # Only ids whose hash is under about four times the share needed are ranked, so ranking doesn't grow.
+    share = rows_.groupBy("lang").agg((F.lit(4.0 * rows) / F.count("*")).alias("share"))
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    near = rows_.select("doc_id", "lang").join(F.broadcast(share), "lang").where(part < F.col("share"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)), "doc_id"))
+    picks = near.select("doc_id", "lang", rank.alias("rank")).where(F.col("rank") <= rows)
     sample = rows_.join(F.broadcast(picks.select("doc_id", "lang")), ["doc_id", "lang"], "left_semi")
     found: dict[str, set[str]] = {}
     for r in sample.select("lang", F.substring("text", 1, chars).alias("text")).collect():

@@ -7,14 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streamloom.llm import bpe, langid, media, sharding, token_counts
+from streamloom.llm import bpe, decontaminate, html_text, langid, media, sharding, token_counts
 from streamloom.llm.common import table
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents").select("doc_id"))
 
@@ -33,8 +41,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_counts, op5_sharding, op8_media_columns, op9_bpe, op10_language_id)}
+    return {f.__name__: f for f in (op1_html_text, op2_token_counts, op4_decontamination, op5_sharding, op8_media_columns, op9_bpe, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_sharding": sharding.oracle(sharding.shard_names(sharding.SHARDS))}
+    return {"op4_decontamination": decontaminate.ORACLE, "op5_sharding": sharding.oracle(sharding.shard_names(sharding.SHARDS))}
