@@ -14,7 +14,10 @@ import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,9 +73,113 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: With this Spark drops a query's shuffle files when it ends; what is written needs them no more.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and read it again."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Bytes of text that a pack gathers before it is closed; a longer text has a pack of its own.
+PACK_BYTES = 4 << 20
+
+
+def make_packs(docs: DataFrame, name: str, order_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(pack, data): whole rows, all columns, in groups ordered by ``order_col``, in the shared folder.
+
+    The table is written once, so its pack numbers hold for every later pass.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, seq, held, size = TaskContext.get().partitionId() << 32, 0, [], 0
+
+        def close() -> pa.RecordBatch:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            rows = rows.take(pc.sort_indices(rows, [(order_col, "ascending")])).combine_chunks()
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                w.write_table(rows)
+            return pa.RecordBatch.from_arrays([pa.array([first + seq], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["pack", "data"])
+
+        for b in slices(batches, limit=PACK_BYTES // 4):
+            held.append(b)
+            size += b.column(text_col).nbytes
+            if size >= PACK_BYTES:
+                yield close()
+                seq, held, size = seq + 1, [], 0
+        if held:
+            yield close()
+
+    return materialize(map_arrow(docs, run, "pack long, data binary"), name)
+
+
+def open_pack(data: bytes) -> pa.RecordBatch:
+    table = pa.ipc.open_stream(data).read_all().combine_chunks()
+    return table.to_batches()[0]
+
+
+def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a text column end to end, and the n + 1 offsets of its rows; nulls are empty."""
+    values = pc.fill_null(column, "").cast(pa.large_binary())
+    raw, offsets = values.buffers()[2], np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + len(values) + 1]
+    whole = np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8)
+    return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+#: Odd multipliers of the rolling hashes.
+BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def powers(n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of a base modulo 2**64, and of its inverse."""
+    if which not in _powers or len(_powers[which][0]) < n:
+        base = BASES[which]
+        size = max(n, 1 << 16)
+        out = []
+        for b in (base, pow(base, -1, 1 << 64)):
+            a = np.full(size, b, np.uint64)
+            a[0] = 1
+            out.append(np.multiply.accumulate(a))
+        _powers[which] = (out[0], out[1])
+    up, down = _powers[which]
+    return up[:n], down[:n]
+
+
+def mix(h: np.ndarray) -> np.ndarray:
+    """Spread the bits of 64-bit hashes; one to one."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def spans_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
+    """Hashes of ``values[s:e]`` of 64-bit values or bytes, mixed with the length."""
+    n = len(values)
+    up, down = powers(n + 1, which)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
+    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(BASES[1]))
+
+
+def pack_gaps(ordered: np.ndarray) -> bytes:
+    """Ascending integers as 16-bit gaps; 65535 is a step without an entry."""
+    gaps = np.diff(ordered.astype(np.int64), prepend=0)
+    steps = gaps // 65535
+    out = np.full(len(gaps) + int(steps.sum()), 65535, np.uint16)
+    out[np.cumsum(steps + 1) - 1] = gaps % 65535
+    return out.tobytes()
+
+
+def unpack_gaps(data: bytes) -> np.ndarray:
+    gaps = np.frombuffer(data, np.uint16)
+    return np.cumsum(gaps, dtype=np.int64)[gaps != 65535]
