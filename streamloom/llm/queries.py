@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streamloom.llm import bpe, decontaminate, html_text, langid, media, sharding, substring_dedup, token_counts
+from streamloom.llm import bpe, decontaminate, html_text, jaccard_join, langid, media, sharding, substring_dedup, token_counts
 from streamloom.llm.common import table
 
 
@@ -31,6 +31,10 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(table(spark, sf_dir, "documents"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest(table(spark, sf_dir, "documents"))
 
@@ -45,8 +49,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_text, op2_token_counts, op4_decontamination, op5_sharding, op6_substring_dedup, op8_media_columns, op9_bpe, op10_language_id)}
+    return {f.__name__: f for f in (op1_html_text, op2_token_counts, op4_decontamination, op5_sharding, op6_substring_dedup, op7_jaccard_join, op8_media_columns, op9_bpe, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontamination": decontaminate.ORACLE, "op6_substring_dedup": substring_dedup.ORACLE, "op5_sharding": sharding.oracle(sharding.shard_names(sharding.SHARDS))}
+    return {"op4_decontamination": decontaminate.ORACLE, "op6_substring_dedup": substring_dedup.ORACLE, "op7_jaccard_join": jaccard_join.ORACLE, "op5_sharding": sharding.oracle(sharding.shard_names(sharding.SHARDS))}
