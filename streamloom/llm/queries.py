@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streamloom.llm import bpe, decontaminate, html_text, jaccard_join, langid, media, sharding, substring_dedup, token_counts
+from streamloom.llm import bpe, decontaminate, html_text, jaccard_join, langid, media, sharding, substring_dedup, suffix_dedup, token_counts
 from streamloom.llm.common import table
 
 
@@ -19,6 +19,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -49,7 +53,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_text, op2_token_counts, op4_decontamination, op5_sharding, op6_substring_dedup, op7_jaccard_join, op8_media_columns, op9_bpe, op10_language_id)}
+    return {f.__name__: f for f in (op1_html_text, op2_token_counts, op3_suffix_dedup, op4_decontamination, op5_sharding, op6_substring_dedup, op7_jaccard_join, op8_media_columns, op9_bpe, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
