@@ -86,6 +86,8 @@ def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 PART = pa.schema([("part", pa.int64()), ("pack", pa.int64()), ("data", pa.binary())])
 ANSWER = pa.schema([("part", pa.int64()), ("pack", pa.int64()), ("data", pa.binary())])
 SCHEMA = "part long, pack long, data binary"
+#: First bytes of rows for reducers: to be solved, or an answer already.
+GLOBAL, LOCAL = b"\0", b"\1"
 
 
 def _sketch(packs: DataFrame, id_col: str, text_col: str, size: int, ranges: int) -> DataFrame:
@@ -141,7 +143,7 @@ def _repeated(w: Windows, answers: list[dict], ranges: int) -> np.ndarray:
 
 
 def _candidates(packs: DataFrame, id_col: str, text_col: str, size: int, ranges: int) -> DataFrame:
-    """Rows for the exact grouping, and with part -1 the windows that an earlier one of the same pack removes."""
+    """Rows for the exact grouping; LOCAL ones have the windows that an earlier one of the same pack removes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for pack, data, answers in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
@@ -157,27 +159,41 @@ def _candidates(packs: DataFrame, id_col: str, text_col: str, size: int, ranges:
                 same = np.append(False, key[order][1:] == key[order][:-1])
                 rows = []
                 if same.any():
-                    rows.append((-1, pack, np.sort(at[order[same]]).astype(np.uint32).tobytes()))
+                    rows.append((pack % ranges, pack, LOCAL + np.sort(at[order[same]]).astype(np.uint32).tobytes()))
                 first = order[~same]
                 part = (key["a"][first] % np.uint64(ranges)).astype(np.int64)
                 for k, own in _parts(np.argsort(part, kind="stable"), part):
                     i = first[own]
-                    rows.append((k, pack, b"".join([key["a"][i].tobytes(), key["b"][i].tobytes(), w.ids[w.doc[at[i]]].tobytes(), at[i].astype(np.uint32).tobytes()])))
+                    rows.append((k, pack, b"".join([GLOBAL, key["a"][i].tobytes(), key["b"][i].tobytes(), w.ids[w.doc[at[i]]].tobytes(), at[i].astype(np.uint32).tobytes()])))
                 yield _rows(rows, PART)
 
     return map_arrow(packs, run, SCHEMA)
 
 
+def local_answers(table: pa.Table) -> tuple[list[tuple], list[int], list[bytes]]:
+    """What packs have found out by themselves passes through; the other rows are left to solve."""
+    rows, packs, data = [], [], []
+    for p, d in zip(table.column("pack").to_pylist(), table.column("data").to_pylist(), strict=True):
+        if d[:1] == LOCAL:
+            rows.append((0, p, d[1:]))
+        else:
+            packs.append(p)
+            data.append(d)
+    return rows, packs, data
+
+
 def _first_only(table: pa.Table) -> pa.Table:
     """Of each exact group all entries but the first by document go back to their packs."""
-    packs, data = table.column("pack").to_pylist(), table.column("data").to_pylist()
+    rows, packs, data = local_answers(table)
+    if not packs:
+        return pa.Table.from_batches([_rows(rows, ANSWER)], schema=ANSWER)
     n = [len(d) // 28 for d in data]
-    a, b, ids, at = (np.concatenate([np.frombuffer(d, t, m, at_ * m) for d, m in zip(data, n, strict=True)]) for t, at_ in ((np.uint64, 0), (np.uint64, 8), (np.int64, 16), (np.uint32, 24)))
+    a, b, ids, at = (np.concatenate([np.frombuffer(d, t, m, 1 + at_ * m) for d, m in zip(data, n, strict=True)]) for t, at_ in ((np.uint64, 0), (np.uint64, 8), (np.int64, 16), (np.uint32, 24)))
     of = np.repeat(np.array(packs, np.int64), n)
     order = np.lexsort((of, ids, b, a))
     a, b = a[order], b[order]
     later = order[np.append(False, (a[1:] == a[:-1]) & (b[1:] == b[:-1]))]
-    rows = [(0, p, np.sort(at[own]).tobytes()) for p, own in _parts(later[np.argsort(of[later], kind="stable")], of)]
+    rows += [(0, p, np.sort(at[own]).tobytes()) for p, own in _parts(later[np.argsort(of[later], kind="stable")], of)]
     return pa.Table.from_batches([_rows(rows, ANSWER)] if rows else [], schema=ANSWER)
 
 
@@ -191,9 +207,8 @@ def removed_windows(packs: DataFrame, id_col: str, text_col: str, size: int = WI
     windows = map_arrow(packs, total, "n long").agg(F.sum("n")).first()[0] or 0
     ranges = max(1, -(-windows * CELLS_EACH >> RANGE_BITS))
     answers = materialize(_sketch(packs, id_col, text_col, size, ranges).groupBy("part").applyInArrow(_merge_sketches, SCHEMA), "sketch")
-    found = materialize(_candidates(_with_answers(packs, answers), id_col, text_col, size, ranges), "windows")
-    later = found.where("part >= 0").groupBy("part").applyInArrow(_first_only, SCHEMA)
-    return found.where("part < 0").unionByName(later)
+    found = _candidates(_with_answers(packs, answers), id_col, text_col, size, ranges)
+    return found.groupBy("part").applyInArrow(_first_only, SCHEMA)
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from streamloom.llm.common import make_packs, map_arrow, materialize, mix, open_pack, powers, spans_hash, text_bytes
-from streamloom.llm.substring_dedup import ANSWER, PART, SCHEMA, _parts, _rows, _with_answers
+from streamloom.llm.substring_dedup import ANSWER, GLOBAL, LOCAL, PART, SCHEMA, _parts, _rows, _with_answers, local_answers
 
 LENGTH, GRAM, BLOCK = 400, 64, 40
 #: Occurrences of a least hash from which windows are counted by their own hashes.
@@ -123,7 +123,7 @@ def _flat(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def _regions(packs: DataFrame, text_col: str, length: int, gram: int, ranges: int) -> DataFrame:
-    """Regions of repeated hashes by range; with part >= ranges, window hashes of frequent ones; with part -1, windows repeated in the pack itself."""
+    """Regions of repeated hashes by range; with part >= ranges, window hashes of frequent ones; LOCAL rows, windows repeated in the pack itself."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zip_ = zstandard.ZstdCompressor(level=1)
         for b in batches:
@@ -142,7 +142,7 @@ def _regions(packs: DataFrame, text_col: str, length: int, gram: int, ranges: in
                     s, e, v = p.starts[i[own]], p.ends[i[own]], p.least[i[own]]
                     sizes = e - s + length - 1
                     text = p.raw[_flat(s, sizes)]
-                    rows.append((k, pack, zip_.compress(pickle.dumps((v, s.astype(np.uint32), (e - s).astype(np.uint32), text)))))
+                    rows.append((k, pack, GLOBAL + zip_.compress(pickle.dumps((v, s.astype(np.uint32), (e - s).astype(np.uint32), text)))))
                 i = np.flatnonzero(kind == 2)
                 if len(i):
                     w = np.sort(_flat(p.starts[i], p.ends[i] - p.starts[i]))
@@ -152,13 +152,13 @@ def _regions(packs: DataFrame, text_col: str, length: int, gram: int, ranges: in
                     group = np.cumsum(new) - 1
                     many = np.bincount(group)[group] > 1
                     if many.any():
-                        rows.append((-1, pack, _spans(np.sort(w[order[many]]))))
+                        rows.append((pack % ranges, pack, LOCAL + _spans(np.sort(w[order[many]]))))
                     first = order[new]
                     alone = ~many[new]
                     part = (key[first, 0] % np.uint64(ranges)).astype(np.int64)
                     for k, own in _parts(np.argsort(part, kind="stable"), part):
                         j = first[own]
-                        rows.append((ranges + k, pack, zip_.compress(pickle.dumps((key[j], alone[own], w[j].astype(np.uint32))))))
+                        rows.append((ranges + k, pack, GLOBAL + zip_.compress(pickle.dumps((key[j], alone[own], w[j].astype(np.uint32))))))
                 if rows:
                     yield _rows(rows, PART)
 
@@ -251,10 +251,9 @@ def merge_transforms(shards: Shards, rounds: int) -> tuple[np.ndarray, np.ndarra
     return order[take], interval
 
 
-def _repeats(table: pa.Table, length: int, block: int) -> list[tuple]:
+def _repeats(packs: list[int], data: list[bytes], length: int, block: int) -> list[tuple]:
     unzip = zstandard.ZstdDecompressor()
-    packs = table.column("pack").to_pylist()
-    parts = [pickle.loads(unzip.decompress(d)) for d in table.column("data").to_pylist()]
+    parts = [pickle.loads(unzip.decompress(d[1:])) for d in data]
     least = np.concatenate([x[0] for x in parts])
     start = np.concatenate([x[1] for x in parts]).astype(np.int64)
     m = np.concatenate([x[2] for x in parts]).astype(np.int64)
@@ -296,10 +295,9 @@ def _repeats(table: pa.Table, length: int, block: int) -> list[tuple]:
     return out
 
 
-def _frequent(table: pa.Table) -> list[tuple]:
+def _frequent(packs: list[int], data: list[bytes]) -> list[tuple]:
     unzip = zstandard.ZstdDecompressor()
-    packs = table.column("pack").to_pylist()
-    parts = [pickle.loads(unzip.decompress(d)) for d in table.column("data").to_pylist()]
+    parts = [pickle.loads(unzip.decompress(d[1:])) for d in data]
     key = np.concatenate([x[0] for x in parts])
     _, place = np.unique(key, axis=0, return_inverse=True)
     alone = np.concatenate([x[1] for x in parts])
@@ -315,7 +313,9 @@ def _frequent(table: pa.Table) -> list[tuple]:
 
 def _solve(ranges: int, length: int, block: int):
     def run(table: pa.Table) -> pa.Table:
-        out = _repeats(table, length, block) if table.column("part")[0].as_py() < ranges else _frequent(table)
+        out, packs, data = local_answers(table)
+        if packs:
+            out += _repeats(packs, data, length, block) if table.column("part")[0].as_py() < ranges else _frequent(packs, data)
         return pa.Table.from_batches([_rows(out, ANSWER)] if out else [], schema=ANSWER)
 
     return run
@@ -329,9 +329,8 @@ def repeated_windows(packs: DataFrame, text_col: str, length: int = LENGTH, gram
     answers = materialize(anchors.groupBy("part").applyInArrow(_count_anchors(hot), SCHEMA), "anchors")
     again = answers.agg(F.sum(F.octet_length("data").cast("long"))).first()[0] or 0
     ranges = max(1, again // 16 * (2 * length) // RANGE_BYTES + 1)
-    regions = materialize(_regions(_with_answers(packs, answers), text_col, length, gram, ranges), "regions")
-    solved = regions.where("part >= 0").groupBy("part").applyInArrow(_solve(ranges, length, block), SCHEMA)
-    return regions.where("part < 0").unionByName(solved)
+    regions = _regions(_with_answers(packs, answers), text_col, length, gram, ranges)
+    return regions.groupBy("part").applyInArrow(_solve(ranges, length, block), SCHEMA)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, block: int = BLOCK, hot: int = HOT) -> DataFrame:
