@@ -73,20 +73,17 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-#: With this Spark drops a query's shuffle files when it ends; what is written needs them no more.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder as Parquet and read it again."""
+    """Write ``df`` to the shared folder as Parquet and read it again.
+
+    What has been written needs its shuffle files no more.  Spark's cleaner
+    drops them when the driver's garbage is collected, which is asked for here,
+    so that a query of several passes doesn't hold the files of all of them.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    df.write.option("compression", "zstd").parquet(path)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
