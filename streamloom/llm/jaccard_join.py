@@ -6,10 +6,12 @@ same ones.  Sets that meet nobody leave; a bucket that is still large is split
 again by a second and third token.  Small buckets are compared by brute force.
 The number of runs follows from the target recall.
 
-Equal sets are one class beforehand.  Classes are shipped once to the chunk of
-their most frequent path; two chunks are compared once, if a path leads to
-both, and a pair counts only where its classes share a path.  So a large group
-of near copies costs its own pairs, counted in blocks and never emitted.
+Equal sets are one class beforehand.  Classes are dealt to chunks by their most
+frequent path.  A chunk is compared with itself, and two chunks are compared
+once if most of their classes follow a common path; other paths compare just
+their own members.  A pair counts in one of these places only.  So a large
+group of near copies, which meets on every run, costs its own pairs once; they
+are counted in blocks and never emitted.
 """
 
 from __future__ import annotations
@@ -27,17 +29,28 @@ from streamloom.llm.common import id_text, map_arrow, materialize, mix, slices,
 from streamloom.llm.components import components
 from streamloom.llm.substring_dedup import find_words
 
-WORDS, SIMILARITY, RECALL = 5, 0.8, 0.9999999
+WORDS, SIMILARITY, RECALL = 5, 0.8, 0.999999
+#: Common paths that a pair must have to be compared: texts with just a passage in common mostly have fewer.
+MEETINGS = 3
+#: Rows that may be broadcast to find texts.
+BROADCAST_ROWS = 100_000
 #: Buckets beyond this are split by another token; deeper tokens are sampled this much more densely, so a split loses little.
 BUCKET, DEPTH, DENSER = 1024, 3, 3.0
-#: Classes of a chunk, and chunks that a path may join pair by pair; wider paths are compared in blocks of their own.
-CHUNK, WIDE = 512, 24
+#: Classes of a chunk.
+CHUNK = 512
 OTHER = re.compile(r"[\W_]+")
 
 
-def runs_for(recall: float, similarity: float = SIMILARITY) -> int:
-    """Runs after which a pair at the threshold has met: each leads both along a common token with 1 - 1/e."""
-    return max(1, math.ceil(-math.log(1 - recall)))
+def runs_for(recall: float) -> int:
+    """Least number of runs after which a pair at the threshold has ``MEETINGS`` common paths with this probability.
+
+    A run leads such a pair along one common path on average, by independent
+    choices, so the number is about Poisson.
+    """
+    runs = 1
+    while math.exp(-runs) * sum(runs**k / math.factorial(k) for k in range(MEETINGS)) > 1 - recall:
+        runs += 1
+    return runs
 
 
 def shingle_sets(texts: list[str], n: int = WORDS) -> Iterator[np.ndarray]:
@@ -99,9 +112,19 @@ def _classify(docs: DataFrame, n: int, similarity: float, runs: int) -> DataFram
     return map_arrow(docs, run, "doc_id long, cid binary, paths array<long>")
 
 
-def _sets(docs: DataFrame, active: DataFrame, n: int) -> DataFrame:
-    """cid, hashes (binary) of the classes in ``active``, from one document each."""
-    rows = docs.join(active, docs["doc_id"] == active["rep"]).select("text", "cid")
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The text of one document of each wanted class: (text, and the columns of ``wanted`` but ``rep``).
+
+    Few wanted rows are broadcast, after counting them; more are joined by a shuffle.
+    """
+    if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+    return docs.join(wanted, docs["doc_id"] == wanted["rep"]).drop("doc_id", "rep")
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """cid, hashes (binary) of the classes in ``wanted`` (cid, rep)."""
+    rows = _texts(docs, wanted).select("text", "cid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -112,24 +135,26 @@ def _sets(docs: DataFrame, active: DataFrame, n: int) -> DataFrame:
     return map_arrow(rows, run, "cid binary, hashes binary").dropDuplicates(["cid"])
 
 
-def _split(sets: DataFrame, members: DataFrame, similarity: float) -> DataFrame:
+def _split(docs: DataFrame, classes: DataFrame, members: DataFrame, n: int, similarity: float) -> DataFrame:
     """(parent, path, cid): members of large buckets follow further tokens."""
-    rows = sets.join(members.groupBy("cid").agg(F.collect_list("path").alias("parents")), "cid").select("cid", "hashes", "parents")
+    wanted = materialize(members.groupBy("cid").agg(F.collect_list("path").alias("parents")).join(classes.select("cid", "rep"), "cid"), "parents")
+    rows = _texts(docs, wanted).select("text", "cid", "parents")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             out: list[tuple[int, int, bytes]] = []
-            for cid, data, parents in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                seeds = np.array(parents, np.int64)
-                for p, found in zip(parents, _follow(np.frombuffer(data, np.uint64), mix(seeds.view(np.uint64)), DENSER / similarity), strict=True):
-                    out += [(p, k, cid) for k in found.view(np.int64).tolist()]
+            for h, cid, parents in zip(shingle_sets(b.column(0).to_pylist(), n), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if _class(h) == cid:
+                    seeds = mix(np.array(parents, np.int64).view(np.uint64))
+                    for p, found in zip(parents, _follow(h, seeds, DENSER / similarity), strict=True):
+                        out += [(p, k, cid) for k in found.view(np.int64).tolist()]
             cols = list(zip(*out, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["parent", "path", "cid"])
 
-    return map_arrow(rows, run, "parent long, path long, cid binary")
+    return map_arrow(rows, run, "parent long, path long, cid binary").distinct()
 
 
-def _buckets(paths: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def _buckets(paths: DataFrame, docs: DataFrame, classes: DataFrame, n: int, similarity: float) -> DataFrame:
     """(path, cid, n): the final buckets of two classes and more.
 
     A large bucket gives way to its children, unless one of them holds over
@@ -145,7 +170,7 @@ def _buckets(paths: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
         if depth == DEPTH - 1:
             done.append(large)
             return _all(done)
-        children = materialize(_split(sets, large, similarity), "children")
+        children = materialize(_split(docs, classes, large, n, similarity), "children")
         sizes = large.select(F.col("path").alias("parent"), F.col("n").alias("whole")).distinct()
         most = children.groupBy("parent", "path").count().groupBy("parent").agg(F.max("count").alias("most"))
         alike = sizes.join(most, "parent", "left").where(F.coalesce("most", F.lit(0)) * 2 > F.col("whole")).select(F.col("parent").alias("path"))
@@ -185,50 +210,81 @@ def _common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
 
 
 class Side:
-    """Classes of one side of a comparison."""
+    """Classes of one side of a comparison, as columns."""
 
     def __init__(self, rows: list[dict]):
         self.cids = [r["cid"] for r in rows]
-        self.copies = np.array([r["copies"] for r in rows], np.int64)
         self.primary = np.array([r["primary"] for r in rows], np.int64)
-        self.narrow = [np.array(r["narrow"], np.int64) for r in rows]
-        self.wide = [np.array(r["wide"], np.int64) for r in rows]
-        self.sets = [np.frombuffer(r["hashes"], np.uint64) for r in rows]
-        self.sizes = np.array([len(s) for s in self.sets])
+        self.narrow, self.wide, self.paths = ([np.array(r[k], np.int64) for r in rows] for k in ("narrow", "wide", "paths"))
+        if "hashes" in rows[0]:
+            self.copies = np.array([r["copies"] for r in rows], np.int64)
+            self.sets = [np.frombuffer(r["hashes"], np.uint64) for r in rows]
+            self.sizes = np.array([len(s) for s in self.sets])
 
 
 def _meets(a: Side, b: Side, wide: int | None) -> np.ndarray:
-    """The pairs that this comparison counts; every pair that shares a path has one such place."""
-    alike = a.primary[:, None] == b.primary[None, :]
-    near = alike | (_common(a.narrow, b.narrow) > 0)
-    if wide is None:
-        return near
-    earlier = _common([x[x < wide] for x in a.wide], [x[x < wide] for x in b.wide]) > 0
-    return ~near & ~earlier
+    """The pairs that this comparison counts: every pair with enough common paths has one such place."""
+    near = (a.primary[:, None] == b.primary[None, :]) | (_common(a.narrow, b.narrow) > 0)
+    if wide is not None:
+        near = ~near & ~(_common([x[x < wide] for x in a.wide], [x[x < wide] for x in b.wide]) > 0)
+    if near.any():
+        near &= _common(a.paths, b.paths) >= MEETINGS
+    return np.triu(near, 1) if a is b else near
 
 
-def _compare(rows: list[dict], similarity: float, wide: int | None) -> list[tuple[bytes, bytes, int]]:
-    """(cid, least linked cid or itself, documents linked) of the classes of one unit."""
+def _sides(rows: list[dict]) -> tuple[Side, Side, int | None]:
     left, right = [r for r in rows if r["side"] == 0], [r for r in rows if r["side"] == 1]
+    if not left:
+        left, right = right, []
     a = Side(left)
-    b = Side(right) if right else a
+    return a, Side(right) if right else a, rows[0]["path"]
+
+
+def _few(rows: list[dict]) -> bool | None:
+    """For two classes, whether they are a pair to compare here; None for more."""
+    if len(rows) != 2:
+        return None
+    x, y = rows
+    near = x["primary"] == y["primary"] or not set(x["narrow"]).isdisjoint(y["narrow"])
+    path = x["path"]
+    if path is not None:
+        near = not near and min(set(x["wide"]) & set(y["wide"])) == path
+    return near and len(set(x["paths"]) & set(y["paths"])) >= MEETINGS
+
+
+def _needed(rows: list[dict]) -> list[tuple]:
+    """(unit, side, path, cid) of the classes with somebody to be compared with."""
+    if len(rows) < 2 or (few := _few(rows)) is False:
+        return []
+    if few:
+        return [(r["unit"], r["side"], r["path"], r["cid"]) for r in rows]
+    a, b, wide = _sides(rows)
     meets = _meets(a, b, wide)
-    if b is a:
-        meets = np.triu(meets, 1)
-    if not meets.any():
+    i, j = np.flatnonzero(meets.any(axis=1)), np.flatnonzero(meets.any(axis=0))
+    unit = rows[0]["unit"]
+    if a is b:
+        side = {r["cid"]: r["side"] for r in rows}
+        return [(unit, side[a.cids[k]], wide, a.cids[k]) for k in np.union1d(i, j)]
+    return [(unit, 0, wide, a.cids[k]) for k in i] + [(unit, 1, wide, b.cids[k]) for k in j]
+
+
+def _compare(rows: list[dict], similarity: float) -> list[tuple[bytes, bytes, int]]:
+    """(cid, least linked cid or itself, documents linked) of the classes of one unit."""
+    if len(rows) < 2:
         return []
+    a, b, wide = _sides(rows)
+    meets = _meets(a, b, wide)
     rows_, cols = np.flatnonzero(meets.any(axis=1)), np.flatnonzero(meets.any(axis=0))
     inter = _common([a.sets[i] for i in rows_], [b.sets[j] for j in cols])
     union = a.sizes[rows_][:, None] + b.sizes[cols][None, :] - inter
     i, j = np.nonzero((inter >= similarity * union - 1e-6) & meets[np.ix_(rows_, cols)])
-    i, j = rows_[i], cols[j]
     if not len(i):
         return []
+    i, j = rows_[i], cols[j]
     # Local components: labels fall to the least neighbour until nothing changes.
     nodes = a.cids if b is a else a.cids + b.cids
-    shift = 0 if b is a else len(a.cids)
     copies = a.copies if b is a else np.concatenate([a.copies, b.copies])
-    j = j + shift
+    j = j + (0 if b is a else len(a.cids))
     label, links = np.arange(len(nodes)), np.zeros(len(nodes), np.int64)
     while True:
         old = label.copy()
@@ -243,20 +299,41 @@ def _compare(rows: list[dict], similarity: float, wide: int | None) -> list[tupl
     return [(nodes[k], nodes[label[k]], int(links[k])) for k in np.flatnonzero(links)]
 
 
+def _each_unit(rows: DataFrame, groups: int, fn, schema: str, types: tuple) -> DataFrame:
+    """Units in groups of many, so that small ones share a call; a unit has two chunks at most."""
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def run(table: pa.Table) -> pa.Table:
+        units: dict[int, list[dict]] = {}
+        for r in table.drop_columns(["part"]).to_pylist():
+            units.setdefault(r["unit"], []).append(r)
+        out = [x for u in units.values() for x in fn(u)]
+        cols = list(zip(*out, strict=True)) or [()] * len(names)
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
+
+    return rows.withColumn("part", F.pmod("unit", F.lit(groups))).groupBy("part").applyInArrow(run, schema)
+
+
 def _units(members: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows of the comparisons by chunk pair, and of those by block pair of a wide path.
+    """Rows of the comparisons (unit, side, path, cid), and the classes' keys for them.
 
-    members: path, cid, n; classes: cid, copies, hashes.
+    Chunk pairs have a null path, block pairs of a wide path have it.
+    members: path, cid, n; classes: cid, copies, paths.
     """
     primary = members.groupBy("cid").agg(F.max(F.struct("n", "path"))["path"].alias("primary"))
     held = primary.groupBy("primary").agg(F.ceil(F.count("*") / F.lit(CHUNK)).alias("chunks"))
     primary = primary.join(held, "primary").select("cid", "primary", F.pmod(F.xxhash64("cid"), F.col("chunks")).alias("block"))
     primary = materialize(primary.withColumn("chunk", F.xxhash64("primary", "block")), "primary")
-    # A path's chunks are counted before they are listed, so no list is long.
-    reach = materialize(members.join(primary, "cid").groupBy("path", "chunk").agg(F.count("*").alias("k")), "reach")
-    per_path = reach.groupBy("path").agg(F.count("*").alias("chunks"))
-    wide = per_path.where(F.col("chunks") > WIDE).select("path")
-    lists = reach.join(per_path.where((F.col("chunks") > 1) & (F.col("chunks") <= WIDE)), "path").groupBy("path").agg(F.array_sort(F.collect_list("chunk")).alias("c"))
+    # A path's chunks are counted before they are listed, so no list is long.  It is narrow if comparing its
+    # chunks ships little more than its members; else it is compared by itself, in blocks.
+    sizes = primary.groupBy("chunk").agg(F.count("*").alias("size"))
+    reach = members.join(primary, "cid").groupBy("path", "chunk").agg(F.count("*").alias("k"))
+    reach = materialize(reach.join(sizes, "chunk"), "reach")
+    per_path = reach.groupBy("path").agg(F.count("*").alias("chunks"), F.sum("size").alias("whole"), F.sum("k").alias("n"))
+    narrow = (F.col("whole") <= 2 * F.col("n")) & (F.col("chunks") <= 2 + 2 * F.col("n") / CHUNK)
+    per_path = materialize(per_path.where("chunks > 1").select("path", narrow.alias("is_narrow")), "wide")
+    wide = per_path.where("not is_narrow").select("path")
+    lists = reach.join(per_path.where("is_narrow"), "path").groupBy("path").agg(F.array_sort(F.collect_list("chunk")).alias("c"))
     cross = lists.select(F.explode("c").alias("x"), "c").select("x", F.explode("c").alias("y")).where("x < y")
     blocks = primary.select("primary", "block", "chunk").distinct()
     other = blocks.select("primary", F.col("chunk").alias("y"))
@@ -266,24 +343,13 @@ def _units(members: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame
     paths = marked.groupBy("cid").agg(F.collect_set(F.when(F.col("is_wide").isNull(), F.col("path"))).alias("narrow"), F.collect_set(F.when(F.col("is_wide"), F.col("path"))).alias("wide"))
     full = materialize(classes.join(primary.select("cid", "primary", "chunk"), "cid").join(paths, "cid"), "classes")
     ends = pairs.select("unit", F.col("x").alias("chunk"), F.lit(0).alias("side")).unionByName(pairs.where("x < y").select("unit", F.col("y").alias("chunk"), F.lit(1).alias("side")))
-    cols = ["unit", "side", "path", "cid", "copies", "primary", "narrow", "wide", "hashes"]
-    near = full.join(ends, "chunk").withColumn("path", F.lit(None).cast("long")).select(cols)
+    near = primary.select("chunk", "cid").join(ends, "chunk").select("unit", "side", F.lit(None).cast("long").alias("path"), "cid")
     # Blocks of a wide path: every pair of blocks meets once.
     in_wide = members.join(wide, "path").select("path", "cid", "n", F.ceil(F.col("n") / F.lit(CHUNK)).alias("blocks"))
     in_wide = in_wide.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")))
     dealt = in_wide.select("path", "cid", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("path", "cid", F.xxhash64("path", F.least("block", "other"), F.greatest("block", "other")).alias("unit"), F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"))
-    return near, dealt.join(full, "cid").select(cols)
-
-
-def _verify(rows: DataFrame, similarity: float) -> DataFrame:
-    def run(table: pa.Table) -> pa.Table:
-        found = table.to_pylist()
-        out = _compare(found, similarity, found[0]["path"])
-        cols = list(zip(*out, strict=True)) or [(), (), ()]
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.binary(), pa.int64()), strict=True)], names=["u", "v", "links"])
-
-    return rows.groupBy("unit").applyInArrow(run, "u binary, v binary, links long")
+    unit = F.xxhash64("path", F.least("block", "other"), F.greatest("block", "other"))
+    return near.unionByName(dealt.select(unit.alias("unit"), F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"), "path", "cid")), full.drop("chunk")
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
@@ -305,11 +371,17 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     level = by_set.select(F.explode("paths").alias("path"), "cid").distinct()
     shared = level.groupBy("path").agg(F.count("*").alias("n")).where("n > 1").select("path")
     level = materialize(level.join(shared, "path"), "level")
-    active = by_set.join(level.select("cid").distinct(), "cid").select("cid", "rep", "copies")
-    sets = materialize(_sets(named, active.select("cid", "rep"), n), "hashes")
-    members = materialize(_buckets(level, sets, similarity), "buckets")
-    near, wide = _units(members, sets.join(active.select("cid", "copies"), "cid"))
-    links = materialize(_verify(near, similarity).unionByName(_verify(wide, similarity)), "links")
+    known = level.groupBy("cid").agg(F.collect_set("path").alias("paths"))
+    classes = materialize(by_set.drop("paths").join(known, "cid"), "active")
+    members = materialize(_buckets(level, named, classes, n, similarity), "buckets")
+    units, keys = _units(members, classes.select("cid", "copies", "paths"))
+    groups = max(8, classes.count() // 500)
+    # First the paths alone tell who has somebody alike; only those classes' sets are shipped.
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary())
+    needed = materialize(_each_unit(units.join(keys.drop("copies"), "cid"), groups, _needed, "unit long, side int, path long, cid binary", kinds), "needed")
+    sets = materialize(_sets(named, classes.select("cid", "rep").join(needed.select("cid").distinct(), "cid"), n), "hashes")
+    rows = needed.join(keys, "cid").join(sets, "cid")
+    links = materialize(_each_unit(rows, groups, lambda u: _compare(u, similarity), "u binary, v binary, links long", (pa.binary(), pa.binary(), pa.int64())), "links")
     roots = components(links.select("u", "v"))
     counts = links.groupBy(F.col("u").alias("cid")).agg(F.sum("links").alias("links"))
     whole = by_set.select("cid", "rep", "copies").join(counts, "cid", "left").join(roots.withColumnsRenamed({"u": "cid", "v": "root"}), "cid", "left")
