@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from streamloom.llm.common import make_packs, map_arrow, materialize, mix, open_pack, powers, spans_hash, text_bytes
 from streamloom.llm.substring_dedup import ANSWER, GLOBAL, LOCAL, PART, SCHEMA, _parts, _rows, _with_answers, local_answers
 
-LENGTH, GRAM, BLOCK = 400, 64, 40
+LENGTH, GRAM, BLOCK = 400, 64, 100
 #: Occurrences of a least hash from which windows are counted by their own hashes.
 HOT = 1024
 #: Bytes of regions, and hashes, that a range should have.
@@ -251,6 +251,15 @@ def merge_transforms(shards: Shards, rounds: int) -> tuple[np.ndarray, np.ndarra
     return order[take], interval
 
 
+def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of equal rows: the first one of each group, every row's group, and the groups' sizes."""
+    order = np.lexsort(key.T)
+    new = np.append(True, (key[order][1:] != key[order][:-1]).any(axis=1))
+    group = np.empty(len(key), np.int64)
+    group[order] = np.cumsum(new) - 1
+    return order[new], group, np.bincount(group)
+
+
 def _repeats(packs: list[int], data: list[bytes], length: int, block: int) -> list[tuple]:
     unzip = zstandard.ZstdDecompressor()
     parts = [pickle.loads(unzip.decompress(d[1:])) for d in data]
@@ -263,8 +272,7 @@ def _repeats(packs: list[int], data: list[bytes], length: int, block: int) -> li
     at = np.cumsum(sizes) - sizes
     # Equal regions are one, with the number of times it occurs.
     key = np.stack([least, spans_hash(text, at, at + sizes), spans_hash(text, at, at + sizes, 1)], axis=1)
-    _, first, same, copies = np.unique(key, axis=0, return_index=True, return_inverse=True, return_counts=True)
-    same = same.reshape(-1)
+    first, same, copies = _groups(key)
     # A region without a different one of the same hash is an interval by itself if it occurs again.
     _, group = np.unique(least[first], return_inverse=True)
     differs = np.bincount(group)[group] > 1
@@ -299,9 +307,9 @@ def _frequent(packs: list[int], data: list[bytes]) -> list[tuple]:
     unzip = zstandard.ZstdDecompressor()
     parts = [pickle.loads(unzip.decompress(d[1:])) for d in data]
     key = np.concatenate([x[0] for x in parts])
-    _, place = np.unique(key, axis=0, return_inverse=True)
+    _, place, times = _groups(key)
     alone = np.concatenate([x[1] for x in parts])
-    again = (np.bincount(place.reshape(-1))[place.reshape(-1)] > 1) & alone
+    again = (times[place] > 1) & alone
     out, lo = [], 0
     for p, x in zip(packs, parts, strict=True):
         found = np.sort(x[2].astype(np.int64)[again[lo : lo + len(x[2])]])
