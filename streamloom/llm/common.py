@@ -8,6 +8,7 @@ pack, instead of moving texts with every key.
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -47,7 +48,7 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", nul
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit(nulls)).alias("text"))
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches into slices of few rows and about ``limit`` bytes."""
     for batch in batches:
         n = batch.num_rows
@@ -77,18 +78,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and read it again.
 
     What has been written needs its shuffle files no more.  Spark's cleaner
-    drops them when the driver's garbage is collected, which is asked for here,
-    so that a query of several passes doesn't hold the files of all of them.
+    drops them when the driver's garbage, Python's handles first, is collected;
+    that is asked for here, so that a query of several passes doesn't hold the
+    files of all of them.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    gc.collect()
     spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
 #: Bytes of text that a pack gathers before it is closed; a longer text has a pack of its own.
-PACK_BYTES = 4 << 20
+PACK_BYTES = 2 << 20
 
 
 def make_packs(docs: DataFrame, name: str, order_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -103,7 +106,7 @@ def make_packs(docs: DataFrame, name: str, order_col: str = "doc_id", text_col:
             rows = pa.Table.from_batches(held).combine_chunks()
             rows = rows.take(pc.sort_indices(rows, [(order_col, "ascending")])).combine_chunks()
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+            with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 5))) as w:
                 w.write_table(rows)
             return pa.RecordBatch.from_arrays([pa.array([first + seq], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["pack", "data"])
 

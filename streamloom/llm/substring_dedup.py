@@ -163,7 +163,7 @@ def _candidates(packs: DataFrame, id_col: str, text_col: str, size: int, ranges:
                 first = order[~same]
                 part = (key["a"][first] % np.uint64(ranges)).astype(np.int64)
                 for k, own in _parts(np.argsort(part, kind="stable"), part):
-                    i = first[own]
+                    i = np.sort(first[own])  # by place: equal ids stand together, and the shuffle compresses them
                     rows.append((k, pack, b"".join([GLOBAL, key["a"][i].tobytes(), key["b"][i].tobytes(), w.ids[w.doc[at[i]]].tobytes(), at[i].astype(np.uint32).tobytes()])))
                 yield _rows(rows, PART)
 
