@@ -51,7 +51,12 @@ class Encoder:
             raise ValueError(f"{path} is not a lower-case word-end BPE file")
         # White space here is the tokenizer's, which differs from Python's in the four separator controls.
         space = r"\t-\r\x20\x85\p{Z}"
-        self.words = regex.compile(split["pattern"]["Regex"].replace(r"[^\s", "[^" + space))
+        pattern = split["pattern"]["Regex"].replace(r"[^\s", "[^" + space)
+        self.words = regex.compile(pattern)
+        # The regex module takes unassigned characters beyond the last ideographs for letters.
+        above = "[\U000323B0-\U0010FFFF]"
+        self.above = regex.compile(above)
+        self.words_above = regex.compile(pattern.replace(r"[\p{L}]+", rf"(?:(?!{above})\p{{L}})+").replace(r"[\p{N}]", rf"(?!{above})\p{{N}}").replace(rf"[^{space}\p{{L}}\p{{N}}]+", rf"(?:[^{space}\p{{L}}\p{{N}}]|{above})+"))
         vocab = model["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
@@ -161,6 +166,8 @@ class Encoder:
             text = unicodedata.normalize("NFC", text)
             if "Σ" in text:  # the library lowers character by character
                 text = text.replace("Σ", "σ")
+            if self.above.search(text):
+                return self.words_above.findall(text.lower())
         return self.words.findall(text.lower())
 
     def learn(self, words: set[str]) -> None:

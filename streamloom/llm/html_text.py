@@ -48,10 +48,10 @@ MAX_ALIGN = 40
 
 
 class Node:
-    __slots__ = ("tag", "shown", "attrs", "children")
+    __slots__ = ("tag", "shown", "attrs", "children", "home")
 
     def __init__(self, tag: str, attrs: str = ""):
-        self.tag, self.attrs, self.children = tag, attrs, []
+        self.tag, self.attrs, self.children, self.home = tag, attrs, [], None
         self.shown = tag not in UNSEEN and not (attrs and MAY_HIDE.search(attrs) and _hides(tag, attrs))
 
 
@@ -76,13 +76,17 @@ def parse(page: str) -> Node:
     def place(child: Node | str) -> None:
         """Into the open element, or before the table if it can't hold the child."""
         top = stack[-1]
-        stray = top.tag in TABLE_PARTS and (not child.isspace() if isinstance(child, str) else child.tag not in ("caption", "colgroup", "col", "tbody", "thead", "tfoot", "tr", "td", "th", "script", "style", "template"))
-        if not stray:
-            top.children.append(child)
-            return
-        k = max(i for i, n in enumerate(stack) if n.tag == "table")
-        around = stack[k - 1].children
-        around.insert(len(around) - 1 - around[::-1].index(stack[k]), child)
+        home, before = top.children, None
+        stray = top.tag in TABLE_PARTS and any(n.tag == "table" for n in stack) and (not child.isspace() if isinstance(child, str) else child.tag not in ("caption", "colgroup", "col", "tbody", "thead", "tfoot", "tr", "td", "th", "script", "style", "template"))
+        if stray:
+            before = next(n for n in reversed(stack) if n.tag == "table")
+            home = before.home
+        if not isinstance(child, str):
+            child.home = home
+        if before is None:
+            home.append(child)
+        else:
+            home.insert(next(i for i in range(len(home) - 1, -1, -1) if home[i] is before), child)
 
     def close(tag: str) -> None:
         k = len(stack) - 1
@@ -149,7 +153,8 @@ def parse(page: str) -> Node:
             inside = stack[-1].tag
             if tag in ("td", "th") and inside in ("table", "tbody", "thead", "tfoot"):
                 row = Node("tr")
-                stack[-1].children.append(row)
+                row.home = stack[-1].children
+                row.home.append(row)
                 stack.append(row)
         node = Node(tag, m[3])
         place(node)

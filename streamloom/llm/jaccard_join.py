@@ -36,6 +36,8 @@ MEETINGS = 3
 BROADCAST_ROWS = 100_000
 #: Buckets beyond this are split by another token; deeper tokens are sampled this much more densely, so a split loses little.
 BUCKET, DEPTH, DENSER = 1024, 3, 3.0
+#: Members of a large bucket that are looked at, on average, to see whether it can be split.
+PROBE = 64
 #: Classes of a chunk.
 CHUNK = 512
 OTHER = re.compile(r"[\W_]+")
@@ -157,8 +159,9 @@ def _split(docs: DataFrame, classes: DataFrame, members: DataFrame, n: int, simi
 def _buckets(paths: DataFrame, docs: DataFrame, classes: DataFrame, n: int, similarity: float) -> DataFrame:
     """(path, cid, n): the final buckets of two classes and more.
 
-    A large bucket gives way to its children, unless one of them holds over
-    half of it: then its members are mostly alike and no token splits them.
+    A large bucket gives way to its children, unless its members are mostly
+    alike, so that no token splits them: then one child holds over half of a
+    bounded sample of them.  That only decides where pairs are met, not which.
     """
     done, level = [], paths
     for depth in range(DEPTH):
@@ -170,12 +173,12 @@ def _buckets(paths: DataFrame, docs: DataFrame, classes: DataFrame, n: int, simi
         if depth == DEPTH - 1:
             done.append(large)
             return _all(done)
-        children = materialize(_split(docs, classes, large, n, similarity), "children")
-        sizes = large.select(F.col("path").alias("parent"), F.col("n").alias("whole")).distinct()
-        most = children.groupBy("parent", "path").count().groupBy("parent").agg(F.max("count").alias("most"))
-        alike = sizes.join(most, "parent", "left").where(F.coalesce("most", F.lit(0)) * 2 > F.col("whole")).select(F.col("parent").alias("path"))
+        probe = materialize(large.where(F.pmod(F.xxhash64("cid", "path"), F.ceil(F.col("n") / F.lit(PROBE))) == 0), "probe")
+        first = _split(docs, classes, probe, n, similarity).groupBy("parent", "path").count().groupBy("parent").agg(F.max("count").alias("most"))
+        sizes = probe.groupBy(F.col("path").alias("parent")).agg(F.count("*").alias("whole"))
+        alike = materialize(sizes.join(first, "parent").where("most * 2 > whole").select(F.col("parent").alias("path")), "alike")
         done.append(large.join(alike, "path", "left_semi"))
-        level = children.join(alike.withColumnRenamed("path", "parent"), "parent", "left_anti").select("path", "cid")
+        level = materialize(_split(docs, classes, large.join(alike, "path", "left_anti"), n, similarity).select("path", "cid").distinct(), "children")
     return _all(done)
 
 
