@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from streamloom.llm.common import id_text, map_arrow, slices
 
-#: Words that a Python worker remembers before it starts anew.
-CACHE_WORDS = 400_000
+#: Words that a task remembers before it starts anew.
+CACHE_WORDS = 200_000
 INF = np.int64(1) << 62
 
 
@@ -172,8 +172,7 @@ class Encoder:
 
     def learn(self, words: set[str]) -> None:
         if len(self.ids) > CACHE_WORDS:
-            self.ids.clear()
-            self.text.clear()
+            self.forget()
         new = [w for w in words if w not in self.ids]
         plain = []
         for w in new:
@@ -185,6 +184,10 @@ class Encoder:
             self.ids[w] = ids.astype("<u4").tobytes()
             self.text[w] = "".join(self.names[i] + " " for i in ids).encode()
 
+    def forget(self) -> None:
+        self.ids.clear()
+        self.text.clear()
+
     def encode(self, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
         """Ids as little-endian 32-bit integers, and the decoded text in UTF-8."""
         split = [self.pieces(t) for t in texts]
@@ -218,6 +221,7 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
             if decoded:
                 cols.append(pa.array(texts, pa.binary()).cast(pa.string()))
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_tokens", "ids_le", "decoded"][: len(cols)])
+        coder.forget()
 
     return map_arrow(id_text(docs, id_col, text_col), run, "doc_id long, n_tokens long, ids_le binary" + ", decoded string" * decoded)
 

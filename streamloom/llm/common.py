@@ -8,6 +8,7 @@ pack, instead of moving texts with every key.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import tempfile
@@ -61,7 +62,23 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS, limit: int
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     ship(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        tidy()
+
+    return df.mapInArrow(run, schema)
+
+
+def tidy() -> None:
+    """Give a task's freed memory back to the system, as Python workers live on for other stages."""
+    _powers.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not this C library
+        pass
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame
 
 from streamloom.llm.common import id_text, map_arrow, slices
 
-CACHE_UNITS = 400_000
+#: Words that a task remembers before it starts anew.
+CACHE_UNITS = 200_000
 #: Fixed value: an unknown character scores this much less than the least piece.
 UNKNOWN_PENALTY = 10.0
 SPACE = "▁"
@@ -126,5 +127,6 @@ def count_tokens(docs: DataFrame, path: str | None = None, id_col: str = "doc_id
         for b in slices(batches):
             out = [c.count(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.float64())], names=["doc_id", "n_tokens", "score"])
+        c.cache.clear()
 
     return map_arrow(id_text(docs, id_col, text_col), run, "doc_id long, n_tokens long, score double")
