@@ -78,6 +78,7 @@ class Receiver(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         if self.state.exists():
             buffer, machine, number = pickle.loads(self.state.get()[0])
+            machine.accept_gap, machine.accept_point = self.machine.get("accept_gap"), self.machine.get("accept_point")
         else:
             buffer, machine, number = JitterBuffer(self.depth), FrameMachine(**self.machine), 0
         given: list[dict] = []
