@@ -9,11 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streamloom.enums import Progression
+from streamloom.enums import Progression, dimension
 from streamloom.functions import integer, rtp
 from streamloom.operators import frames, geometry, header, packets, reorder, stats
 from streamloom.plans.fixtures import EMPTY, EOC, HEADER, ONE_HT, SQL_GEOMETRY, VARIANTS, geometries
 from streamloom.plans.packet_stream import FRAME, SQL, SQL_DATAGRAMS, arrivals, datagrams, sent_packets
+from streamloom.sources import sinks
 from streamloom.sources.files import inject_loss, packetize
 
 QUERIES: dict = {}
@@ -351,35 +352,50 @@ def _headers(spark, sf_dir):
     return part.withColumn("data", F.when(F.col("epoch") % 17 == 0, F.substring("data", 1, 50)).otherwise(F.col("data")))
 
 
-@query()
+#: What the header variants must decode to, by key: constants of the fixtures.
+SQL_HEADERS = """WITH e AS (SELECT p_partkey AS epoch, p_partkey % 4 AS v, p_partkey % 17 <> 0 AS ok FROM part),
+k AS (SELECT *, CASE WHEN ok THEN CASE v WHEN 2 THEN '60cd4f4a64550d47' WHEN 3 THEN 'd95f993c31807015' ELSE '640a13c1793ac515' END END AS geom_sig, CASE WHEN NOT ok THEN 0 WHEN v = 0 THEN 108 ELSE 98 END AS sod FROM e)
+"""
+
+
+@query(SQL_HEADERS + """SELECT epoch, CASE WHEN NOT ok THEN 'header' END AS unsupported, ok AS valid, sod, geom_sig, CASE WHEN ok THEN CASE WHEN v = 3 THEN 128 ELSE 64 END END::BIGINT AS xsiz, CASE WHEN ok THEN 64 END::BIGINT AS ysiz,
+CASE WHEN ok THEN 3 END AS csiz, CASE WHEN ok THEN 1 END AS nl, CASE WHEN ok THEN CASE WHEN v = 2 THEN 5 ELSE 3 END END AS progression, 0 AS ccap15, CASE WHEN ok AND v = 2 THEN 'CAP: PRCL without extended progression' ELSE '' END AS warnings FROM k""")
 def header_parse(spark, sf_dir):
     return header.segments_table(header.parse_headers(_headers(spark, sf_dir)).drop("data"))
 
 
-@query()
+@query(SQL_HEADERS + "SELECT epoch, geom_sig, sod::BIGINT AS sod_off FROM k")
 def header_signatures(spark, sf_dir):
     return header.signatures(_headers(spark, sf_dir)).select("epoch", "geom_sig", "sod_off")
 
 
-@query()
+@query(SQL_HEADERS + "SELECT epoch, c::INT AS c, 1 AS nl, 7 AS cbw, 2 AS cbh, 72 AS cbs, 1 AS transform FROM k, (SELECT unnest(range(3)) AS c) WHERE ok")
 def component_codings(spark, sf_dir):
     return header.component_codings(header.parse_headers(_headers(spark, sf_dir)).drop("data"))
 
 
-@query()
+@query(SQL_HEADERS + """, p AS (SELECT epoch, v, c, r, gx, gy, CASE WHEN v = 3 THEN 4 ELSE 2 END // (2 - r) AS nx FROM k, (SELECT unnest(range(3)) AS c), (SELECT unnest(range(2)) AS r), (SELECT unnest(range(4)) AS gx), (SELECT unnest(range(2)) AS gy) WHERE ok)
+SELECT epoch, 0::BIGINT AS t, row_number() OVER (PARTITION BY epoch ORDER BY gy * (2 - r), gx * (2 - r), CASE WHEN v = 2 THEN r ELSE c END, CASE WHEN v = 2 THEN c ELSE r END) - 1 AS crp_idx, c, r, gy * nx + gx AS p FROM p WHERE gx < nx AND gy < 2 // (2 - r)""")
 def header_crp(spark, sf_dir):
     """Precinct orders of all decoded headers."""
     h = header.parse_headers(_headers(spark, sf_dir))
     return geometry.crp(geometry.from_headers(h.select("epoch", "header")))
 
 
+@query("SELECT * FROM (VALUES ('LRCP', 0), ('RLCP', 1), ('RPCL', 2), ('PCRL', 3), ('CPRL', 4), ('PRCL', 5)) t(name, code)")
+def progression_names(spark, sf_dir):
+    return dimension(spark, Progression)
+
+
 def _blobs(spark, sf_dir):
+    """Frames dealt to the orders: all empty, one with blocks, cut after the header, and broken."""
     o = spark.read.parquet(f"{sf_dir}/orders.parquet").select((F.col("o_custkey") % 64).cast("bigint").alias("stream_id"), F.col("o_orderkey").cast("bigint").alias("frame_id"))
-    kinds = F.array(*[F.unhex(F.lit(b.hex())) for b in (EMPTY, ONE_HT, HEADER, HEADER + b"\xe2\xff" * 30 + EOC)])
+    kinds = F.array(*[F.unhex(F.lit(b.hex())) for b in (EMPTY, ONE_HT, HEADER, HEADER + b"\xff\x7f" * 20)])
     return o.withColumn("blob", F.element_at(kinds, (F.col("frame_id") % 4 + 1).cast("int")))
 
 
-@query()
+@query("""SELECT o_custkey % 64 AS stream_id, o_orderkey AS frame_id, 0 AS crp_idx, 0 AS c, 0 AS r, 0 AS p, 0 AS b, cb::INT AS cb, true AS incl, 0 AS zbp, 1 AS npasses, 3 AS lblock, 2 AS len0, 0 AS len1, 2 AS length, (272 + 34 * cb)::INT AS scup, 106 + 2 * cb AS byte_offset
+FROM orders, (SELECT unnest(range(8)) AS cb) WHERE o_orderkey % 4 = 1""")
 def packet_parse(spark, sf_dir):
     return packets.codeblock_segments(_blobs(spark, sf_dir))
 
@@ -389,9 +405,26 @@ def precinct_walk(spark, sf_dir):
     return packets.precinct_log(_blobs(spark, sf_dir))
 
 
-@query()
+@query("""WITH o AS (SELECT o_custkey % 64 AS stream_id, o_orderkey, o_orderkey % 4 AS k FROM orders), f AS (SELECT stream_id, frame_id, crp_idx, c, r, p FROM (SELECT stream_id, o_orderkey AS frame_id, unnest(range(15)) AS i FROM o WHERE k < 3)
+JOIN (SELECT row_number() OVER (ORDER BY gy * (2 - r), gx * (2 - r), c, r) - 1 AS crp_idx, c, r, gy * (r + 1) + gx AS p FROM (SELECT unnest(range(3)) AS c), (SELECT unnest(range(2)) AS r), (SELECT unnest(range(2)) AS gx), (SELECT unnest(range(2)) AS gy) WHERE gx <= r AND gy <= r) ON crp_idx = i)
+SELECT stream_id, frame_id, crp_idx AS step, crp_idx::INT AS crp_idx, c::INT AS c, r::INT AS r, p::INT AS p FROM f""")
+def ready_precincts(spark, sf_dir):
+    return packets.ready_precincts(packets.precinct_log(_blobs(spark, sf_dir)))
+
+
+@query("""SELECT o_custkey % 64 AS stream_id, 15 * count(*) FILTER (o_orderkey % 4 < 3) AS precincts_parsed, (15 * count(*) FILTER (o_orderkey % 4 = 0) + 38 * count(*) FILTER (o_orderkey % 4 = 1))::BIGINT AS sum_precinct_bytes,
+count(*) FILTER (o_orderkey % 4 = 3) AS failed_parses, 0::BIGINT AS recoveries, 0::BIGINT AS skipped_precincts, count(*) FILTER (o_orderkey % 4 = 3) AS recover_no_signal, 0::BIGINT AS recover_bad_pid, 0::BIGINT AS recover_backward, 15 * count(*) FILTER (o_orderkey % 4 = 2) AS overruns,
+CASE WHEN count(*) FILTER (o_orderkey % 4 = 3) > 0 THEN 0 END AS last_crp_idx FROM orders GROUP BY ALL""")
 def precinct_stats(spark, sf_dir):
-    return packets.precinct_stats(packets.precinct_log(_blobs(spark, sf_dir)))
+    s = packets.precinct_stats(packets.precinct_log(_blobs(spark, sf_dir)))
+    return s.withColumn("last_crp_idx", F.col("last_failure.crp_idx")).drop("avg_precinct_bytes", "snaps_with_drift", "max_drift", "sum_drift", "last_failure")
+
+
+@query("""SELECT o_custkey % 64 AS stream_id, o_orderkey AS frame_id, CASE WHEN o_orderkey % 4 = 1 THEN CASE WHEN i < 8 THEN '0,0,2' ELSE 'EMPTY***' END WHEN o_orderkey % 4 = 3 THEN 'FAILURE' ELSE 'EMPTY***' END AS line, (i + 1)::INT AS line_no
+FROM orders, (SELECT unnest(range(22)) AS i) WHERE i < CASE o_orderkey % 4 WHEN 1 THEN 22 WHEN 3 THEN 1 ELSE 15 END""")
+def log_lines(spark, sf_dir):
+    b = _blobs(spark, sf_dir)
+    return sinks.log_lines(packets.codeblock_segments(b), packets.precinct_log(b))
 
 
 def _stream_packets(spark, sf_dir):

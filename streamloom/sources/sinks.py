@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -12,15 +12,14 @@ def log_lines(segments: DataFrame, log: DataFrame) -> DataFrame:
     """(stream_id, frame_id, line_no, line): "resolution,band,length" of each code-block, EMPTY*** and FAILURE."""
     blocks = segments.select("stream_id", "frame_id", "crp_idx", F.lit(1).alias("kind"), "b", "cb", F.concat_ws(",", "r", "b", "length").alias("line"))
     other = log.where(F.col("status").isin("empty", "failed")).select("stream_id", "frame_id", "crp_idx", F.lit(0).alias("kind"), F.lit(0).alias("b"), F.lit(0).alias("cb"), F.when(F.col("status") == "empty", "EMPTY***").otherwise("FAILURE").alias("line"))
-    from pyspark.sql import Window
-
     order = Window.partitionBy("stream_id", "frame_id").orderBy("crp_idx", "kind", "b", "cb")
     return blocks.unionByName(other).withColumn("line_no", F.row_number().over(order)).select("stream_id", "frame_id", "line_no", "line")
 
 
 def write_logs(lines: DataFrame, path: str) -> None:
-    """CSV-like text, one folder for each stream and frame."""
-    lines.sortWithinPartitions("stream_id", "frame_id", "line_no").write.partitionBy("stream_id", "frame_id").mode("append").text(path) if set(lines.columns) == {"stream_id", "frame_id", "line"} else write_logs(lines.repartition("stream_id", "frame_id").sortWithinPartitions("stream_id", "frame_id", "line_no").select("stream_id", "frame_id", "line"), path)
+    """CSV-like text, one folder for each stream and frame, its lines in order."""
+    dealt = lines.repartition("stream_id", "frame_id").sortWithinPartitions("stream_id", "frame_id", "line_no")
+    dealt.select("stream_id", "frame_id", "line").write.partitionBy("stream_id", "frame_id").mode("append").text(path)
 
 
 def write_frames(frames: DataFrame, path: str) -> None:
