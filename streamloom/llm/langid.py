@@ -58,7 +58,8 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     picks = near.select("doc_id", "lang", rank.alias("rank")).where(F.col("rank") <= rows)
     sample = rows_.join(F.broadcast(picks.select("doc_id", "lang")), ["doc_id", "lang"], "left_semi")
     found: dict[str, set[str]] = {}
-    for r in sample.select("lang", F.substring("text", 1, chars).alias("text")).collect():
+    # One text for each id, however often it is repeated.
+    for r in sample.groupBy("lang", "doc_id").agg(F.min(F.substring("text", 1, chars)).alias("text")).collect():
         found.setdefault(r.lang, set()).update(filter(LETTER.search, map(plain, r.text.split("\n"))))
     return _dictionaries(_own_lines(found, dict_bytes), dict_bytes)
 
