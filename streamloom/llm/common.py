@@ -194,8 +194,24 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+#: Values that are hashed together, which bounds the memory that long texts take.
+HASH_PIECE = 1 << 20
+
+
 def spans_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
-    """Hashes of ``values[s:e]`` of 64-bit values or bytes, mixed with the length."""
+    """Hashes of ``values[s:e]`` of 64-bit values or bytes, mixed with the length; starts ascend."""
+    if len(values) <= HASH_PIECE or not len(starts):
+        return _hash_piece(values, starts, ends, which)
+    out = np.empty(len(starts), np.uint64)
+    cuts = np.append(np.searchsorted(starts, np.arange(0, len(values), HASH_PIECE)), len(starts))
+    for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        if lo < hi:
+            base = starts[lo]
+            out[lo:hi] = _hash_piece(values[base : ends[lo:hi].max()], starts[lo:hi] - base, ends[lo:hi] - base, which)
+    return out
+
+
+def _hash_piece(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int) -> np.ndarray:
     n = len(values)
     up, down = powers(n + 1, which)
     total = np.zeros(n + 1, np.uint64)

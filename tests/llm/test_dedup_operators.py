@@ -182,3 +182,33 @@ def test_digest_of_suffixes(spark, sf):
                 gone[k : k + n] = b"\1" * n
         kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
         assert (got[i].n_bytes, got[i].n_removed, got[i].kept_sha256) == (len(b), sum(gone), hashlib.sha256(kept).hexdigest())
+
+
+def test_hashes_do_not_depend_on_pieces(monkeypatch):
+    import numpy as np
+
+    from streamloom.llm import common
+
+    rng = np.random.default_rng(1)
+    values = rng.integers(0, 256, 5000).astype(np.uint8)
+    starts = np.sort(rng.integers(0, 4900, 300))
+    ends = starts + rng.integers(0, 90, 300)
+    for which in (0, 1):
+        whole = common.spans_hash(values, starts, ends, which)
+        monkeypatch.setattr(common, "HASH_PIECE", 64)
+        assert (common.spans_hash(values, starts, ends, which) == whole).all()
+        monkeypatch.undo()
+    gaps = np.sort(rng.integers(0, 10**7, 500))
+    assert (common.unpack_gaps(common.pack_gaps(gaps)) == gaps).all() and not len(common.unpack_gaps(b""))
+
+
+def test_very_long_texts(spark):
+    text = " ".join(f"word{k % 50021}" for k in range(400_000))
+    rows = [(1, text), (2, text + " end"), (3, "x" * 3_000_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in substring_dedup.digest(df).collect()}
+    assert got[1].n_words == 400_000 and got[1].n_removed == 400_000 - 50021 and got[2].n_removed == 400_000
+    got = {r.doc_id: r for r in suffix_dedup.digest(df).collect()}
+    assert got[1].n_removed == len(text) and got[2].n_removed == len(text) + 1 and got[3].n_removed == 3_000_000
+    got = {r.doc_id: r for r in jaccard_join.join(df).collect()}
+    assert [got[k].class_id for k in (1, 2, 3)] == [1, 1, 3]
