@@ -156,6 +156,16 @@ def _split(docs: DataFrame, classes: DataFrame, members: DataFrame, n: int, simi
     return map_arrow(rows, run, "parent long, path long, cid binary").distinct()
 
 
+def _sized(paths: DataFrame) -> DataFrame:
+    """(path, cid, n) of the paths that two classes and more follow.
+
+    The counts are written first: a join with them can then split a hot path,
+    which it couldn't in the tasks that count.
+    """
+    counts = materialize(paths.groupBy("path").agg(F.count("*").alias("n")).where("n > 1"), "counts")
+    return materialize(paths.join(counts, "path").select("path", "cid", "n"), "level")
+
+
 def _buckets(paths: DataFrame, docs: DataFrame, classes: DataFrame, n: int, similarity: float) -> DataFrame:
     """(path, cid, n): the final buckets of two classes and more.
 
@@ -163,9 +173,8 @@ def _buckets(paths: DataFrame, docs: DataFrame, classes: DataFrame, n: int, simi
     alike, so that no token splits them: then one child holds over half of a
     bounded sample of them.  That only decides where pairs are met, not which.
     """
-    done, level = [], paths
+    done, sized = [], paths
     for depth in range(DEPTH):
-        sized = level.join(level.groupBy("path").agg(F.count("*").alias("n")).where("n > 1"), "path")
         large = materialize(sized.where(F.col("n") > BUCKET), "large")
         done.append(sized.where(F.col("n") <= BUCKET))
         if not large.limit(1).count():
@@ -178,7 +187,7 @@ def _buckets(paths: DataFrame, docs: DataFrame, classes: DataFrame, n: int, simi
         sizes = probe.groupBy(F.col("path").alias("parent")).agg(F.count("*").alias("whole"))
         alike = materialize(sizes.join(first, "parent").where("most * 2 > whole").select(F.col("parent").alias("path")), "alike")
         done.append(large.join(alike, "path", "left_semi"))
-        level = materialize(_split(docs, classes, large.join(alike, "path", "left_anti"), n, similarity).select("path", "cid").distinct(), "children")
+        sized = _sized(materialize(_split(docs, classes, large.join(alike, "path", "left_anti"), n, similarity).select("path", "cid").distinct(), "children"))
     return _all(done)
 
 
@@ -371,9 +380,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     found = materialize(_classify(named, n, similarity, runs_for(recall)), "paths")
     by_set = found.where(F.col("cid").isNotNull()).groupBy("cid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("paths").alias("paths"))
     by_set = materialize(by_set, "sets")
-    level = by_set.select(F.explode("paths").alias("path"), "cid").distinct()
-    shared = level.groupBy("path").agg(F.count("*").alias("n")).where("n > 1").select("path")
-    level = materialize(level.join(shared, "path"), "level")
+    level = _sized(by_set.select(F.explode(F.array_distinct("paths")).alias("path"), "cid"))
     known = level.groupBy("cid").agg(F.collect_set("path").alias("paths"))
     classes = materialize(by_set.drop("paths").join(known, "cid"), "active")
     members = materialize(_buckets(level, named, classes, n, similarity), "buckets")
