@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from streamloom.llm.common import id_text
+from streamloom.llm.common import id_text, materialize
 
 WORDS, CONTAINMENT = 5, 0.8
 #: Rows of a side that may be broadcast; larger sketches are joined by a shuffle.
@@ -53,6 +53,10 @@ def sketches(items: DataFrame, n: int = WORDS, containment: float = CONTAINMENT)
     return hashes.select("item_id", "size_class", F.explode(F.slice("hs", F.lit(1), keep)).alias("h"))
 
 
+def _few(rows: DataFrame) -> bool:
+    return rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+
 def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, containment: float = CONTAINMENT) -> DataFrame:
     """(doc_id, item_id, n_shared, n_item, containment) of every document and item it contains.
 
@@ -63,13 +67,16 @@ def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
     """
     items = items.select(F.col("item_id").cast("long").alias("item_id"), words(F.coalesce("text", F.lit(""))).alias("w"))
     items = items.where(F.col("item_id").isNotNull()).dropDuplicates()
-    rows = id_text(docs, id_col, text_col).select("doc_id", words(F.col("text")).alias("w")).where(F.col("doc_id").isNotNull())
+    texts = id_text(docs, id_col, text_col).where(F.col("doc_id").isNotNull())
+    rows = texts.select("doc_id", words(F.col("text")).alias("w"))
     sketch = sketches(items, n, containment)
     whole = items.where(F.size("w") >= n).select("item_id", _exact(n).alias("item"))
-    if sketch.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if _few(sketch):
         sketch, whole = F.broadcast(sketch), F.broadcast(whole)
-    met = _shingles(rows, "doc_id", n).join(sketch, "h").select("doc_id", "item_id").distinct()
-    checked = rows.join(met, "doc_id").join(whole, "item_id").select("doc_id", "item_id", "item", _exact(n).alias("doc"))
+    met = materialize(_shingles(rows, "doc_id", n).join(sketch, "h").select("doc_id", "item_id").distinct(), "met")
+    # Candidates are written and counted; only many of them need the texts shuffled, which are split into words after that.
+    found = texts.join(F.broadcast(met) if _few(met) else met, "doc_id").select("doc_id", "item_id", words(F.col("text")).alias("w"))
+    checked = found.join(whole, "item_id").select("doc_id", "item_id", "item", _exact(n).alias("doc"))
     shared = checked.select("doc_id", "item_id", F.size(F.array_intersect("item", "doc")).cast("long").alias("n_shared"), F.size("item").cast("long").alias("n_item"))
     shared = shared.withColumn("containment", F.col("n_shared") / F.col("n_item"))
     return shared.where(F.col("n_shared") >= F.ceil(F.col("n_item") * F.lit(containment) - 1e-9)).dropDuplicates(["doc_id", "item_id"])
@@ -77,8 +84,8 @@ def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
 
 def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The documents that contain no item, with all their columns."""
-    hit = find(docs, items, **options).select("doc_id").distinct().withColumnRenamed("doc_id", "_hit")
-    return docs.join(hit, docs[options.get("id_col", "doc_id")] == F.col("_hit"), "left_anti")
+    hit = materialize(find(docs, items, **options).select(F.col("doc_id").alias("_hit")).distinct(), "hit")
+    return docs.join(F.broadcast(hit) if _few(hit) else hit, docs[options.get("id_col", "doc_id")] == F.col("_hit"), "left_anti")
 
 
 ORACLE = r"""WITH d AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
