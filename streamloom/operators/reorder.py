@@ -32,13 +32,13 @@ def classify(packets: DataFrame, depth: int = DEPTH, key: str = "stream_id", seq
     """Add ``status``: accepted, duplicate or late, as the jitter buffer would find each arrival."""
     w = Window.partitionBy(key).orderBy(order)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
-    first = F.first(seq).over(w)
-    copy = F.row_number().over(Window.partitionBy(key, seq).orderBy(order))
-    ahead = F.max(seq).over(before)
-    released = (F.col(seq) < first) | (F.coalesce(ahead, F.col(seq)) >= F.col(seq) + depth)
+    # The windows by stream come first: their partitioning also serves the one by stream and number.
+    placed = packets.withColumns({"_first": F.first(seq).over(w), "_ahead": F.max(seq).over(before)})
+    placed = placed.withColumn("_copy", F.row_number().over(Window.partitionBy(key, seq).orderBy(order)))
+    released = (F.col(seq) < F.col("_first")) | (F.coalesce("_ahead", seq) >= F.col(seq) + depth)
     # A copy of a packet that the frontier has passed is late, like any other one behind it.
     status = F.when(released, "late").when(F.col("_copy") > 1, "duplicate").otherwise("accepted")
-    return packets.withColumn("_copy", copy).withColumn("status", status).drop("_copy")
+    return placed.withColumn("status", status).drop("_first", "_ahead", "_copy")
 
 
 def reorder(packets: DataFrame, depth: int = DEPTH, key: str = "stream_id", seq: str = "seq_ext", order: str = "arrival_id", flush: bool = False) -> DataFrame:
@@ -67,13 +67,11 @@ def loss_stats(packets: DataFrame, depth: int = DEPTH, key: str = "stream_id", s
     ``slot_busy`` and ``queue_full`` are backpressure of a fixed ring; they
     are 0, as Spark holds its source back instead.
     """
-    c = classify(packets, depth, key, seq, order)
+    c = classify(packets, depth, key, seq, order).withColumn("_max", F.max(seq).over(Window.partitionBy(key)))
     ok = F.col("status") == "accepted"
-    first = c.groupBy(key).agg(
+    out = c.groupBy(key).agg(
         F.count_if(ok).cast("bigint").alias("accepted"), F.count_if(F.col("status") == "duplicate").cast("bigint").alias("duplicate"), F.count_if(F.col("status") == "late").cast("bigint").alias("late"),
-        F.min_by(seq, order).alias("_first"), F.max(seq).alias("_max"))
-    passed = c.where(ok).join(first.select(key, "_max"), key).where(F.col(seq) <= F.col("_max") - depth).groupBy(key).agg(F.count("*").alias("_released"))
-    out = first.join(passed, key, "left")
-    lost = F.greatest(F.col("_max") - depth - F.col("_first") + 1, F.lit(0)) - F.coalesce("_released", F.lit(0))
+        F.min_by(seq, order).alias("_first"), F.max("_max").alias("_max"), F.count_if(ok & (F.col(seq) <= F.col("_max") - depth)).alias("_released"))
+    lost = F.greatest(F.col("_max") - depth - F.col("_first") + 1, F.lit(0)) - F.col("_released")
     zero = F.lit(0).cast("bigint")
     return out.select(key, "accepted", "duplicate", "late", lost.cast("bigint").alias("net_lost"), zero.alias("slot_busy"), zero.alias("queue_full"), lost.cast("bigint").alias("total_drops"))
