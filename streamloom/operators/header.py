@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.pandas.types import to_arrow_type
 
-from streamloom.functions.codestream import geometry_signature, parse_main_header, unsupported
+from streamloom.functions.codestream import geometry_signature, parse_main_header, signature, unsupported
 from streamloom.schemas import MAIN_HEADER
 
 
@@ -55,6 +55,21 @@ def signatures(rows: DataFrame, data: str = "data") -> DataFrame:
     return rows.mapInArrow(run, f"{schema}, geom_sig string, sod_off bigint")
 
 
+def byte_signatures(rows: DataFrame, data: str = "data") -> DataFrame:
+    """Add ``sig`` (16 hex digits), the signature of all bytes of a binary column of any length; null for null."""
+    rows = rows.drop("sig")
+    names = rows.columns
+    at = names.index(data)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sigs = [f"{signature(x.as_py()):016x}" if x.is_valid else None for x in b.column(at)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sigs, pa.string())], names=[*names, "sig"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.mapInArrow(run, f"{schema}, sig string")
+
+
 def component_codings(headers: DataFrame) -> DataFrame:
     """(…, c, nl, cbw, cbh, cbs, transform): the resolved coding of every component, one row each."""
     others = [c for c in headers.columns if c not in ("header", "unsupported")]

@@ -337,6 +337,13 @@ def fnv_signature(spark, sf_dir):
     return d.select("doc_id", integer.signature(F.col("b")).alias("sig"))
 
 
+@query()
+def fnv_signature_whole(spark, sf_dir):
+    """Signatures of whole texts; ``fnv_signature`` and its SQL sign the first 64 bytes."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("b"))
+    return header.byte_signatures(d, "b").select("doc_id", "sig")
+
+
 @query("""WITH d AS (SELECT doc_id, hex(encode(text)) AS h FROM documents WHERE text IS NOT NULL), k AS (SELECT *, (10 + doc_id % 20) AS n FROM d WHERE length(h) >= 80)
 SELECT doc_id, (('0x' || substr(h, 2 * n - 1, 2))::BIGINT * 16 + ('0x' || substr(h, 2 * n - 3, 2))::BIGINT % 16) AS scup FROM k""")
 def scup_lengths(spark, sf_dir):

@@ -22,3 +22,19 @@ def test_entry_lists_all(spark):
     assert set(QUERIES) <= set(e.queries())
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).count() == 8
+
+
+def slow_signature(data):
+    h = 1469598103934665603
+    for x in data:
+        h = (h ^ x) * 1099511628211 % 2**64
+    return f"{h:016x}"
+
+
+def test_whole_signatures(spark, tmp_path):
+    """Texts that differ only past byte 64 have signatures of their own."""
+    rows = [(1, "x" * 64), (2, "x" * 64 + "a"), (3, "x" * 64 + "b"), (4, "é" * 5000 + "end"), (5, ""), (6, None), (7, "x" * 64 + "a")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.sig for r in QUERIES["fnv_signature_whole"](spark, str(tmp_path)).collect()}
+    assert got == {k: slow_signature((t or "").encode()) for k, t in rows}
+    assert len(set(got.values())) == 5
