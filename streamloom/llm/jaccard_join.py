@@ -114,6 +114,20 @@ def _classify(docs: DataFrame, n: int, similarity: float, runs: int) -> DataFram
     return map_arrow(docs, run, "doc_id long, cid binary, paths array<long>")
 
 
+def _with_class(docs: DataFrame, text_col: str, n: int) -> DataFrame:
+    """Add ``_set``, the cid of every row."""
+    names = docs.columns
+    at = names.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            cids = [_class(h) for h in shingle_sets([t or "" for t in b.column(at).to_pylist()], n)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cids, pa.binary())], names=[*names, "_set"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    return map_arrow(docs, run, schema + ", _set binary")
+
+
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """The text of one document of each wanted class: (text, and the columns of ``wanted`` but ``rep``).
 
@@ -364,19 +378,11 @@ def _units(members: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame
     return near.unionByName(dealt.select(unit.alias("unit"), F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"), "path", "cid")), full.drop("chunk")
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
-    """(doc_id, class_id, n_links) of every row.
+def _linked(named: DataFrame, n: int, similarity: float, recall: float) -> tuple[DataFrame, DataFrame]:
+    """doc_id, cid of every row, and cid, rep, copies, links, root of every set: linked sets have one root.
 
-    Two documents are linked if the Jaccard similarity of their sets of word
-    n-grams is at least ``similarity``.  ``n_links`` counts the other documents
-    that a document is linked to, copies included; ``class_id`` is the least id
-    of all documents that links lead to, its own if there are none.  Texts
-    without a word (null, empty) have no set and no links.  Rows with a null id
-    take no part: their class is null, with 0 links.  Rows of one id count as
-    documents of their own and each get a row.
+    named: doc_id, text; no null id.
     """
-    docs = id_text(docs, id_col, text_col)
-    named = docs.where(F.col("doc_id").isNotNull())
     found = materialize(_classify(named, n, similarity, runs_for(recall)), "paths")
     by_set = found.where(F.col("cid").isNotNull()).groupBy("cid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("paths").alias("paths"))
     by_set = materialize(by_set, "sets")
@@ -396,17 +402,48 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     counts = links.groupBy(F.col("u").alias("cid")).agg(F.sum("links").alias("links"))
     whole = by_set.select("cid", "rep", "copies").join(counts, "cid", "left").join(roots.withColumnsRenamed({"u": "cid", "v": "root"}), "cid", "left")
     whole = whole.withColumn("root", F.coalesce("root", "cid"))
+    return found.select("doc_id", "cid"), whole
+
+
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+    """(doc_id, class_id, n_links) of every row.
+
+    Two documents are linked if the Jaccard similarity of their sets of word
+    n-grams is at least ``similarity``.  ``n_links`` counts the other documents
+    that a document is linked to, copies included; ``class_id`` is the least id
+    of all documents that links lead to, its own if there are none.  Texts
+    without a word (null, empty) have no set and no links.  Rows with a null id
+    take no part: their class is null, with 0 links.  Rows of one id count as
+    documents of their own and each get a row.
+    """
+    docs = id_text(docs, id_col, text_col)
+    found, whole = _linked(docs.where(F.col("doc_id").isNotNull()), n, similarity, recall)
     least = whole.groupBy("root").agg(F.min("rep").alias("class_id"))
     labels = whole.join(least, "root").select("cid", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"))
-    out = found.select("doc_id", "cid").join(labels, "cid", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    out = found.join(labels, "cid", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     return out.unionByName(docs.where(F.col("doc_id").isNull()).select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` whose id is their class's least; rows with a null id stay, repeated rows of an id are one."""
-    kept = join(docs, id_col, text_col, **options).where("doc_id = class_id").select(F.col("doc_id").alias("_kept")).distinct()
-    one = docs.where(F.col(id_col).isNotNull()).join(kept, F.col(id_col) == F.col("_kept"), "left_semi").dropDuplicates([id_col])
-    return one.unionByName(docs.where(F.col(id_col).isNull()))
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+    """One row of ``docs`` for each class of linked sets, one that has the least id; a row goes only if an equal or linked text stays.
+
+    Rows of one id stay apart if their texts aren't linked.  Rows without a
+    word stay, equal ones of one id once; rows with a null id stay.
+    """
+    texts = id_text(docs, id_col, text_col)
+    found, whole = _linked(texts.where(F.col("doc_id").isNotNull()), n, similarity, recall)
+    least = whole.groupBy("root").agg(F.min(F.struct("rep", "cid")).alias("k")).select(F.col("k.rep").alias("_kept"), F.col("k.cid").alias("_cid"))
+    wordless = found.where(F.col("cid").isNull()).select(F.col("doc_id").alias("_kept"), F.col("cid").alias("_cid")).distinct()
+    kept = materialize(least.unionByName(wordless), "kept")
+    again = materialize(found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_again")), "again")
+    key = F.col(id_col).cast("long")
+    named = docs.where(key.isNotNull())
+    one = named.join(kept.select("_kept").distinct(), key == F.col("_kept"), "left_semi").join(again, key == F.col("_again"), "left_anti")
+    # Only rows of repeated ids must be told apart by their sets.
+    some = _with_class(named.join(again, key == F.col("_again"), "left_semi"), text_col, n)
+    some = some.join(kept, (key == F.col("_kept")) & F.col("_set").eqNullSafe(F.col("_cid")), "left_semi")
+    some = some.withColumn("_text", F.when(F.col("_set").isNull(), F.coalesce(F.col(text_col), F.lit("")))).dropDuplicates([id_col, "_set", "_text"]).select(docs.columns)
+    return one.unionByName(some).unionByName(docs.where(key.isNull()))
 
 
 ORACLE = r"""WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),

@@ -109,6 +109,18 @@ def test_join(docs):
     assert jaccard_join.join(docs.limit(0)).count() == 0
 
 
+def test_keep_one_of_repeated_ids(spark):
+    """Rows of one id with different texts: each goes only if an equal or linked text stays."""
+    x, y, z = (" ".join(f"{c}{k}" for k in range(60)) for c in "xyz")
+    rows = [(5, x), (5, y), (2, y + " end"), (7, z), (7, z + " end"), (7, z), (8, x + " end"), (9, ""), (9, None), (9, " "), (9, "one"), (1, "two words"), (1, "two words"), (1, "one"), (None, x)]
+    got = jaccard_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'c' AS kept")).collect()
+    assert len(got[0]) == 3
+    texts = Counter((r.doc_id, r.text or "") for r in got)
+    (last,) = [k for k in texts if k[0] == 7]
+    assert last[1] in (z, z + " end")
+    assert texts == Counter({k: 1 for k in [(5, x), (2, y + " end"), last, (9, ""), (9, " "), (1, "two words"), (1, "one"), (None, x)]})
+
+
 def test_join_of_large_buckets(spark, monkeypatch):
     """Small limits drive large groups through splitting, blocks and chunk pairs."""
     for k, v in {"BUCKET": 12, "CHUNK": 5, "BROADCAST_ROWS": 3}.items():
