@@ -34,8 +34,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain a benchmark item go."""
-    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark")).select(docs.columns)
+    """Documents that contain a benchmark item go, also those with a null id."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"), nulls=True).select(docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

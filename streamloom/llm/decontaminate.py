@@ -82,10 +82,22 @@ def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
     return shared.where(F.col("n_shared") >= F.ceil(F.col("n_item") * F.lit(containment) - 1e-9)).dropDuplicates(["doc_id", "item_id"])
 
 
-def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The documents that contain no item, with all their columns."""
-    hit = materialize(find(docs, items, **options).select(F.col("doc_id").alias("_hit")).distinct(), "hit")
-    return docs.join(F.broadcast(hit) if _few(hit) else hit, docs[options.get("id_col", "doc_id")] == F.col("_hit"), "left_anti")
+def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", nulls: bool = False, **options) -> DataFrame:
+    """The documents that contain no item, with all their columns.
+
+    Rows with a null id stay unsearched; with ``nulls`` they are searched as
+    well, each by itself.
+    """
+    hit = materialize(find(docs, items, id_col=id_col, **options).select(F.col("doc_id").alias("_hit")).distinct(), "hit")
+    kept = docs.join(F.broadcast(hit) if _few(hit) else hit, docs[id_col] == F.col("_hit"), "left_anti")
+    if not nulls:
+        return kept
+    # Written, so that the row keys stay as they are.
+    rows = materialize(docs.where(F.col(id_col).isNull()).withColumn("_row", F.monotonically_increasing_id()), "nameless")
+    if not rows.limit(1).count():
+        return kept
+    nameless = clean(rows, items, id_col="_row", **options)
+    return kept.where(F.col(id_col).isNotNull()).unionByName(nameless.drop("_row"))
 
 
 ORACLE = r"""WITH d AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),

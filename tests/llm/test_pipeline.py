@@ -56,3 +56,15 @@ def test_stages(spark, sf, tmp_path):
         assert bytes(r.ids_le) == next(coder.encode([rows[4][k].text]))[0]
     assert sorted(rows[5]) == sorted(rows[4])
     assert {r.doc_id: r.ids_sha256 for r in corpus_pipeline.run(spark, sf).collect()} == {k: r.ids_sha256 for k, r in rows[5].items()}
+
+
+def test_null_ids_are_decontaminated(spark, tmp_path):
+    item = " ".join(f"item{k}" for k in range(30))
+    spark.createDataFrame([(10, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(1, item), (2, "fine"), (None, f"a {item} b"), (None, "clean " * 9), (None, "clean " * 9), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' AS lang").repartition(3)
+    got = corpus_pipeline.decontamination(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in got.collect()) == sorted((k or 0, t or "") for k, t in rows if item not in (t or ""))
+    named = corpus_pipeline.decontamination(spark, docs.where("doc_id IS NOT NULL"), str(tmp_path))
+    assert [r.doc_id for r in named.collect()] == [2]
