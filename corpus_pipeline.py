@@ -14,7 +14,7 @@ from streamloom.llm.common import materialize, ship, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without a letter and long texts of no clear language go."""
+    """Texts without a letter and texts of no clear language go."""
     return langid.identify(docs, keep=True).where(~F.col("rejected")).select(docs.columns)
 
 

@@ -10,7 +10,6 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import islice
 
 import pyarrow as pa
 import zstandard
@@ -23,9 +22,8 @@ from streamloom.llm.common import map_arrow, slices
 SAMPLE_ROWS, SAMPLE_CHARS, DICT_BYTES = 400, 2000, 96 << 10
 #: Texts are encoded in blocks of this many bytes, each against the plain dictionary.
 BLOCK_BYTES = 4096
-#: Least (second - best) / second for a sure decision, asked only of texts with some evidence:
-#: the few bytes of a very short text tie too easily to reject it for that.
-MIN_MARGIN, MIN_LETTERS = 0.002, 64
+#: Least (second - best) / second for a sure decision, for texts of any length; the README has the error rates.
+MIN_MARGIN = 0.02
 LEVEL = 3
 LETTER = re.compile(r"[^\W\d_]")
 OTHER = re.compile(r"[\W\d_]+")
@@ -85,11 +83,6 @@ def _own_lines(found: dict[str, set[str]], dict_bytes: int) -> dict[str, set[str
     return {k: v or found[k] for k, v in kept.items()}
 
 
-def enough(text: str) -> bool:
-    """Whether a text has ``MIN_LETTERS`` letters; stops at the last one needed."""
-    return next(islice(LETTER.finditer(text), MIN_LETTERS - 1, None), None) is not None
-
-
 class Model:
     """Digested dictionaries, built once in each Python worker task."""
 
@@ -122,9 +115,8 @@ def classify(docs: DataFrame, dicts: dict[str, bytes], id_col: str = "doc_id", t
 
     Without ``keep`` only the id goes along.  Null or empty text and text
     without a letter: ``und``, score 0, rejected.  A tie goes to the first
-    language by name; it has the narrowest margin, 0, and is rejected if the
-    text has ``MIN_LETTERS`` letters.  Repeated rows each
-    get their row; input columns named like the new ones are replaced.
+    language by name; it has the narrowest margin, 0, and is rejected.
+    Repeated rows each get their row; input columns named like the new ones are replaced.
     """
     new = ("lang_pred", "score", "rejected")
     rows = docs.drop(*new) if keep else docs.select(F.col(id_col), F.col(text_col))
@@ -134,10 +126,9 @@ def classify(docs: DataFrame, dicts: dict[str, bytes], id_col: str = "doc_id", t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(dicts)
         for b in slices(batches):
-            texts = b.column(at).to_pylist()
-            out = [model.predict(t) for t in texts]
+            out = [model.predict(t) for t in b.column(at).to_pylist()]
             cols = [pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64()),
-                    pa.array([x[0] == "und" or x[1] < min_margin and enough(t) for x, t in zip(out, texts, strict=True)], pa.bool_())]
+                    pa.array([x[0] == "und" or x[1] < min_margin for x in out], pa.bool_())]
             kept = [(n, b.column(i)) for i, n in enumerate(own) if keep or n != text_col]
             yield pa.RecordBatch.from_arrays([c for _, c in kept] + cols, names=[n for n, _ in kept] + list(new))
 

@@ -228,3 +228,13 @@ def test_language_edges(spark, sf):
     # Labels of rows that aren't learned from don't matter.
     odd = docs.withColumn("lang", F.when(langid.held_out(F.col("doc_id")), "zz").otherwise(F.col("lang")))
     assert "zz" not in {r.lang_pred for r in langid.identify(odd).collect()}
+
+
+def test_narrow_margins_of_any_length(spark, sf):
+    """Ties and narrow margins are rejected in short texts too; texts of a learned language stay."""
+    dicts = langid.fit(spark.read.parquet(f"{sf}/documents.parquet"))
+    polish = "dlaczego człowiek miasto życie światło przyjaciel książka dziecko ojciec rzeka zwierzę szczęście"
+    rows = [(1, "wszystko"), (2, "szkoła i praca"), (3, polish), (4, " ".join([polish] * 9)), (5, " ".join(dicts["de"].decode().split()[5:60]))]
+    got = {r.doc_id: r for r in langid.classify(spark.createDataFrame(rows, "doc_id long, text string"), dicts).collect()}
+    assert all(r.rejected == (r.score < langid.MIN_MARGIN) for r in got.values())
+    assert got[1].score == 0 and [got[k].rejected for k in (1, 2, 3, 5)] == [True, True, True, False]
