@@ -191,9 +191,9 @@ def read(media: DataFrame, up: int = 2, pcm: bool = False) -> DataFrame:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """The digest columns of every document's stored and reread media."""
-    back = read(store(docs))
+    """The digest columns of every document's stored and reread media, and of the PCM file stored from it."""
+    back = read(store(docs), pcm=True)
     return back.select(
         "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
         F.crc32(F.substring("payload", -UNIT, UNIT)).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"),
-        F.sha2("media", 256).alias("media_sha256"), "feature")
+        F.sha2("media", 256).alias("media_sha256"), "feature", F.octet_length("pcm").cast("long").alias("pcm_bytes"), F.sha2("pcm", 256).alias("pcm_sha256"))

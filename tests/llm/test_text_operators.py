@@ -171,6 +171,18 @@ def test_media_round_trip(spark, codec):
     assert (d.payload_bytes, d.payload_sha256, d.tail_crc32) == (5056, hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
 
 
+def test_digest_of_pcm_files(spark):
+    rows = [(1, "abc"), (2, None), (3, "é" * 999), (4, "y" * 5000), (5, "q" * 64)]
+    got = {r.doc_id: r for r in media.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, t in rows:
+        raw = (t or "").encode()
+        raw += bytes(-len(raw) % 64 or (0 if raw else 64))
+        x = media.expand(media.codec_of(raw), raw).tolist()
+        out = [v for a, b in zip(x, [*x[1:], x[-1]], strict=True) for v in (a, (a + b) // 2)]
+        pcm = media.wave(np.array(out, "<i2").tobytes(), media.PCM, 16000)
+        assert (got[k].pcm_bytes, got[k].pcm_sha256) == (len(pcm), hashlib.sha256(pcm).hexdigest())
+
+
 def slow_table(names, slots):
     prefs = []
     for n in names:
