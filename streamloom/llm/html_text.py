@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections import defaultdict
+from collections.abc import Generator, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,8 +43,6 @@ TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 NOT_SHOWN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 MAY_HIDE = re.compile(r"hidden|style|type", re.I)
-#: Deeper elements are flattened into this depth; their text stays.
-MAX_DEPTH = 300
 #: Columns are aligned up to this width; longer cells stay whole and stick out.
 MAX_ALIGN = 40
 
@@ -71,15 +71,40 @@ def parse(page: str) -> Node:
     """The tree below an implied body; html, head and body tags add nothing."""
     root = Node("body")
     stack = [root]
+    # Where in the stack the open elements of a tag, all blocks and all scopes are, so that no search walks a deep stack.
+    places: defaultdict[str, list[int]] = defaultdict(list)
     at, size = 0, len(page)
 
+    def kinds(tag: str) -> Iterator[str]:
+        yield tag
+        if tag in BLOCK:
+            yield "<block"
+        if tag in SCOPES:
+            yield "<scope"
+
+    def push(node: Node) -> None:
+        for kind in kinds(node.tag):
+            places[kind].append(len(stack))
+        stack.append(node)
+
+    def cut(k: int) -> None:
+        """Close the element at place k and all inside it."""
+        while len(stack) > k:
+            for kind in kinds(stack.pop().tag):
+                places[kind].pop()
+
+    def last(kind: str) -> int:
+        """The innermost place of an open element; 0 if there is none."""
+        found = places.get(kind)
+        return found[-1] if found else 0
+
     def place(child: Node | str) -> None:
         """Into the open element, or before the table if it can't hold the child."""
         top = stack[-1]
         home, before = top.children, None
-        stray = top.tag in TABLE_PARTS and any(n.tag == "table" for n in stack) and (not child.isspace() if isinstance(child, str) else child.tag not in ("caption", "colgroup", "col", "tbody", "thead", "tfoot", "tr", "td", "th", "script", "style", "template"))
+        stray = top.tag in TABLE_PARTS and last("table") and (not child.isspace() if isinstance(child, str) else child.tag not in ("caption", "colgroup", "col", "tbody", "thead", "tfoot", "tr", "td", "th", "script", "style", "template"))
         if stray:
-            before = next(n for n in reversed(stack) if n.tag == "table")
+            before = stack[last("table")]
             home = before.home
         if not isinstance(child, str):
             child.home = home
@@ -89,14 +114,12 @@ def parse(page: str) -> Node:
             home.insert(next(i for i in range(len(home) - 1, -1, -1) if home[i] is before), child)
 
     def close(tag: str) -> None:
-        k = len(stack) - 1
-        walls = SCOPES if tag not in ("table", "tbody", "thead", "tfoot", "tr", "td", "th", "caption") else {"table"}
-        while k and stack[k].tag != tag:
-            if stack[k].tag in walls or tag not in BLOCK and stack[k].tag in BLOCK:
-                return
-            k -= 1
+        k = last(tag)
+        wall = last("<scope" if tag not in ("table", "tbody", "thead", "tfoot", "tr", "td", "th", "caption") else "table")
+        if max(wall, last("<block") if tag not in BLOCK else 0) > k:
+            return
         if k:
-            del stack[k:]
+            cut(k)
         elif tag == "p":
             place(Node("p"))
 
@@ -135,27 +158,19 @@ def parse(page: str) -> Node:
         if tag in ("html", "head", "body"):
             continue
         if tag in CLOSES_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "p":
-                    del stack[k:]
-                    break
-                if stack[k].tag in SCOPES:
-                    break
+            if last("p") > last("<scope"):
+                cut(last("p"))
         if (ends := ENDS.get(tag)) is not None:
-            cut = 0
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in ends[1]:
-                    break
-                if stack[k].tag in ends[0]:
-                    cut = k
-            if cut:
-                del stack[cut:]
+            wall = max(map(last, ends[1]))
+            inner = [found[k] for t in ends[0] if (found := places.get(t)) and (k := bisect_right(found, wall)) < len(found)]
+            if inner:
+                cut(min(inner))
             inside = stack[-1].tag
             if tag in ("td", "th") and inside in ("table", "tbody", "thead", "tfoot"):
                 row = Node("tr")
                 row.home = stack[-1].children
                 row.home.append(row)
-                stack.append(row)
+                push(row)
         node = Node(tag, m[3])
         place(node)
         if tag in RAW or tag in PLAIN:
@@ -165,8 +180,8 @@ def parse(page: str) -> Node:
             node.children.append(html.unescape(text) if tag in PLAIN else text)
             gt = page.find(">", stop)
             at = size if gt < 0 else gt + 1
-        elif tag not in VOID and len(stack) < MAX_DEPTH:
-            stack.append(node)
+        elif tag not in VOID:
+            push(node)
     return root
 
 
@@ -217,7 +232,23 @@ class Writer:
         return "".join(self.out)
 
 
-def render(node: Node, w: Writer, pre: bool = False) -> None:
+def render(node: Node, w: Writer) -> None:
+    """Walk the tree; open elements are generators on a stack of their own, so any depth will do."""
+    open_, value = [_render(node, w)], None
+    while open_:
+        try:
+            open_.append(open_[-1].send(value))
+            value = None
+        except StopIteration as end:
+            open_.pop()
+            value = end.value
+
+
+#: Yields what must be done first and gets what that returns.
+Steps = Generator["Steps", list[str] | None, list[str] | None]
+
+
+def _render(node: Node, w: Writer, pre: bool = False) -> Steps:
     tag = node.tag
     if not node.shown:
         return
@@ -226,14 +257,14 @@ def render(node: Node, w: Writer, pre: bool = False) -> None:
         return
     if tag == "table":
         w.block(2)
-        for line in table_lines(node):
+        for line in (yield _table_lines(node)):
             w.lines(line)
             w.block(1)
         w.block(2)
         return
     if tag in ("ul", "ol", "menu"):
         w.block(1 if w.indent else 2)
-        _list(node, w, pre)
+        yield _list(node, w, pre)
         w.block(1 if w.indent else 2)
         return
     gap = 0 if tag not in BLOCK else 2 if tag in SPACED and not (w.marker and tag == "p") else 1
@@ -247,8 +278,8 @@ def render(node: Node, w: Writer, pre: bool = False) -> None:
     for child in node.children:
         if isinstance(child, str):
             put(child)
-        else:
-            render(child, w, pre)
+        elif child.shown:
+            yield _render(child, w, pre)
     w.indent = indent
     if tag == "pre":
         w.breaks = 0
@@ -256,7 +287,7 @@ def render(node: Node, w: Writer, pre: bool = False) -> None:
         w.block(gap)
 
 
-def _list(node: Node, w: Writer, pre: bool) -> None:
+def _list(node: Node, w: Writer, pre: bool) -> Steps:
     number, indent = 1, w.indent
     if node.tag == "ol" and node.attrs:
         start = _attributes(node.attrs).get("start", "")
@@ -273,36 +304,41 @@ def _list(node: Node, w: Writer, pre: bool) -> None:
                 if isinstance(x, str):
                     (w.lines if pre else w.text)(x)
                 else:
-                    render(x, w, pre)
+                    yield _render(x, w, pre)
             w.indent, w.marker = indent, ""
             w.block(1)
         else:
-            render(child, w, pre)
+            yield _render(child, w, pre)
 
 
 def _rows(node: Node) -> Iterator[Node]:
-    for c in node.children:
-        if isinstance(c, Node) and c.shown:
+    left = [iter(node.children)]
+    while left:
+        c = next(left[-1], None)
+        if c is None:
+            left.pop()
+        elif isinstance(c, Node) and c.shown:
             if c.tag == "tr":
                 yield c
             elif c.tag in ("tbody", "thead", "tfoot"):
-                yield from _rows(c)
+                left.append(iter(c.children))
 
 
-def table_lines(node: Node) -> Iterator[str]:
+def _table_lines(node: Node) -> Steps:
     """Captions, then rows whose cells start at common columns; spans take empty cells."""
+    out: list[str] = []
     for c in node.children:
         if isinstance(c, Node) and c.tag == "caption" and c.shown:
             w = Writer()
-            render(c, w)
-            yield from w.value().split("\n")
+            yield _render(c, w)
+            out += w.value().split("\n")
     grid: list[list[list[str]]] = []
     for row in _rows(node):
         cells: list[list[str]] = []
         for c in row.children:
             if isinstance(c, Node) and c.tag in ("td", "th") and c.shown:
                 w = Writer()
-                render(c, w)
+                yield _render(c, w)
                 cells.append(w.value().split("\n"))
                 if "colspan" in c.attrs.lower():
                     span = _attributes(c.attrs).get("colspan", "")
@@ -315,7 +351,8 @@ def table_lines(node: Node) -> Iterator[str]:
             widths[k] = max(widths[k], *(min(len(x), MAX_ALIGN) for x in cell))
     for cells in grid:
         for k in range(max(map(len, cells))):
-            yield " | ".join((cell[k] if k < len(cell) else "").ljust(widths[j]) for j, cell in enumerate(cells)).rstrip(" |") if len(cells) > 1 else cells[0][k] if k < len(cells[0]) else ""
+            out.append(" | ".join((cell[k] if k < len(cell) else "").ljust(widths[j]) for j, cell in enumerate(cells)).rstrip(" |") if len(cells) > 1 else cells[0][k] if k < len(cells[0]) else "")
+    return out
 
 
 def visible_text(page: str | None) -> str:

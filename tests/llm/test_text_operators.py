@@ -119,6 +119,16 @@ def test_deep_and_broken_pages():
         html_text.visible_text(page)
 
 
+@pytest.mark.parametrize("depth", [10, 299, 300, 2000])
+def test_rules_hold_at_any_depth(depth):
+    """Hidden text stays hidden, end tags close their own elements, and layout stays below many open elements."""
+    page = "<b>" * depth
+    assert html_text.visible_text(page + "<div hidden>a</div><p style='display:none'>b</p><svg>c</svg><template>d</template>e") == "e"
+    assert html_text.visible_text("<div>" * depth + "<div hidden>a<div>b</div>c</div>d</div>e") == "d\ne"
+    assert html_text.visible_text(page + "<ul><li>a<li>b</ul>") == "- a\n- b"
+    assert html_text.visible_text(page + "<table><tr><td>a<td>bbb<tr><td>cc cc<td>d</table>") == "a     | bbb\ncc cc | d"
+
+
 def test_pages(spark):
     df = spark.createDataFrame([(1, "<p>a", "t"), (1, "<p>a", "t"), (2, None, None), (None, "", "")], "page_id long, html string, text string")
     assert sorted((r.page_id or 0, r.text) for r in html_text.extract(df).collect()) == [(0, ""), (1, "a"), (1, "a"), (2, "")]
