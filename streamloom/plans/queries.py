@@ -351,6 +351,15 @@ def scup_lengths(spark, sf_dir):
     return d.select("doc_id", integer.scup(F.col("b"), (F.lit(10) + F.col("doc_id") % 20).cast("int")).cast("bigint").alias("scup"))
 
 
+@query("""WITH k AS (SELECT doc_id, hex(encode(text)) AS h, 10 + doc_id % 20 AS n FROM documents)
+SELECT doc_id, CASE WHEN length(h) >= 2 * n THEN ('0x' || substr(h, 2 * n - 1, 2))::BIGINT * 16 + ('0x' || substr(h, 2 * n - 3, 2))::BIGINT % 16 END AS scup FROM k""")
+def scup_lengths_whole(spark, sf_dir):
+    """A row for every document, null where the text is shorter than the segment; ``scup_lengths`` and its SQL have those of 40 bytes and more."""
+    b, n = F.col("b"), (F.lit(10) + F.col("doc_id") % 20).cast("int")
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("text").cast("binary").alias("b"))
+    return d.select("doc_id", F.when(F.length(b) >= n, integer.scup(b, n)).cast("bigint").alias("scup"))
+
+
 def _headers(spark, sf_dir):
     """Header variants dealt to the parts, so that the decoder runs over a whole table; one in 17 is cut."""
     names = sorted(VARIANTS)

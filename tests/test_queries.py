@@ -38,3 +38,12 @@ def test_whole_signatures(spark, tmp_path):
     got = {r.doc_id: r.sig for r in QUERIES["fnv_signature_whole"](spark, str(tmp_path)).collect()}
     assert got == {k: slow_signature((t or "").encode()) for k, t in rows}
     assert len(set(got.values())) == 5
+
+
+def test_scup_of_short_texts(spark, tmp_path):
+    rows = [(k, None if k == 7 else "x" * (5 * (k % 10)) + "yz") for k in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.scup for r in QUERIES["scup_lengths_whole"](spark, str(tmp_path)).collect()}
+    cut = {k: (t or "").encode()[: 10 + k % 20] for k, t in rows}
+    assert got == {k: b[-1] * 16 + b[-2] % 16 if len(b) == 10 + k % 20 else None for k, b in cut.items()}
+    assert None in got.values() and any(v is not None and len(rows[k][1]) < 40 for k, v in got.items())
