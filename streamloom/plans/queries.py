@@ -161,6 +161,15 @@ def next_signal_asof(spark, sf_dir):
     return frames.next_signal(failures, frames.resync_points(c))
 
 
+@query(SQL_T1 + """, fl AS (SELECT stream_id, frame_id, "offset" + size // 2 AS byte_offset FROM ch), sn AS (SELECT stream_id, frame_id, byte_offset, min(pid) AS pid FROM sg GROUP BY ALL)
+SELECT fl.stream_id, fl.frame_id, fl.byte_offset, sn.byte_offset AS signal_offset, sn.pid AS signal_pid FROM fl ASOF LEFT JOIN sn ON fl.stream_id = sn.stream_id AND fl.frame_id = sn.frame_id AND fl.byte_offset < sn.byte_offset""")
+def next_signal_asof_whole(spark, sf_dir):
+    """The middle of every chunk is a failure position; ``next_signal_asof`` and its SQL have those of one event in 11."""
+    c = _chunks(spark, sf_dir)
+    failures = c.select("stream_id", "frame_id", F.expr("offset + size div 2").alias("byte_offset"))
+    return frames.next_signal(failures, frames.resync_points(c))
+
+
 @query(SQL_T1 + """SELECT sg.stream_id, sg.frame_id, sg.byte_offset, sg.pid, ch.chunk_no AS in_chunk, sg.byte_offset - ch."offset" AS "at" FROM sg
 LEFT JOIN ch ON ch.stream_id = sg.stream_id AND ch.frame_id = sg.frame_id AND sg.byte_offset >= ch."offset" AND sg.byte_offset < ch."offset" + ch.size""")
 def chunk_lookup(spark, sf_dir):

@@ -47,3 +47,13 @@ def test_scup_of_short_texts(spark, tmp_path):
     cut = {k: (t or "").encode()[: 10 + k % 20] for k, t in rows}
     assert got == {k: b[-1] * 16 + b[-2] % 16 if len(b) == 10 + k % 20 else None for k, b in cut.items()}
     assert None in got.values() and any(v is not None and len(rows[k][1]) < 40 for k, v in got.items())
+
+
+def test_every_chunk_looks_for_its_signal(spark, sf):
+    chunks = QUERIES["frame_assembly"](spark, sf).selectExpr("stream_id", "frame_id", "offset + size div 2").collect()
+    signals = {}
+    for r in QUERIES["resync_offsets"](spark, sf).collect():
+        signals.setdefault((r.stream_id, r.frame_id), []).append((r.byte_offset, r.pid))
+    want = [(*c, *min((x for x in signals.get(tuple(c[:2]), []) if x[0] > c[2]), default=(None, None))) for c in chunks]
+    got = QUERIES["next_signal_asof_whole"](spark, sf).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
