@@ -16,24 +16,25 @@ are counted in blocks and never emitted.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from streamloom.llm.common import id_text, map_arrow, materialize, mix, slices, spans_hash, text_bytes
+from streamloom.llm.common import fits, free_name, id_text, map_arrow, materialize, mix, runs_hash, slices, text_bytes, words_hash
 from streamloom.llm.components import components
 from streamloom.llm.substring_dedup import find_words
 
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.999999
 #: Common paths that a pair must have to be compared: texts with just a passage in common mostly have fewer.
 MEETINGS = 3
-#: Rows that may be broadcast to find texts.
-BROADCAST_ROWS = 100_000
+#: Bytes that may be broadcast to find texts.
+BROADCAST_BYTES = 8 << 20
 #: Buckets beyond this are split by another token; deeper tokens are sampled this much more densely, so a split loses little.
 BUCKET, DEPTH, DENSER = 1024, 3, 3.0
 #: Members of a large bucket that are looked at, on average, to see whether it can be split.
@@ -64,13 +65,14 @@ def shingle_sets(texts: list[str], n: int = WORDS) -> Iterator[np.ndarray]:
     plain = pa.array([OTHER.sub(" ", t.lower()) for t in texts], pa.string())
     raw, offsets = text_bytes(plain)
     starts, ends, doc = find_words(raw, offsets)
-    words = spans_hash(raw, starts, ends)
+    words = words_hash(raw, starts, ends)
     first = np.searchsorted(doc, np.arange(len(texts) + 1))
     size = np.diff(first)
     short = np.flatnonzero((size > 0) & (size < n))
     at = np.flatnonzero(doc[: len(doc) - n + 1] == doc[n - 1 :]) if len(doc) >= n else np.zeros(0, np.int64)
-    h = np.concatenate([spans_hash(words, at, at + n), spans_hash(words, first[short], first[short] + size[short])])
-    of = np.concatenate([doc[at], short])
+    few = [short[size[short] == k] for k in range(1, n)]
+    h = np.concatenate([runs_hash(words, n)[at], *(runs_hash(words, k)[first[own]] for k, own in enumerate(few, 1))])
+    of = np.concatenate([doc[at], *few])
     order = np.lexsort((h, of))
     h, of = h[order], of[order]
     new = np.append(True, (h[1:] != h[:-1]) | (of[1:] != of[:-1])) if len(h) else np.zeros(0, bool)
@@ -82,8 +84,7 @@ def _class(hashes: np.ndarray) -> bytes | None:
     """16 bytes that stand for a set; none for the empty set."""
     if not len(hashes):
         return None
-    one, n = np.zeros(1, np.int64), np.array([len(hashes)])
-    return spans_hash(hashes, one, n).tobytes() + spans_hash(hashes, one, n, 1).tobytes()
+    return hashlib.blake2b(hashes, digest_size=16).digest()
 
 
 def _follow(hashes: np.ndarray, seeds: np.ndarray, rate: float) -> list[np.ndarray]:
@@ -114,26 +115,26 @@ def _classify(docs: DataFrame, n: int, similarity: float, runs: int) -> DataFram
     return map_arrow(docs, run, "doc_id long, cid binary, paths array<long>")
 
 
-def _with_class(docs: DataFrame, text_col: str, n: int) -> DataFrame:
-    """Add ``_set``, the cid of every row."""
+def _with_class(docs: DataFrame, text_col: str, n: int, name: str) -> DataFrame:
+    """Add the cid of every row."""
     names = docs.columns
     at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             cids = [_class(h) for h in shingle_sets([t or "" for t in b.column(at).to_pylist()], n)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cids, pa.binary())], names=[*names, "_set"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cids, pa.binary())], names=[*names, name])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return map_arrow(docs, run, schema + ", _set binary")
+    return map_arrow(docs, run, f"{schema}, `{name}` binary")
 
 
-def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def _texts(docs: DataFrame, wanted: DataFrame, width: int | Column = 64) -> DataFrame:
     """The text of one document of each wanted class: (text, and the columns of ``wanted`` but ``rep``).
 
-    Few wanted rows are broadcast, after counting them; more are joined by a shuffle.
+    Wanted rows are broadcast if all of them, of ``width`` bytes each, are few bytes; else joined by a shuffle.
     """
-    if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if fits(wanted, width, BROADCAST_BYTES):
         wanted = F.broadcast(wanted)
     return docs.join(wanted, docs["doc_id"] == wanted["rep"]).drop("doc_id", "rep")
 
@@ -154,7 +155,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
 def _split(docs: DataFrame, classes: DataFrame, members: DataFrame, n: int, similarity: float) -> DataFrame:
     """(parent, path, cid): members of large buckets follow further tokens."""
     wanted = materialize(members.groupBy("cid").agg(F.collect_list("path").alias("parents")).join(classes.select("cid", "rep"), "cid"), "parents")
-    rows = _texts(docs, wanted).select("text", "cid", "parents")
+    rows = _texts(docs, wanted, F.size("parents") * 8 + 64).select("text", "cid", "parents")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -346,9 +347,9 @@ def _units(members: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame
     Chunk pairs have a null path, block pairs of a wide path have it.
     members: path, cid, n; classes: cid, copies, paths.
     """
-    primary = members.groupBy("cid").agg(F.max(F.struct("n", "path"))["path"].alias("primary"))
-    held = primary.groupBy("primary").agg(F.ceil(F.count("*") / F.lit(CHUNK)).alias("chunks"))
-    primary = primary.join(held, "primary").select("cid", "primary", F.pmod(F.xxhash64("cid"), F.col("chunks")).alias("block"))
+    # The path's own size says into how many chunks its classes are dealt, so nothing is counted or joined by a hot path.
+    primary = members.groupBy("cid").agg(F.max(F.struct("n", "path")).alias("m"))
+    primary = primary.select("cid", F.col("m.path").alias("primary"), F.pmod(F.xxhash64("cid"), F.ceil(F.col("m.n") / F.lit(CHUNK))).alias("block"))
     primary = materialize(primary.withColumn("chunk", F.xxhash64("primary", "block")), "primary")
     # A path's chunks are counted before they are listed, so no list is long.  It is narrow if comparing its
     # chunks ships little more than its members; else it is compared by itself, in blocks.
@@ -432,17 +433,18 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     """
     texts = id_text(docs, id_col, text_col)
     found, whole = _linked(texts.where(F.col("doc_id").isNotNull()), n, similarity, recall)
-    least = whole.groupBy("root").agg(F.min(F.struct("rep", "cid")).alias("k")).select(F.col("k.rep").alias("_kept"), F.col("k.cid").alias("_cid"))
-    wordless = found.where(F.col("cid").isNull()).select(F.col("doc_id").alias("_kept"), F.col("cid").alias("_cid")).distinct()
-    kept = materialize(least.unionByName(wordless), "kept")
-    again = materialize(found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_again")), "again")
+    kept, cid, again, own, text = (free_name(docs.columns, x) for x in ("_kept", "_cid", "_again", "_set", "_text"))
+    least = whole.groupBy("root").agg(F.min(F.struct("rep", "cid")).alias("k")).select(F.col("k.rep").alias(kept), F.col("k.cid").alias(cid))
+    wordless = found.where(F.col("cid").isNull()).select(F.col("doc_id").alias(kept), F.col("cid").alias(cid)).distinct()
+    stay = materialize(least.unionByName(wordless), "kept")
+    often = materialize(found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias(again)), "again")
     key = F.col(id_col).cast("long")
     named = docs.where(key.isNotNull())
-    one = named.join(kept.select("_kept").distinct(), key == F.col("_kept"), "left_semi").join(again, key == F.col("_again"), "left_anti")
+    one = named.join(stay.select(kept).distinct(), key == F.col(kept), "left_semi").join(often, key == F.col(again), "left_anti")
     # Only rows of repeated ids must be told apart by their sets.
-    some = _with_class(named.join(again, key == F.col("_again"), "left_semi"), text_col, n)
-    some = some.join(kept, (key == F.col("_kept")) & F.col("_set").eqNullSafe(F.col("_cid")), "left_semi")
-    some = some.withColumn("_text", F.when(F.col("_set").isNull(), F.coalesce(F.col(text_col), F.lit("")))).dropDuplicates([id_col, "_set", "_text"]).select(docs.columns)
+    some = _with_class(named.join(often, key == F.col(again), "left_semi"), text_col, n, own)
+    some = some.join(stay, (key == F.col(kept)) & F.col(own).eqNullSafe(F.col(cid)), "left_semi")
+    some = some.withColumn(text, F.when(F.col(own).isNull(), F.coalesce(F.col(text_col), F.lit("")))).dropDuplicates([id_col, own, text]).select(docs.columns)
     return one.unionByName(some).unionByName(docs.where(key.isNull()))
 
 

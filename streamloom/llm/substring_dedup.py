@@ -4,10 +4,12 @@ Pass one: every pack of documents adds its windows to count-min sketch rows
 that are cut into ranges of cells; the ranges are merged and tell each pack
 which of its windows hit only cells of count two or more.  A sketch never
 underestimates, so no repeated window is lost.  Pass two: only those windows
-are grouped exactly, by 128 bits, and all but the first of a group removed.
+are grouped, by 128-bit digests of their words, and all but the first of a
+group removed.
 
-All rows have the pack they belong to, and packs send a window once, so a hot
-passage is one entry of each pack and never a hot task.
+All rows have the pack they belong to, and packs send a window once.  Packs and
+ranges grow with the corpus, so a hot passage is one entry of each of at most
+a few million packs, 28 bytes a window, and its windows are dealt over all tasks.
 """
 
 from __future__ import annotations
@@ -19,11 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from streamloom.llm.common import make_packs, map_arrow, materialize, mix, open_pack, pack_gaps, spans_hash, text_bytes, unpack_gaps
+from streamloom.llm.common import make_packs, map_arrow, materialize, mix, open_pack, pack_places, runs_hash, text_bytes, unpack_places, words_hash
 
 WINDOW, DEPTH = 20, 2
-#: Cells of a sketch row for each window, and cells of a range, which is one reducer's share.
-CELLS_EACH, RANGE_BITS = 4, 24
+#: Cells of a sketch row for each window.
+CELLS_EACH = 4
+#: Cells of a range, which is one reducer's share, as powers of two: the least, the most, and the ranges from which it grows.
+RANGE_BITS, MAX_RANGE_BITS, RANGES = 24, 28, 1 << 14
 BIG = np.iinfo(np.int64).max
 
 
@@ -55,8 +59,7 @@ class Windows:
         self.ids = np.array([BIG if x is None else x for x in ids.to_pylist()], np.int64)
 
     def hashes(self, at: np.ndarray, which: int = 0) -> np.ndarray:
-        words = spans_hash(self.raw, self.starts, self.ends, which)
-        return spans_hash(words, at, at + self.size, which)
+        return runs_hash(words_hash(self.raw, self.starts, self.ends, which), self.size)[at]
 
     def covered(self, at: np.ndarray) -> np.ndarray:
         """Which words the windows at these places cover."""
@@ -66,8 +69,8 @@ class Windows:
         return np.cumsum(step[:-1]) > 0
 
 
-def _cells(h: np.ndarray, row: int, ranges: int) -> np.ndarray:
-    return (mix(h + np.uint64(0x632BE59BD9B4E019 * (row + 1) & (2**64 - 1))) % np.uint64(ranges << RANGE_BITS)).astype(np.int64)
+def _cells(h: np.ndarray, row: int, ranges: int, bits: int) -> np.ndarray:
+    return (mix(h + np.uint64(0x632BE59BD9B4E019 * (row + 1) & (2**64 - 1))) % np.uint64(ranges << bits)).astype(np.int64)
 
 
 def _parts(order: np.ndarray, part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -90,36 +93,39 @@ SCHEMA = "part long, pack long, data binary"
 GLOBAL, LOCAL = b"\0", b"\1"
 
 
-def _sketch(packs: DataFrame, id_col: str, text_col: str, size: int, ranges: int) -> DataFrame:
+def _sketch(packs: DataFrame, id_col: str, text_col: str, size: int, ranges: int, bits: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for pack, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            for pack, data in zip(b.column("pack").to_pylist(), b.column("data"), strict=True):
                 w = Windows(open_pack(data.as_py()), id_col, text_col, size)
                 if not len(w.at):
                     continue
                 h = w.hashes(w.at)
                 rows = []
                 for row in range(DEPTH):
-                    cells = np.sort(_cells(h, row, ranges))
-                    part = cells >> RANGE_BITS
+                    cells = np.sort(_cells(h, row, ranges, bits))
+                    part = cells >> bits
                     for k, own in _parts(np.arange(len(cells)), part):
-                        rows.append((row * ranges + k, pack, pack_gaps(cells[own] & ((1 << RANGE_BITS) - 1))))
+                        rows.append((row * ranges + k, pack, pack_places(cells[own] & ((1 << bits) - 1))))
                 yield _rows(rows, PART)
 
     return map_arrow(packs, run, SCHEMA)
 
 
-def _merge_sketches(table: pa.Table) -> pa.Table:
-    """Counts of one range, up to two, from all packs; each pack's entries are answered bit by bit."""
-    once, twice = np.zeros(1 << RANGE_BITS, bool), np.zeros(1 << RANGE_BITS, bool)
-    data = table.column("data").to_pylist()
-    for d in data:
-        cells = unpack_gaps(d)
-        twice[cells[once[cells]]] = True
-        twice[cells[1:][cells[1:] == cells[:-1]]] = True
-        once[cells] = True
-    bits = [np.packbits(twice[unpack_gaps(d)]).tobytes() for d in data]
-    return pa.Table.from_arrays([table.column("part"), table.column("pack"), pa.array(bits, pa.binary())], schema=ANSWER)
+def _merge_sketches(bits: int):
+    def run(table: pa.Table) -> pa.Table:
+        """Counts of one range, up to two, from all packs; each pack's entries are answered bit by bit."""
+        once, twice = np.zeros(1 << bits, bool), np.zeros(1 << bits, bool)
+        data = table.column("data").to_pylist()
+        for d in data:
+            cells = unpack_places(d)
+            twice[cells[once[cells]]] = True
+            twice[cells[1:][cells[1:] == cells[:-1]]] = True
+            once[cells] = True
+        answers = [np.packbits(twice[unpack_places(d)]).tobytes() for d in data]
+        return pa.Table.from_arrays([table.column("part"), table.column("pack"), pa.array(answers, pa.binary())], schema=ANSWER)
+
+    return run
 
 
 def _with_answers(packs: DataFrame, answers: DataFrame) -> DataFrame:
@@ -127,30 +133,30 @@ def _with_answers(packs: DataFrame, answers: DataFrame) -> DataFrame:
     return packs.join(found, "pack", "left")
 
 
-def _repeated(w: Windows, answers: list[dict], ranges: int) -> np.ndarray:
+def _repeated(w: Windows, answers: list[dict], ranges: int, bits: int) -> np.ndarray:
     """The windows all of whose cells count two or more."""
     by = {a["part"]: a["data"] for a in answers}
     h = w.hashes(w.at)
     keep = np.ones(len(h), bool)
     for row in range(DEPTH):
-        cells = _cells(h, row, ranges)
+        cells = _cells(h, row, ranges, bits)
         order = np.argsort(cells, kind="stable")
         hit = np.zeros(len(h), bool)
-        for k, own in _parts(order, cells >> RANGE_BITS):
+        for k, own in _parts(order, cells >> bits):
             hit[own] = np.unpackbits(np.frombuffer(by[row * ranges + k], np.uint8), count=len(own)).astype(bool)
         keep &= hit
     return w.at[keep]
 
 
-def _candidates(packs: DataFrame, id_col: str, text_col: str, size: int, ranges: int) -> DataFrame:
+def _candidates(packs: DataFrame, id_col: str, text_col: str, size: int, ranges: int, bits: int) -> DataFrame:
     """Rows for the exact grouping; LOCAL ones have the windows that an earlier one of the same pack removes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for pack, data, answers in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
+            for pack, data, answers in zip(b.column("pack").to_pylist(), b.column("data"), b.column("answers").to_pylist(), strict=True):
                 if not answers:
                     continue
                 w = Windows(open_pack(data.as_py()), id_col, text_col, size)
-                at = _repeated(w, answers, ranges)
+                at = _repeated(w, answers, ranges, bits)
                 if not len(at):
                     continue
                 key = np.empty(len(at), [("a", np.uint64), ("b", np.uint64)])
@@ -199,15 +205,12 @@ def _first_only(table: pa.Table) -> pa.Table:
 
 def removed_windows(packs: DataFrame, id_col: str, text_col: str, size: int = WINDOW) -> DataFrame:
     """(part, pack, data): word places of the windows that start earlier elsewhere."""
-    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            counts = [len(Windows(open_pack(d.as_py()), id_col, text_col, size).at) for d in b.column(1)]
-            yield pa.RecordBatch.from_arrays([pa.array([sum(counts)], pa.int64())], names=["n"])
-
-    windows = map_arrow(packs, total, "n long").agg(F.sum("n")).first()[0] or 0
-    ranges = max(1, -(-windows * CELLS_EACH >> RANGE_BITS))
-    answers = materialize(_sketch(packs, id_col, text_col, size, ranges).groupBy("part").applyInArrow(_merge_sketches, SCHEMA), "sketch")
-    found = _candidates(_with_answers(packs, answers), id_col, text_col, size, ranges)
+    # Windows are as many as words, of about five bytes each; the estimate only sets the sketch's size.
+    cells = (packs.agg(F.sum("size")).first()[0] or 0) // 5 * CELLS_EACH
+    bits = min(max(RANGE_BITS, (cells // RANGES).bit_length()), MAX_RANGE_BITS)
+    ranges = max(1, -(-cells >> bits))
+    answers = materialize(_sketch(packs, id_col, text_col, size, ranges, bits).groupBy("part").applyInArrow(_merge_sketches(bits), SCHEMA), "sketch")
+    found = _candidates(_with_answers(packs, answers), id_col, text_col, size, ranges, bits)
     return found.groupBy("part").applyInArrow(_first_only, SCHEMA)
 
 
@@ -227,7 +230,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for data, answers in zip(b.column(1), b.column(2).to_pylist(), strict=True):
+            for data, answers in zip(b.column("data"), b.column("answers").to_pylist(), strict=True):
                 batch = open_pack(data.as_py())
                 w = Windows(batch, id_col, text_col, size)
                 at = [np.frombuffer(a["data"], np.uint32).astype(np.int64) for a in answers or []]

@@ -1,25 +1,28 @@
 """Removal of long byte strings that occur again, from merged Burrows-Wheeler transforms.
 
-Shards.  Two equal strings of ``LENGTH`` bytes have the same least gram hash
-inside, so each window is dealt to the range of its least hash, together with
-all windows that could equal it.  Windows whose least hash occurs once in the
-corpus are done; runs of the others go to their range as short regions.
+Shards.  Two equal windows have the same least gram hash inside, so each window
+is dealt to the range of its least hash, together with all windows that could
+equal it.  Windows whose least hash occurs once in the corpus are done; runs of
+the others go to their range as short regions.
 
 Merging.  In a range every source pack's regions form a shard, whose suffixes
-are sorted and give its transform.  The shards' transforms are merged by
-iterative interleave refinement: an interleave of shard numbers is dealt again
-by the symbol before each suffix, stably, until suffixes are ordered by LENGTH
-bytes; no suffix is sorted against another shard's.  The boundaries that appear
-in round k have a common prefix of k - 1 symbols; what is undivided at the end
-is a repeated interval.  The alphabet is blocks of ``BLOCK`` bytes, in the
-order of their hashes, so a round advances by that many bytes.
-
-A least hash that occurs very often would make a range large; its windows are
-counted by 128-bit hashes instead, each pack sending a window once.
+are sorted among themselves only and give its transform.  The shards'
+transforms are merged by iterative interleave refinement: an interleave of
+shard numbers is dealt again by the symbol before each suffix, stably.  A
+boundary that appears in round k has a common prefix of k - 1 symbols, which
+gives the merged common-prefix array; its intervals are the repeats.  Symbols
+are the ranks of blocks of ``BLOCK`` bytes, so a round advances by that many
+bytes.  Nothing but the interleave tells whether suffixes of two shards agree.
+
+A least hash that occurs very often would make a range large.  Its windows are
+first counted by a hash of themselves, which loses none that is repeated; the
+regions of the counted ones are made distinct before they are merged like all
+others, so a passage that a third of the corpus has is merged once.
 """
 
 from __future__ import annotations
 
+import hashlib
 import pickle
 from collections.abc import Iterator
 
@@ -29,16 +32,20 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from streamloom.llm.common import make_packs, map_arrow, materialize, mix, open_pack, powers, spans_hash, text_bytes
-from streamloom.llm.substring_dedup import ANSWER, GLOBAL, LOCAL, PART, SCHEMA, _parts, _rows, _with_answers, local_answers
+from streamloom.llm.common import make_packs, map_arrow, materialize, mix, open_pack, rolling, text_bytes
+from streamloom.llm.substring_dedup import ANSWER, PART, SCHEMA, _parts, _rows, _with_answers
 
 LENGTH, GRAM, BLOCK = 400, 64, 100
-#: Occurrences of a least hash from which windows are counted by their own hashes.
+#: A passage of about 50 words, whose repeats are reported beside those that are removed.
+SHORTER = 300
+#: Occurrences of a least hash from which windows are counted before they are sent.
 HOT = 1024
 #: Bytes of regions, and hashes, that a range should have.
 RANGE_BYTES, RANGE_HASHES = 2 << 20, 2 << 20
 #: Windows of a document that are looked at together.
 PIECE = 1 << 20
+#: Kinds of answers: starts of repeats of LENGTH bytes, of SHORTER bytes, and windows to look at again.
+REMOVED, REPORTED, AGAIN = 0, 1, 2
 
 
 def _sliding(x: np.ndarray, width: int, least: bool) -> np.ndarray:
@@ -53,11 +60,7 @@ def _sliding(x: np.ndarray, width: int, least: bool) -> np.ndarray:
 
 def _runs(b: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of windows with one least hash: starts, ends, hashes; and the hashes of all places that are least somewhere."""
-    n = len(b)
-    up, down = powers(n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
-    h = mix((total[gram:] - total[:-gram]) * down[: n - gram + 1])
+    h = rolling(b, gram)
     width = length - gram + 1
     least = _sliding(h, width, True)
     cut = np.flatnonzero(least[1:] != least[:-1]) + 1
@@ -72,7 +75,6 @@ class Pack:
     """The runs of all documents of a pack; places are bytes of the pack."""
 
     def __init__(self, batch: pa.RecordBatch, text_col: str, length: int, gram: int):
-        self.batch = batch
         self.raw, self.offsets = text_bytes(batch.column(text_col))
         parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64))]
         for lo, hi in zip(self.offsets[:-1].tolist(), self.offsets[1:].tolist(), strict=True):
@@ -81,17 +83,30 @@ class Pack:
                 parts.append((s + at, e + at, v, p))
         self.starts, self.ends, self.least, self.places = (np.concatenate(x) for x in zip(*parts, strict=True))
 
+    def regions(self, starts: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and bytes of the regions of runs of starts: to ``length`` bytes past the last start, within the document."""
+        stop = self.offsets[np.searchsorted(self.offsets, starts, side="right")]
+        sizes = np.minimum(ends - 1 + length, stop) - starts
+        return sizes, self.raw[_flat(starts, sizes)]
 
-def _anchors(packs: DataFrame, text_col: str, length: int, gram: int, ranges: int) -> DataFrame:
+
+def _opened(batches: Iterator[pa.RecordBatch], text_col: str, shorter: int, gram: int) -> Iterator[tuple[int, Pack, list[dict]]]:
+    for b in batches:
+        answers = b.column("answers").to_pylist() if "answers" in b.schema.names else [None] * b.num_rows
+        for pack, data, found in zip(b.column("pack").to_pylist(), b.column("data"), answers, strict=True):
+            if found or "answers" not in b.schema.names:
+                yield pack, Pack(open_pack(data.as_py()), text_col, shorter, gram), found or []
+
+
+def _anchors(packs: DataFrame, text_col: str, shorter: int, gram: int, ranges: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for pack, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                values, counts = np.unique(Pack(open_pack(data.as_py()), text_col, length, gram).places, return_counts=True)
-                if len(values):
-                    part = (values % np.uint64(ranges)).astype(np.int64)
-                    yield _rows([(k, pack, values[i].tobytes() + counts[i].astype(np.uint32).tobytes()) for k, i in _parts(np.argsort(part, kind="stable"), part)], PART)
+        for pack, p, _ in _opened(batches, text_col, shorter, gram):
+            values, counts = np.unique(p.places, return_counts=True)
+            if len(values):
+                part = (values % np.uint64(ranges)).astype(np.int64)
+                yield _rows([(k, pack, values[i].tobytes() + counts[i].astype(np.uint32).tobytes()) for k, i in _parts(np.argsort(part, kind="stable"), part)], PART)
 
-    return map_arrow(packs, run, SCHEMA)
+    return map_arrow(packs.select("pack", "data"), run, SCHEMA)
 
 
 def _count_anchors(hot: int):
@@ -117,56 +132,83 @@ def _spans(starts: np.ndarray) -> bytes:
     return np.concatenate([starts[np.append(0, cut + 1)], starts[np.append(cut, len(starts) - 1)] + 1]).astype(np.uint32).tobytes() if len(starts) else b""
 
 
+def _from_spans(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    begins, ends = np.frombuffer(data, np.uint32).reshape(2, -1).astype(np.int64)
+    return begins, ends
+
+
 def _flat(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """starts[i], starts[i] + 1 and so on, sizes[i] of them, for every i."""
     return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
 
 
-def _regions(packs: DataFrame, text_col: str, length: int, gram: int, ranges: int) -> DataFrame:
-    """Regions of repeated hashes by range; with part >= ranges, window hashes of frequent ones; LOCAL rows, windows repeated in the pack itself."""
+def _regions(packs: DataFrame, text_col: str, length: int, shorter: int, gram: int, ranges: int) -> DataFrame:
+    """Regions of repeated hashes by range; with part >= ranges, hashes of the windows of frequent ones."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zip_ = zstandard.ZstdCompressor(level=1)
-        for b in batches:
-            for pack, data, answers in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
-                if not answers:
-                    continue
-                p = Pack(open_pack(data.as_py()), text_col, length, gram)
-                known = np.concatenate([np.frombuffer(a["data"], np.uint64).reshape(2, -1) for a in answers], axis=1)
-                known = known[:, np.argsort(known[0])]
-                at = np.minimum(np.searchsorted(known[0], p.least), known.shape[1] - 1)
-                kind = np.where(known[0][at] == p.least, known[1][at], 0)
-                rows = []
-                i = np.flatnonzero(kind == 1)
-                part = (mix(p.least[i]) % np.uint64(ranges)).astype(np.int64)
+        for pack, p, answers in _opened(batches, text_col, shorter, gram):
+            known = np.concatenate([np.frombuffer(a["data"], np.uint64).reshape(2, -1) for a in answers], axis=1)
+            known = known[:, np.argsort(known[0])]
+            at = np.minimum(np.searchsorted(known[0], p.least), known.shape[1] - 1)
+            kind = np.where(known[0][at] == p.least, known[1][at], 0)
+            rows = []
+            i = np.flatnonzero(kind == 1)
+            part = (mix(p.least[i]) % np.uint64(ranges)).astype(np.int64)
+            for k, own in _parts(np.argsort(part, kind="stable"), part):
+                s, e, v = p.starts[i[own]], p.ends[i[own]], p.least[i[own]]
+                sizes, text = p.regions(s, e, length)
+                rows.append((k, pack, zip_.compress(pickle.dumps((v, s.astype(np.uint32), (e - s).astype(np.uint32), sizes.astype(np.uint32), text)))))
+            i = np.flatnonzero(kind == 2)
+            if len(i):
+                w = np.sort(_flat(p.starts[i], p.ends[i] - p.starts[i]))
+                # Frequent windows, here or elsewhere, are one entry of a pack with the number of times.
+                key, place, times = np.unique(_window_hashes(p.raw, w, shorter), return_inverse=True, return_counts=True)
+                order = np.argsort(place, kind="stable")
+                first = np.cumsum(times) - times
+                part = (mix(key) % np.uint64(ranges)).astype(np.int64)
                 for k, own in _parts(np.argsort(part, kind="stable"), part):
-                    s, e, v = p.starts[i[own]], p.ends[i[own]], p.least[i[own]]
-                    sizes = e - s + length - 1
-                    text = p.raw[_flat(s, sizes)]
-                    rows.append((k, pack, GLOBAL + zip_.compress(pickle.dumps((v, s.astype(np.uint32), (e - s).astype(np.uint32), text)))))
-                i = np.flatnonzero(kind == 2)
-                if len(i):
-                    w = np.sort(_flat(p.starts[i], p.ends[i] - p.starts[i]))
-                    key = np.stack([spans_hash(p.raw, w, w + length), spans_hash(p.raw, w, w + length, 1)], axis=1)
-                    order = np.lexsort((w, key[:, 1], key[:, 0]))
-                    new = np.append(True, (key[order][1:] != key[order][:-1]).any(axis=1))
-                    group = np.cumsum(new) - 1
-                    many = np.bincount(group)[group] > 1
-                    if many.any():
-                        rows.append((pack % ranges, pack, LOCAL + _spans(np.sort(w[order[many]]))))
-                    first = order[new]
-                    alone = ~many[new]
-                    part = (key[first, 0] % np.uint64(ranges)).astype(np.int64)
-                    for k, own in _parts(np.argsort(part, kind="stable"), part):
-                        j = first[own]
-                        rows.append((ranges + k, pack, GLOBAL + zip_.compress(pickle.dumps((key[j], alone[own], w[j].astype(np.uint32))))))
-                if rows:
-                    yield _rows(rows, PART)
+                    here = w[order[_flat(first[own], times[own])]]
+                    rows.append((ranges + k, pack, zip_.compress(pickle.dumps((key[own], times[own].astype(np.uint32), here.astype(np.uint32))))))
+            if rows:
+                yield _rows(rows, PART)
 
     return map_arrow(packs, run, SCHEMA)
 
 
-def _ranks(sym: np.ndarray) -> np.ndarray:
-    return np.unique(sym, return_inverse=True)[1].reshape(-1).astype(np.int64)
+def _window_hashes(raw: np.ndarray, w: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of the windows at ascending places; they only say which may be equal."""
+    out = np.empty(len(w), np.uint64)
+    cuts = np.append(np.searchsorted(w, np.arange(0, len(raw) + 1, PIECE)), len(w))
+    for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        if lo < hi:
+            out[lo:hi] = rolling(raw[w[lo] : w[hi - 1] + length], length)[w[lo:hi] - w[lo]]
+    return out
+
+
+def _again(packs: DataFrame, text_col: str, length: int, shorter: int, gram: int) -> DataFrame:
+    """(key, least, starts, text, pack, spans): the distinct regions of counted windows of each pack; spans are where they begin."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for pack, p, answers in _opened(batches, text_col, shorter, gram):
+            marked = np.zeros(len(p.raw) + 1, bool)
+            for a in answers:
+                for lo, hi in zip(*(x.tolist() for x in _from_spans(a["data"])), strict=True):
+                    marked[lo:hi] = True
+            w = np.flatnonzero(marked)
+            run_of = np.searchsorted(p.starts, w, side="right") - 1
+            new = np.append(True, (w[1:] != w[:-1] + 1) | (run_of[1:] != run_of[:-1]))
+            s, e = w[new], w[np.append(np.flatnonzero(new)[1:] - 1, len(w) - 1)] + 1
+            least, found = p.least[run_of[new]], {}
+            sizes, text = p.regions(s, e, length)
+            ends = np.cumsum(sizes)
+            for k, (lo, hi, m) in enumerate(zip((ends - sizes).tolist(), ends.tolist(), (e - s).tolist(), strict=True)):
+                found.setdefault((m, text[lo:hi].tobytes()), []).append(k)
+            rows = [(hashlib.blake2b(t, digest_size=16, salt=m.to_bytes(8, "little")).digest(), int(least[k[0]].view(np.int64)), m, t, pack, s[k].astype(np.uint32).tobytes()) for (m, t), k in found.items()]
+            yield _rows(rows, AGAIN_ROWS)
+
+    return map_arrow(packs, run, "key binary, least long, starts long, text binary, pack long, places binary")
+
+
+AGAIN_ROWS = pa.schema([("key", pa.binary()), ("least", pa.int64()), ("starts", pa.int64()), ("text", pa.binary()), ("pack", pa.int64()), ("places", pa.binary())])
 
 
 def _stable(key: np.ndarray, top: int) -> np.ndarray:
@@ -177,11 +219,35 @@ def _stable(key: np.ndarray, top: int) -> np.ndarray:
     return order
 
 
+def block_ranks(padded: np.ndarray, at: np.ndarray, block: int) -> np.ndarray:
+    """Numbers from 0 of the blocks at these places: equal exactly for equal bytes.
+
+    A hash groups the blocks and their bytes prove it; blocks that a hash
+    confuses are told apart by their bytes.
+    """
+    if not len(at):
+        return np.zeros(0, np.int64)
+    _, first, rank, times = np.unique(rolling(padded, block)[at], return_index=True, return_inverse=True, return_counts=True)
+    rank = rank.reshape(-1).astype(np.int64)
+    several = np.flatnonzero(times[rank] > 1)
+    own, like = at[several], at[first[rank[several]]]
+    if block < 8:
+        same = all((padded[own + k] == padded[like + k]).all() for k in range(block))
+    else:
+        eight = np.lib.stride_tricks.sliding_window_view(np.concatenate([padded, np.zeros(8, np.uint8)]), 8)
+        words = np.ascontiguousarray(eight).view("<u8").reshape(-1)
+        same = all((words[own + k] == words[like + k]).all() for k in [*range(0, block - 7, 8), block - 8])
+    if same:
+        return rank
+    rows = np.lib.stride_tricks.sliding_window_view(padded, block)[at]
+    return np.unique(np.ascontiguousarray(rows).view(f"V{block}").reshape(-1), return_inverse=True)[1].reshape(-1).astype(np.int64)
+
+
 class Shards:
-    """The regions of a range as strings over blocks: region r has one string for each residue of BLOCK.
+    """The regions of a range as strings over blocks: region r has one string for each residue of the block size.
 
-    A suffix is a byte of a region, followed by what is BLOCK bytes on; each
-    string also has an empty suffix, so all regions end in BLOCK extra places.
+    A suffix is a byte of a region, followed by what is a block on; each string
+    also has an empty suffix, so all regions end in ``block`` extra places.
     """
 
     def __init__(self, texts: np.ndarray, sizes: np.ndarray, shard: np.ndarray, block: int):
@@ -190,203 +256,266 @@ class Shards:
         self.first = np.cumsum(room) - room
         of = np.repeat(np.arange(n), room)
         inside = np.arange(len(of)) - self.first[of]
-        full = inside + block <= sizes[of]
         padded = np.zeros(len(of), np.uint8)
         padded[inside < sizes[of]] = texts
-        at = np.flatnonzero(full)
-        sym = spans_hash(padded, at, at + block)
+        at = np.flatnonzero(inside + block <= sizes[of])
         # Rank 0: the empty suffix and whatever has less than a block left; their order doesn't matter.
-        rank = np.zeros(len(of), np.int64)
-        rank[at] = _ranks(sym) + 1
-        self.symbol, self.alphabet = rank, int(rank.max(initial=0))
+        self.symbol = np.zeros(len(of), np.int64)
+        self.symbol[at] = block_ranks(padded, at, block) + 1
         self.block, self.shard = block, shard[of]
-        self.next = np.where(inside < sizes[of], np.arange(len(of)) + block, np.arange(len(of)))
+        self.alphabet = int(self.symbol.max(initial=0))
         self.end = inside >= sizes[of]
+        self.next = np.arange(len(of)) + np.where(self.end, 0, block)
         self.begins = inside < block
 
     def sort(self, rounds: int) -> np.ndarray:
-        """Suffixes in order of shard and then of their first blocks: every shard's own suffix array, by doubling."""
-        rank, known = self.symbol, 1
+        """Every shard's own suffix array, one after the other, by doubling up to ``rounds`` symbols.
+
+        All ranks begin with the shard's number, so suffixes of two shards are
+        never compared by their symbols, nor do they share a rank.
+        """
+        top = int(self.symbol.max(initial=0)) + 1
+        rank = np.unique(self.shard * top + self.symbol, return_inverse=True)[1].reshape(-1)
+        known = 1
         while known < rounds:
             step = min(known, rounds - known)
-            rank = _ranks(rank * (int(rank.max(initial=0)) + 1) + rank[self._ahead(step)])
+            ahead = np.arange(len(rank))
+            for _ in range(step):
+                ahead = self.next[ahead]
+            rank = np.unique(rank * (int(rank.max(initial=0)) + 1) + rank[ahead], return_inverse=True)[1].reshape(-1)
             known += step
-        return np.lexsort((rank, self.shard))
-
-    def _ahead(self, steps: int) -> np.ndarray:
-        out = np.arange(len(self.next))
-        for _ in range(steps):
-            out = self.next[out]
-        return out
+        return np.argsort(rank, kind="stable")
 
 
-def merge_transforms(shards: Shards, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes in merged order and the number of the interval of equal first ``rounds`` blocks.
+def interleave(before: np.ndarray, shard_of: np.ndarray, alphabet: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Merge transforms: (take, common), the merged order of their rows and the symbols that each row shares with the one before it.
 
-    Only each shard's own order and transform are used, never a comparison of
-    suffixes of two shards.
+    ``before`` are the transforms end to end and ``shard_of`` their shards.
+    Round k refines an interleave by k - 1 symbols to one by k; intervals keep
+    their places while they are divided, so a boundary's round is its common
+    prefix plus one.  ``common`` is at most ``rounds``.
     """
+    n = len(before)
+    mixed, take = shard_of.copy(), np.arange(n)
+    interval, common = np.zeros(n, np.int64), np.full(n, rounds, np.int64)
+    common[:1] = 0
+    several = int(shard_of.max(initial=0))
+    for k in range(rounds):
+        c = before[take]
+        deal = _stable(c, alphabet)
+        mixed, c, source = mixed[deal], c[deal], interval[deal]
+        # All rows without a symbol before them are equal.
+        new = np.append(False, (c[1:] != c[:-1]) | (source[1:] != source[:-1]) & (c[1:] != 0))
+        common[new & (common == rounds)] = k
+        interval = np.cumsum(new)
+        take = np.empty(n, np.int64)
+        take[_stable(mixed, several)] = np.arange(n)
+    return take, common
+
+
+def merge_transforms(shards: Shards, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """The merged suffix array and its common prefixes in symbols, from the shards' own transforms."""
     order = shards.sort(rounds)
     # The transform: the symbol before each suffix; a string's first suffix has none and stands for its empty one.
     previous = np.zeros(len(order), np.int64)
     live = np.flatnonzero(~shards.end)
     previous[shards.next[live]] = shards.symbol[live] + 1
     previous[shards.begins] = 0
-    before = previous[order]
-    shard_of = shards.shard[order]
-    several = int(shard_of.max(initial=0))
-    mixed = shard_of.copy()
-    interval = np.zeros(len(order), np.int64)
-    take = np.arange(len(order))
-    for _ in range(rounds):
-        c = before[take]
-        deal = _stable(c, shards.alphabet + 1)
-        mixed, c, from_ = mixed[deal], c[deal], interval[deal]
-        new = np.append(False, (c[1:] != c[:-1]) | (from_[1:] != from_[:-1]))
-        # All empty suffixes are equal.
-        new[1:] &= ~((c[1:] == 0) & (c[:-1] == 0))
-        interval = np.cumsum(new)
-        take = np.empty(len(order), np.int64)
-        take[_stable(mixed, several)] = np.arange(len(order))
-    return order[take], interval
-
+    take, common = interleave(previous[order], shards.shard[order], shards.alphabet + 1, rounds)
+    return order[take], common
 
-def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of equal rows: the first one of each group, every row's group, and the groups' sizes."""
-    order = np.lexsort(key.T)
-    new = np.append(True, (key[order][1:] != key[order][:-1]).any(axis=1))
-    group = np.empty(len(key), np.int64)
-    group[order] = np.cumsum(new) - 1
-    return order[new], group, np.bincount(group)
 
+def repeated_starts(least: np.ndarray, m: np.ndarray, sizes: np.ndarray, text: np.ndarray, copies: np.ndarray, shard: np.ndarray, length: int, shorter: int, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """For the starts of distinct regions, m of each: whether their strings of ``length`` and of ``shorter`` bytes occur again.
 
-def _repeats(packs: list[int], data: list[bytes], length: int, block: int) -> list[tuple]:
+    A region occurs ``copies`` times.  One without another of its least hash is
+    an interval by itself if it occurs again, and isn't transformed.
+    """
+    at, ends = np.cumsum(sizes) - sizes, np.cumsum(m)
+    # A string of the full length must lie in the document.
+    room = np.repeat(sizes, m) - (np.arange(int(m.sum())) - np.repeat(ends - m, m)) >= length
+    short = np.repeat(copies > 1, m)
+    long = short & room
+    _, group = np.unique(least, return_inverse=True)
+    i = np.flatnonzero((np.bincount(group)[group] > 1) | (copies == 1))
+    if len(i):
+        i = i[np.argsort(shard[i], kind="stable")]
+        _, number = np.unique(shard[i], return_inverse=True)
+        s = Shards(text[_flat(at[i], sizes[i])], sizes[i], number, block)
+        suffix, common = merge_transforms(s, length // block)
+        starts, to = _flat(s.first, m[i]), _flat(ends[i] - m[i], m[i])
+        weight = np.repeat(copies[i], m[i])
+        place = np.empty(len(suffix), np.int64)
+        place[suffix] = np.arange(len(suffix))
+        for n, out, counted in ((shorter, short, np.ones(len(to), bool)), (length, long, room[to])):
+            which = np.cumsum(common < n // block)[place[starts]]
+            out[to] = counted & (np.bincount(which, weights=weight * counted)[which] > 1)
+    return long, short
+
+
+def _merge_regions(packs: list[int], data: list[bytes], length: int, shorter: int, block: int) -> list[tuple]:
     unzip = zstandard.ZstdDecompressor()
-    parts = [pickle.loads(unzip.decompress(d[1:])) for d in data]
+    parts = [pickle.loads(unzip.decompress(d)) for d in data]
     least = np.concatenate([x[0] for x in parts])
-    start = np.concatenate([x[1] for x in parts]).astype(np.int64)
-    m = np.concatenate([x[2] for x in parts]).astype(np.int64)
-    text = np.concatenate([x[3] for x in parts])
+    start, m, sizes = (np.concatenate([x[k] for x in parts]).astype(np.int64) for k in (1, 2, 3))
+    text = np.concatenate([x[4] for x in parts])
     pack = np.repeat(np.arange(len(packs)), [len(x[0]) for x in parts])
-    sizes = m + length - 1
-    at = np.cumsum(sizes) - sizes
+    ends = np.cumsum(sizes)
     # Equal regions are one, with the number of times it occurs.
-    key = np.stack([least, spans_hash(text, at, at + sizes), spans_hash(text, at, at + sizes, 1)], axis=1)
-    first, same, copies = _groups(key)
-    # A region without a different one of the same hash is an interval by itself if it occurs again.
-    _, group = np.unique(least[first], return_inverse=True)
-    differs = np.bincount(group)[group] > 1
-    repeated = np.repeat(copies > 1, m[first])
-    ends = np.cumsum(m[first])
-    inner = np.flatnonzero(differs | (copies == 1))
-    if len(inner):
-        f = first[inner]
-        order = np.argsort(pack[f], kind="stable")
-        inner, f = inner[order], f[order]
-        _, shard = np.unique(pack[f], return_inverse=True)
-        s = Shards(text[_flat(at[f], sizes[f])], sizes[f], shard, block)
-        suffix, interval = merge_transforms(s, length // block)
-        number = np.empty(len(suffix), np.int64)
-        number[suffix] = interval
-        starts = _flat(s.first, m[f])
-        which = number[starts]
-        times = np.bincount(which, weights=np.repeat(copies[inner], m[f]))[which] > 1
-        repeated[_flat(ends[inner] - m[f], m[f])] = times
+    known: dict[tuple, int] = {}
+    same = np.array([known.setdefault((k, text[lo:hi].tobytes()), len(known)) for k, lo, hi in zip(m.tolist(), (ends - sizes).tolist(), ends.tolist(), strict=True)], np.int64)
+    _, first, copies = np.unique(same, return_index=True, return_counts=True)
+    at = ends - sizes
+    long, short = repeated_starts(least[first], m[first], sizes[first], text[_flat(at[first], sizes[first])], copies, pack[first], length, shorter, block)
+    begin = np.cumsum(m[first]) - m[first]
     out = []
-    begin = ends - m[first]
     for k in range(len(packs)):
         own = np.flatnonzero(pack == k)
-        hit = repeated[_flat(begin[same[own]], m[own])]
-        found = np.sort(_flat(start[own], m[own])[hit])
-        if len(found):
-            out.append((0, packs[k], _spans(found)))
+        places, from_ = _flat(start[own], m[own]), _flat(begin[same[own]], m[own])
+        for kind, hit in ((REMOVED, long), (REPORTED, short)):
+            found = np.sort(places[hit[from_]])
+            if len(found):
+                out.append((kind, packs[k], _spans(found)))
     return out
 
 
-def _frequent(packs: list[int], data: list[bytes]) -> list[tuple]:
+def _count_windows(packs: list[int], data: list[bytes]) -> list[tuple]:
     unzip = zstandard.ZstdDecompressor()
-    parts = [pickle.loads(unzip.decompress(d[1:])) for d in data]
-    key = np.concatenate([x[0] for x in parts])
-    _, place, times = _groups(key)
-    alone = np.concatenate([x[1] for x in parts])
-    again = (times[place] > 1) & alone
+    parts = [pickle.loads(unzip.decompress(d)) for d in data]
+    key, times = np.concatenate([x[0] for x in parts]), np.concatenate([x[1] for x in parts]).astype(np.int64)
+    _, place = np.unique(key, return_inverse=True)
+    again = np.bincount(place, weights=times)[place] > 1
     out, lo = [], 0
     for p, x in zip(packs, parts, strict=True):
-        found = np.sort(x[2].astype(np.int64)[again[lo : lo + len(x[2])]])
-        lo += len(x[2])
+        found = np.sort(x[2].astype(np.int64)[np.repeat(again[lo : lo + len(x[0])], x[1])])
+        lo += len(x[0])
         if len(found):
-            out.append((0, p, _spans(found)))
+            out.append((AGAIN, p, _spans(found)))
     return out
 
 
-def _solve(ranges: int, length: int, block: int):
+def _solve(ranges: int, length: int, shorter: int, block: int):
     def run(table: pa.Table) -> pa.Table:
-        out, packs, data = local_answers(table)
-        if packs:
-            out += _repeats(packs, data, length, block) if table.column("part")[0].as_py() < ranges else _frequent(packs, data)
+        packs, data = table.column("pack").to_pylist(), table.column("data").to_pylist()
+        out = _merge_regions(packs, data, length, shorter, block) if table.column("part")[0].as_py() < ranges else _count_windows(packs, data)
         return pa.Table.from_batches([_rows(out, ANSWER)] if out else [], schema=ANSWER)
 
     return run
 
 
-def repeated_windows(packs: DataFrame, text_col: str, length: int = LENGTH, gram: int = GRAM, block: int = BLOCK, hot: int = HOT) -> DataFrame:
-    """(part, pack, data): runs of the starts of repeated windows, as byte places of their pack."""
-    size = packs.agg(F.sum(F.octet_length("data").cast("long"))).first()[0] or 0
-    ranges = max(1, size * 3 // (length - gram) // RANGE_HASHES * 2 + 1)
-    anchors = _anchors(packs, text_col, length, gram, ranges)
-    answers = materialize(anchors.groupBy("part").applyInArrow(_count_anchors(hot), SCHEMA), "anchors")
-    again = answers.agg(F.sum(F.octet_length("data").cast("long"))).first()[0] or 0
+VERDICTS = pa.schema([("key", pa.binary()), ("long", pa.binary()), ("short", pa.binary())])
+
+
+def _solve_distinct(length: int, shorter: int, block: int):
+    def run(table: pa.Table) -> pa.Table:
+        """Of the distinct regions of a range: which starts are repeated, as bits."""
+        keys, m, copies = table.column("key").to_pylist(), table.column("starts").to_numpy().astype(np.int64), table.column("copies").to_numpy().astype(np.int64)
+        texts = table.column("text").to_pylist()
+        sizes = np.array([len(t) for t in texts], np.int64)
+        long, short = repeated_starts(table.column("least").to_numpy(), m, sizes, np.frombuffer(b"".join(texts), np.uint8), copies, table.column("shard").to_numpy(), length, shorter, block)
+        cuts = np.cumsum(m)[:-1]
+        rows = [(k, np.packbits(a).tobytes(), np.packbits(b).tobytes()) for k, a, b in zip(keys, np.split(long, cuts), np.split(short, cuts), strict=True)]
+        return pa.Table.from_batches([_rows(rows, VERDICTS)])
+
+    return run
+
+
+def _frequent(packs: DataFrame, answers: DataFrame, text_col: str, length: int, shorter: int, gram: int, block: int) -> DataFrame:
+    """Answers for the counted windows: their regions, made distinct over all packs before they are merged."""
+    regions = materialize(_again(_with_answers(packs, answers).where(F.col("answers").isNotNull()), text_col, length, shorter, gram), "regions")
+    distinct = regions.groupBy("key").agg(
+        F.first("least").alias("least"), F.first("starts").alias("starts"), F.first("text").alias("text"), F.sum(F.octet_length("places") / 4).cast("long").alias("copies"), F.min("pack").alias("shard"))
+    verdicts = materialize(distinct.groupBy("least").applyInArrow(_solve_distinct(length, shorter, block), "key binary, long binary, short binary"), "verdicts")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for pack, m, places, *bits in zip(*(b.column(n).to_pylist() for n in ("pack", "starts", "places", "long", "short")), strict=True):
+                at = np.frombuffer(places, np.uint32).astype(np.int64)
+                for kind, x in zip((REMOVED, REPORTED), bits, strict=True):
+                    hit = np.flatnonzero(np.unpackbits(np.frombuffer(x, np.uint8), count=m))
+                    if len(hit):
+                        rows.append((kind, pack, _spans(np.sort((at[:, None] + hit[None, :]).reshape(-1)))))
+            if rows:
+                yield _rows(rows, ANSWER)
+
+    return map_arrow(regions.select("key", "pack", "starts", "places").join(verdicts, "key"), run, SCHEMA)
+
+
+def repeated_windows(packs: DataFrame, text_col: str, length: int = LENGTH, shorter: int = SHORTER, gram: int = GRAM, block: int = BLOCK, hot: int = HOT) -> DataFrame:
+    """(part, pack, data): runs of the starts of repeated strings, as byte places of their pack; part tells their length."""
+    size = packs.agg(F.sum("size")).first()[0] or 0
+    ranges = max(1, size * 3 // (shorter - gram + 2) // RANGE_HASHES + 1)
+    anchors = _anchors(packs, text_col, shorter, gram, ranges)
+    counted = materialize(anchors.groupBy("part").applyInArrow(_count_anchors(hot), SCHEMA), "anchors")
+    again = counted.agg(F.sum(F.octet_length("data").cast("long"))).first()[0] or 0
     ranges = max(1, again // 16 * (2 * length) // RANGE_BYTES + 1)
-    regions = _regions(_with_answers(packs, answers), text_col, length, gram, ranges)
-    return regions.groupBy("part").applyInArrow(_solve(ranges, length, block), SCHEMA)
+    regions = _regions(_with_answers(packs, counted), text_col, length, shorter, gram, ranges)
+    answers = materialize(regions.groupBy("part").applyInArrow(_solve(ranges, length, shorter, block), SCHEMA), "answers")
+    found, later = answers.where(F.col("part") != AGAIN), answers.where(F.col("part") == AGAIN)
+    if not later.limit(1).count():
+        return found
+    return found.unionByName(_frequent(packs, later, text_col, length, shorter, gram, block))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, block: int = BLOCK, hot: int = HOT) -> DataFrame:
-    """All columns of all rows, with ``kept`` (binary), ``n_bytes``, ``n_removed`` and ``n_spans`` added.
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, shorter: int | None = None, gram: int = GRAM, block: int = BLOCK, hot: int = HOT) -> DataFrame:
+    """All columns of all rows, with ``kept`` (binary), ``n_bytes``, ``n_removed``, ``n_spans`` and ``n_repeated`` added.
 
     A byte goes if a string of ``length`` bytes that covers it also starts at
     another place of the corpus, in the same document or another one; overlaps
     count, and no string crosses documents.  Every occurrence goes, the first
-    too.  Null and empty texts have no bytes; shorter texts than ``length`` keep
-    all.  Each row is a document of its own, so a repeated row is a repeat.  The
+    too.  ``n_repeated`` counts the bytes that strings of ``shorter`` bytes
+    cover so; by default they are as long as those that go.  Null and empty
+    texts have no bytes; texts shorter than a string keep all.  Each row is a
+    document of its own, so a repeated row is a repeat, also for null ids.  The
     kept bytes may cut a character, so they are binary.  Input columns of the
-    new names are replaced.  ``block`` divides ``length``.
+    new names are replaced.  ``block`` divides both lengths.
     """
-    if length % block or gram > length:
-        raise ValueError("block must divide length, and gram must not exceed it")
-    docs = docs.drop("kept", "n_bytes", "n_removed", "n_spans")
+    shorter = shorter or length
+    if length % block or shorter % block or gram > shorter or shorter > length:
+        raise ValueError("block must divide the lengths, and gram must not exceed them")
+    new = ("kept", "n_bytes", "n_removed", "n_spans", "n_repeated")
+    docs = docs.drop(*new)
     packs = make_packs(docs, "packs", id_col, text_col)
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + ["kept binary", "n_bytes long", "n_removed long", "n_spans long"])
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + ["kept binary", *(f"{n} long" for n in new[1:])])
+
+    def covered(answers: list[dict], kind: int, size: int, n: int) -> np.ndarray:
+        step = np.zeros(n + 1, np.int32)
+        for a in answers:
+            if a["part"] == kind:
+                begins, ends = _from_spans(a["data"])
+                np.add.at(step, begins, 1)
+                np.add.at(step, ends - 1 + size, -1)
+        return np.cumsum(step[:-1]) > 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for data, answers in zip(b.column(1), b.column(2).to_pylist(), strict=True):
+            for data, answers in zip(b.column("data"), b.column("answers").to_pylist(), strict=True):
                 batch = open_pack(data.as_py())
                 raw, offsets = text_bytes(batch.column(text_col))
-                step = np.zeros(len(raw) + 1, np.int32)
-                for a in answers or []:
-                    spans = np.frombuffer(a["data"], np.uint32).reshape(2, -1).astype(np.int64)
-                    np.add.at(step, spans[0], 1)
-                    np.add.at(step, spans[1] - 1 + length, -1)
-                gone = np.cumsum(step[:-1]) > 0
+                gone = covered(answers or [], REMOVED, length, len(raw))
+                total, near = (np.append(0, np.cumsum(x)) for x in (gone, covered(answers or [], REPORTED, shorter, len(raw))))
                 sizes = np.diff(offsets)
-                total = np.append(0, np.cumsum(gone))
-                removed = total[offsets[1:]] - total[offsets[:-1]]
+                removed, repeated = (x[offsets[1:]] - x[offsets[:-1]] for x in (total, near))
                 # Removed runs begin where the byte before is kept or belongs to another document.
                 opens = gone & ~np.append(False, gone[:-1])
                 heads = offsets[:-1][sizes > 0]
                 opens[heads] = gone[heads]
                 opened = np.append(0, np.cumsum(opens))
-                spans_ = opened[offsets[1:]] - opened[offsets[:-1]]
-                kept = raw[~gone]
-                ends = np.append(0, np.cumsum(sizes - removed)).astype(np.int64)
+                kept, ends = raw[~gone], np.append(0, np.cumsum(sizes - removed)).astype(np.int64)
                 texts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(kept.tobytes())]).cast(pa.binary())
-                cols = [texts, *(pa.array(x.astype(np.int64)) for x in (sizes, removed, spans_))]
-                yield pa.RecordBatch.from_arrays(list(batch.columns) + cols, names=[*batch.schema.names, "kept", "n_bytes", "n_removed", "n_spans"])
+                cols = [texts, *(pa.array(x.astype(np.int64)) for x in (sizes, removed, opened[offsets[1:]] - opened[offsets[:-1]], repeated))]
+                yield pa.RecordBatch.from_arrays(list(batch.columns) + cols, names=[*batch.schema.names, *new])
 
-    return map_arrow(_with_answers(packs, repeated_windows(packs, text_col, length, gram, block, hot)), run, schema)
+    return map_arrow(_with_answers(packs, repeated_windows(packs, text_col, length, shorter, gram, block, hot)), run, schema)
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    rows = remove_repeats(docs.select("doc_id", "text"))
-    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    """n_bytes, n_removed, n_spans and the kept bytes' hash of every row of ``documents``.
+
+    ``n_repeated`` also counts what strings of SHORTER bytes cover, which is
+    about 50 words: such passages stay, but are told.  Null and empty texts: all
+    counts 0 and the hash of no bytes.
+    """
+    rows = remove_repeats(docs.select("doc_id", "text"), shorter=SHORTER)
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_repeated")

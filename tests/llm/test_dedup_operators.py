@@ -5,7 +5,10 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from oracle import compare
 
 from streamloom.llm import decontaminate, jaccard_join, substring_dedup, suffix_dedup
@@ -38,20 +41,87 @@ def docs(spark):
     return spark.createDataFrame(corpus(), "doc_id long, text string").selectExpr("*", "'c' AS kept", "1 AS n_removed", "2L AS pack", "'h' AS h").repartition(3)
 
 
-@pytest.mark.parametrize(("length", "gram", "block", "hot"), [(400, 64, 100, 1024), (24, 8, 8, 1000), (24, 8, 4, 3)])
-def test_suffixes(docs, length, gram, block, hot):
-    data = [(i, (t or "").encode()) for i, t in corpus()]
-    seen = Counter(b[k : k + length] for _, b in data for k in range(len(b) - length + 1))
-    want = []
-    for i, b in data:
+def slow_repeats(data, length):
+    """For each text which bytes strings cover that start at several places of the corpus."""
+    seen = Counter(b[k : k + length] for b in data for k in range(len(b) - length + 1))
+    out = []
+    for b in data:
         gone = bytearray(len(b))
         for k in range(len(b) - length + 1):
             if seen[b[k : k + length]] > 1:
                 gone[k : k + length] = b"\1" * length
+        out.append(gone)
+    return out
+
+
+@pytest.mark.parametrize(("length", "shorter", "gram", "block", "hot"), [(400, 300, 64, 100, 1024), (400, None, 64, 100, 2), (24, 16, 8, 8, 1000), (24, 20, 8, 4, 3), (24, 8, 8, 8, 1)])
+def test_suffixes(docs, length, shorter, gram, block, hot):
+    """Every case against brute force, with hashes counted as frequent from few occurrences on."""
+    data = [(t or "").encode() for _, t in corpus()]
+    want = []
+    for (i, _), b, gone, near in zip(corpus(), data, slow_repeats(data, length), slow_repeats(data, shorter or length), strict=True):
         kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
-        want.append((-1 if i is None else i, len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), kept))
-    got = suffix_dedup.remove_repeats(docs, length=length, gram=gram, block=block, hot=hot).collect()
-    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == sorted(want)
+        want.append((-1 if i is None else i, len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), kept, sum(near)))
+    got = suffix_dedup.remove_repeats(docs, length=length, shorter=shorter, gram=gram, block=block, hot=hot).collect()
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept), r.n_repeated) for r in got) == sorted(want)
+
+
+def slow_merge(strings, rounds):
+    """Suffixes of all strings in order of their first symbols, and how many each shares with the one before."""
+    found = sorted((tuple(s[k : k + rounds]), j, k) for j, s in enumerate(strings) for k in range(len(s) + 1))
+    common = [0] + [next((i for i, (a, b) in enumerate(zip(x[0], y[0], strict=False)) if a != b), min(len(x[0]), len(y[0]))) if x[0] != y[0] else rounds for x, y in zip(found, found[1:], strict=False)]
+    return [x[0] for x in found], common
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.lists(st.text("ab", min_size=1, max_size=12), min_size=1, max_size=3), min_size=1, max_size=4), st.integers(1, 5))
+def test_merged_transforms(shards, rounds):
+    """The interleave alone gives the order and the common prefixes of suffixes of different shards."""
+    texts = [t for s in shards for t in s]
+    sizes = np.array([len(t) for t in texts])
+    s = suffix_dedup.Shards(np.frombuffer("".join(texts).encode(), np.uint8), sizes, np.repeat(np.arange(len(shards)), [len(x) for x in shards]), 1)
+    order, common = suffix_dedup.merge_transforms(s, rounds)
+    of = np.searchsorted(s.first, order, side="right") - 1
+    # Symbols are ordered by their ranks; a string's symbols are those of its places but the last, empty one.
+    ranked = [s.symbol[at : at + n].tolist() for at, n in zip(s.first.tolist(), sizes.tolist(), strict=True)]
+    got = [tuple(ranked[j][k - s.first[j] : k - s.first[j] + rounds]) for j, k in zip(of.tolist(), order.tolist(), strict=True)]
+    want, prefix = slow_merge(ranked, rounds)
+    assert got == want
+    # Whether neighbours share all symbols is what repeats are read from; a text's end equals another text's end.
+    assert [min(a, rounds) for a in common.tolist()] == [0 if k == 0 else b for k, b in enumerate(prefix)]
+
+
+def test_repeats_come_from_the_merge(docs, monkeypatch):
+    """Without the interleave no repeat across shards is found: shards are sorted by themselves only."""
+    one = np.frombuffer(b"abcabdabc", np.uint8)
+    apart = suffix_dedup.Shards(np.concatenate([one, one]), np.array([9, 9]), np.array([0, 1]), 1)
+    order = apart.sort(3)
+    assert apart.shard[order].tolist() == sorted(apart.shard.tolist())
+    def case():
+        return suffix_dedup.repeated_starts(*(np.array(x) for x in ([1, 1], [4, 3], [10, 9])), np.frombuffer(b"xabcdefghiabcdefghi", np.uint8), np.array([1, 1]), np.array([0, 1]), 7, 7, 1)[0]
+
+    assert case().tolist() == [False, True, True, True, True, True, True]
+    monkeypatch.setattr(suffix_dedup, "interleave", lambda before, shard, alphabet, rounds: (np.arange(len(before)), np.zeros(len(before), np.int64)))
+    assert not case().any()
+
+
+THUE = "".join("ab"[bin(k).count("1") % 2] for k in range(2048))
+MORSE = THUE.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_linear_hashes_confuse(spark):
+    """Two words of 2048 letters that every polynomial hash modulo 2**64 takes for one are told apart."""
+    tail = [f"w{k}" for k in range(19)]
+    df = spark.createDataFrame([(1, " ".join([THUE, *tail])), (2, " ".join([MORSE, *tail]))], "doc_id long, text string")
+    assert [r.n_removed for r in substring_dedup.digest(df).collect()] == [0, 0]
+    few = [(1, " ".join([THUE, *tail[:4]])), (2, " ".join([MORSE, *tail[:4]]))]
+    assert [r.n_links for r in jaccard_join.join(spark.createDataFrame(few, "doc_id long, text string")).collect()] == [0, 0]
+    data = [(THUE + "x" * 9).encode(), (MORSE + "x" * 9).encode()]
+    df = spark.createDataFrame([(k, b.decode()) for k, b in enumerate(data)], "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in suffix_dedup.remove_repeats(df, length=1024, gram=64, block=1024).collect()}
+    assert got == {k: sum(g) for k, g in enumerate(slow_repeats(data, 1024))}
+    padded = np.frombuffer(data[0][:2048] + data[1][:2048], np.uint8)
+    assert len(set(suffix_dedup.block_ranks(padded, np.array([0, 2048, 0]), 2048).tolist())) == 2
 
 
 def test_suffix_parameters(docs):
@@ -123,7 +193,7 @@ def test_keep_one_of_repeated_ids(spark):
 
 def test_join_of_large_buckets(spark, monkeypatch):
     """Small limits drive large groups through splitting, blocks and chunk pairs."""
-    for k, v in {"BUCKET": 12, "CHUNK": 5, "BROADCAST_ROWS": 3}.items():
+    for k, v in {"BUCKET": 12, "CHUNK": 5, "BROADCAST_BYTES": 100}.items():
         monkeypatch.setattr(jaccard_join, k, v)
     base = [random.choice(WORDS) + str(random.randrange(99)) for _ in range(150)]
     rows = []
@@ -197,21 +267,24 @@ def test_digest_of_suffixes(spark, sf):
 
 
 def test_hashes_do_not_depend_on_pieces(monkeypatch):
-    import numpy as np
-
     from streamloom.llm import common
 
     rng = np.random.default_rng(1)
-    values = rng.integers(0, 256, 5000).astype(np.uint8)
-    starts = np.sort(rng.integers(0, 4900, 300))
-    ends = starts + rng.integers(0, 90, 300)
+    raw = rng.integers(0, 4, 20000).astype(np.uint8)
+    starts = np.sort(rng.integers(0, 19000, 300))
+    ends = starts + rng.integers(0, 600, 300)
     for which in (0, 1):
-        whole = common.spans_hash(values, starts, ends, which)
+        whole = common.words_hash(raw, starts, ends, which)
+        runs = common.runs_hash(whole, 20)
+        assert len(set(whole.tolist())) == len({raw[a:b].tobytes() for a, b in zip(starts, ends, strict=True)})
         monkeypatch.setattr(common, "HASH_PIECE", 64)
-        assert (common.spans_hash(values, starts, ends, which) == whole).all()
+        assert (common.words_hash(raw, starts, ends, which) == whole).all() and (common.runs_hash(whole, 20) == runs).all()
         monkeypatch.undo()
-    gaps = np.sort(rng.integers(0, 10**7, 500))
-    assert (common.unpack_gaps(common.pack_gaps(gaps)) == gaps).all() and not len(common.unpack_gaps(b""))
+        assert (common.runs_hash(whole[50:90], 20) == runs[50:71]).all() and not len(common.runs_hash(whole[:19], 20))
+    for top in (10**5, 10**7, 2**32):
+        places = np.sort(rng.integers(0, top, 500))
+        assert (common.unpack_places(common.pack_places(places)) == places).all()
+    assert not len(common.unpack_places(common.pack_places(places[:0])))
 
 
 def test_very_long_texts(spark):
