@@ -3,7 +3,8 @@
 The leaves of the tree are the merge ranks of neighbouring symbols; the root is
 the leftmost lowest rank.  A merge updates three leaves in logarithmic time,
 and the word is done when the root is infinite.  Many words of a similar length
-share one two-dimensional tree, so each step is a few numpy operations.
+share one two-dimensional tree, so each step is a few numpy operations; a very
+long word has a flat tree of its own, whose updates end where nothing changes.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import json
 import sys
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +25,8 @@ from streamloom.llm.common import id_text, map_arrow, slices
 
 #: Words that a task remembers before it starts anew.
 CACHE_WORDS = 200_000
+#: Bytes of a word from which it has a tree of its own.
+LONG_WORD = 2048
 INF = np.int64(1) << 62
 
 
@@ -71,6 +75,7 @@ class Encoder:
         made = np.array([vocab[a + b] for a, b in pairs], np.int64)
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks, self.made = keys[order], order.astype(np.int64), made[order]
+        self.pairs: dict[int, tuple[int, int]] | None = None
         self.ids: dict[str, bytes] = {}
         self.text: dict[str, bytes] = {}
 
@@ -89,6 +94,9 @@ class Encoder:
         out: list[np.ndarray] = [None] * len(words)  # type: ignore[list-item]
         groups: dict[int, list[int]] = {}
         for i, w in enumerate(words):
+            if len(w) >= LONG_WORD:
+                out[i] = self._merge_long(w)
+                continue
             groups.setdefault(max(2, 1 << (len(w) - 1).bit_length()), []).append(i)
         for width, members in groups.items():
             # Memory of a tree: few words at once when they are long.
@@ -152,6 +160,52 @@ class Encoder:
         ids, ends = sym.reshape(n, width)[keep], np.cumsum(keep.sum(axis=1))
         return np.split(ids, ends[:-1])
 
+    def _merge_long(self, word: bytes) -> np.ndarray:
+        """The ids of one long word."""
+        n = len(word)
+        width = 1 << (n - 1).bit_length()
+        sym = self.first[np.frombuffer(word, np.uint8)]
+        sym[n - 1] = self.last[word[n - 1]]
+        if self.pairs is None:
+            self.pairs = dict(zip(self.keys.tolist(), zip(self.ranks.tolist(), self.made.tolist(), strict=True), strict=True))
+        leaves = np.full(width, INF, np.int64)
+        leaves[: n - 1] = self._leaf(sym[:-1], sym[1:], np.arange(n - 1), width)
+        levels = [leaves]
+        while len(levels[-1]) > 1:
+            levels.append(np.minimum(levels[-1][::2], levels[-1][1::2]))
+        tree = array("q", np.concatenate([np.full(1, INF, np.int64), *levels[::-1]]).tobytes())
+        ids, after, before = array("q", sym.tobytes()), array("q", range(1, n + 1)), array("q", range(-1, n - 1))
+        infinite, pairs = int(INF), self.pairs
+
+        def put(place: int, value: int) -> None:
+            node = place + width
+            tree[node] = value
+            while node > 1:
+                a, b = tree[node], tree[node ^ 1]
+                least = a if a < b else b
+                node >>= 1
+                if tree[node] == least:
+                    return
+                tree[node] = least
+
+        while tree[1] < infinite:
+            left = tree[1] % width
+            right = after[left]
+            ids[left], ids[right] = pairs[ids[left] << 32 | ids[right]][1], -1
+            far = after[left] = after[right]
+            put(right, infinite)
+            found = None
+            if far < n:
+                before[far] = left
+                found = pairs.get(ids[left] << 32 | ids[far])
+            put(left, infinite if found is None else found[0] * width + left)
+            near = before[left]
+            if near >= 0:
+                found = pairs.get(ids[near] << 32 | ids[left]) if ids[near] >= 0 else None
+                put(near, infinite if found is None else found[0] * width + near)
+        found = np.frombuffer(ids, np.int64)
+        return found[found >= 0].copy()
+
     def pieces(self, text: str) -> list[str]:
         """The words that are encoded one by one, and special tokens under their own names."""
         if self.specials is None or "<|" not in text:
@@ -240,5 +294,6 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def digest(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """Number and hash of the ids, and hash of the decoded text, of every row; null and empty text: 0 and the hashes of nothing."""
     rows = encode(docs, path)
     return rows.select("doc_id", "n_tokens", F.sha2("ids_le", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))

@@ -3,8 +3,12 @@
 Test items are partitioned by size.  A partition's items have MinHash sketches
 of their smallest shingle hashes, just so many that a document with the asked
 containment must hold at least one (it lacks fewer shingles than the sketch
-has), so the search loses nothing.  Candidates are verified by the exact
-containment of their word shingles.  Only DataFrame operations.
+has).  The largest hash in a partition's sketches is its threshold; a document
+is sketched once for each partition, by its shingle hashes up to the
+threshold, and the sketches of one partition are joined, so the search loses
+nothing: its recall is 1, which the SQL over all pairs confirms.  Candidates
+are verified by the exact containment of their word shingles.  Only DataFrame
+operations.
 """
 
 from __future__ import annotations
@@ -12,11 +16,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from streamloom.llm.common import id_text, materialize
+from streamloom.llm.common import BROADCAST_BYTES, fits, free_name, id_text, materialize
 
 WORDS, CONTAINMENT = 5, 0.8
-#: Rows of a side that may be broadcast; larger sketches are joined by a shuffle.
-BROADCAST_ROWS = 200_000
+#: Bytes of a side that may be broadcast; larger sketches are joined by a shuffle.
+BROADCAST = BROADCAST_BYTES
 
 
 def words(text: Column) -> Column:
@@ -53,8 +57,21 @@ def sketches(items: DataFrame, n: int = WORDS, containment: float = CONTAINMENT)
     return hashes.select("item_id", "size_class", F.explode(F.slice("hs", F.lit(1), keep)).alias("h"))
 
 
-def _few(rows: DataFrame) -> bool:
-    return rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+def document_sketches(rows: DataFrame, tops: dict[int, int], n: int = WORDS) -> DataFrame:
+    """(doc_id, size_class, h): of every class the document's shingle hashes up to the class's threshold."""
+    order = sorted(tops, key=lambda k: -tops[k])
+    found = _shingles(rows, "doc_id", n)
+    if not order:
+        return found.select("doc_id", F.lit(0).alias("size_class"), "h").limit(0)
+    # The classes with a threshold of at least h are the first ones in falling order.
+    many = sum((F.when(F.col("h") <= F.lit(tops[k]), 1).otherwise(0) for k in order), F.lit(0))
+    near = found.where(F.col("h") <= F.lit(tops[order[0]]))
+    return near.select("doc_id", F.explode(F.slice(F.array(*[F.lit(k) for k in order]), F.lit(1), many)).alias("size_class"), "h")
+
+
+def _small(rows: DataFrame, width: int | Column = 48) -> DataFrame:
+    """The rows, to be broadcast if all of them are few bytes."""
+    return F.broadcast(rows) if fits(rows, width, BROADCAST) else rows
 
 
 def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, containment: float = CONTAINMENT) -> DataFrame:
@@ -69,13 +86,17 @@ def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
     items = items.where(F.col("item_id").isNotNull()).dropDuplicates()
     texts = id_text(docs, id_col, text_col).where(F.col("doc_id").isNotNull())
     rows = texts.select("doc_id", words(F.col("text")).alias("w"))
-    sketch = sketches(items, n, containment)
-    whole = items.where(F.size("w") >= n).select("item_id", _exact(n).alias("item"))
-    if _few(sketch):
-        sketch, whole = F.broadcast(sketch), F.broadcast(whole)
-    met = materialize(_shingles(rows, "doc_id", n).join(sketch, "h").select("doc_id", "item_id").distinct(), "met")
-    # Candidates are written and counted; only many of them need the texts shuffled, which are split into words after that.
-    found = texts.join(F.broadcast(met) if _few(met) else met, "doc_id").select("doc_id", "item_id", words(F.col("text")).alias("w"))
+    sketch = materialize(sketches(items, n, containment), "items")
+    # One threshold for each size class, which are at most 31.
+    tops = {x.size_class: x.top for x in sketch.groupBy("size_class").agg(F.max("h").alias("top")).collect()}
+    whole = items.where(F.size("w") >= n)
+    small = fits(whole, F.octet_length(F.array_join("w", " ")) * n + F.size("w") * 16 * n, BROADCAST)
+    whole = whole.select("item_id", _exact(n).alias("item"))
+    whole = F.broadcast(whole) if small else whole
+    met = document_sketches(rows, tops, n).join(_small(sketch), ["size_class", "h"]).select("doc_id", "item_id").distinct()
+    met = materialize(met, "met")
+    # Candidates are written and measured; only many of them need the texts shuffled, which are split into words after that.
+    found = texts.join(_small(met), "doc_id").select("doc_id", "item_id", words(F.col("text")).alias("w"))
     checked = found.join(whole, "item_id").select("doc_id", "item_id", "item", _exact(n).alias("doc"))
     shared = checked.select("doc_id", "item_id", F.size(F.array_intersect("item", "doc")).cast("long").alias("n_shared"), F.size("item").cast("long").alias("n_item"))
     shared = shared.withColumn("containment", F.col("n_shared") / F.col("n_item"))
@@ -88,16 +109,17 @@ def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", nulls: bool
     Rows with a null id stay unsearched; with ``nulls`` they are searched as
     well, each by itself.
     """
-    hit = materialize(find(docs, items, id_col=id_col, **options).select(F.col("doc_id").alias("_hit")).distinct(), "hit")
-    kept = docs.join(F.broadcast(hit) if _few(hit) else hit, docs[id_col] == F.col("_hit"), "left_anti")
+    name, row = free_name(docs.columns, "_hit"), free_name(docs.columns, "_row")
+    hit = materialize(find(docs, items, id_col=id_col, **options).select(F.col("doc_id").alias(name)).distinct(), "hit")
+    kept = docs.join(_small(hit), docs[id_col] == F.col(name), "left_anti")
     if not nulls:
         return kept
     # Written, so that the row keys stay as they are.
-    rows = materialize(docs.where(F.col(id_col).isNull()).withColumn("_row", F.monotonically_increasing_id()), "nameless")
+    rows = materialize(docs.where(F.col(id_col).isNull()).withColumn(row, F.monotonically_increasing_id()), "nameless")
     if not rows.limit(1).count():
         return kept
-    nameless = clean(rows, items, id_col="_row", **options)
-    return kept.where(F.col(id_col).isNotNull()).unionByName(nameless.drop("_row"))
+    nameless = clean(rows, items, id_col=row, **options)
+    return kept.where(F.col(id_col).isNotNull()).unionByName(nameless.drop(row))
 
 
 ORACLE = r"""WITH d AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),

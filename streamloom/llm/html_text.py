@@ -3,6 +3,11 @@
 A tree builder supplies implied end tags and moves stray table content before
 its table; a renderer walks the visible nodes and keeps block spacing, list
 markers and aligned table cells.
+
+What isn't displayed (display:none, hidden, a closed dialog, elements that show
+no text) is left out with all inside; what is only invisible leaves room for
+descendants that are visible again.  Columns are as wide as their widest cell,
+as long as the blanks of a table stay in proportion to its text.
 """
 
 from __future__ import annotations
@@ -41,18 +46,31 @@ SCOPES = frozenset("table td th caption template".split())
 
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>")
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-NOT_SHOWN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+NOT_SHOWN = re.compile(r"display\s*:\s*none", re.I)
+VISIBILITY = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)
 MAY_HIDE = re.compile(r"hidden|style|type", re.I)
-#: Columns are aligned up to this width; longer cells stay whole and stick out.
-MAX_ALIGN = 40
+# The most columns and rows that a cell may span by the HTML standard.
+MAX_COLSPAN, MAX_ROWSPAN = 1000, 65534
+#: Blanks that may align a table, as a multiple of its text and at least; beyond, the widest cells stick out.
+BLANKS, LEAST_BLANKS = 8, 4096
 
 
 class Node:
-    __slots__ = ("tag", "shown", "attrs", "children", "home")
+    __slots__ = ("tag", "shown", "visible", "attrs", "children", "home")
 
     def __init__(self, tag: str, attrs: str = ""):
         self.tag, self.attrs, self.children, self.home = tag, attrs, [], None
-        self.shown = tag not in UNSEEN and not (attrs and MAY_HIDE.search(attrs) and _hides(tag, attrs))
+        #: Whether the element is displayed, and whether it is visible: None is as its parent.
+        self.shown, self.visible = tag not in UNSEEN, None
+        if attrs and MAY_HIDE.search(attrs):
+            found = _attributes(attrs)
+            style = found.get("style", "")
+            if "hidden" in found or NOT_SHOWN.search(style) or tag == "input" and found.get("type", "").lower() == "hidden":
+                self.shown = False
+            if last := VISIBILITY.findall(style):
+                self.visible = last[-1].lower() == "visible"
+        if tag == "dialog" and "open" not in _attributes(attrs):
+            self.shown = False
 
 
 def _attributes(attrs: str) -> dict[str, str]:
@@ -62,11 +80,6 @@ def _attributes(attrs: str) -> dict[str, str]:
     return out
 
 
-def _hides(tag: str, attrs: str) -> bool:
-    found = _attributes(attrs)
-    return "hidden" in found or bool(NOT_SHOWN.search(found.get("style", ""))) or tag == "input" and found.get("type", "").lower() == "hidden"
-
-
 def parse(page: str) -> Node:
     """The tree below an implied body; html, head and body tags add nothing."""
     root = Node("body")
@@ -248,23 +261,26 @@ def render(node: Node, w: Writer) -> None:
 Steps = Generator["Steps", list[str] | None, list[str] | None]
 
 
-def _render(node: Node, w: Writer, pre: bool = False) -> Steps:
+def _render(node: Node, w: Writer, pre: bool = False, seen: bool = True) -> Steps:
+    """``seen`` says whether the parent is visible."""
     tag = node.tag
     if not node.shown:
         return
+    if node.visible is not None:
+        seen = node.visible
     if tag == "br":
         w.breaks, w.space = w.breaks + 1, False
         return
     if tag == "table":
         w.block(2)
-        for line in (yield _table_lines(node)):
+        for line in (yield _table_lines(node, seen)):
             w.lines(line)
             w.block(1)
         w.block(2)
         return
     if tag in ("ul", "ol", "menu"):
         w.block(1 if w.indent else 2)
-        yield _list(node, w, pre)
+        yield _list(node, w, pre, seen)
         w.block(1 if w.indent else 2)
         return
     gap = 0 if tag not in BLOCK else 2 if tag in SPACED and not (w.marker and tag == "p") else 1
@@ -276,10 +292,11 @@ def _render(node: Node, w: Writer, pre: bool = False) -> Steps:
     pre = pre or tag in ("pre", "textarea", "xmp")
     put = w.lines if pre else w.text
     for child in node.children:
-        if isinstance(child, str):
+        if not isinstance(child, str):
+            if child.shown:
+                yield _render(child, w, pre, seen)
+        elif seen:
             put(child)
-        elif child.shown:
-            yield _render(child, w, pre)
     w.indent = indent
     if tag == "pre":
         w.breaks = 0
@@ -287,71 +304,114 @@ def _render(node: Node, w: Writer, pre: bool = False) -> Steps:
         w.block(gap)
 
 
-def _list(node: Node, w: Writer, pre: bool) -> Steps:
+def _list(node: Node, w: Writer, pre: bool, seen: bool) -> Steps:
     number, indent = 1, w.indent
     if node.tag == "ol" and node.attrs:
         start = _attributes(node.attrs).get("start", "")
         number = int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1
     for child in node.children:
         if isinstance(child, str):
-            w.text(child)
+            if seen:
+                w.text(child)
         elif child.tag == "li" and child.shown:
             mark = f"{number}. " if node.tag == "ol" else "- "
             number += 1
             w.block(1)
             w.indent, w.marker = indent + " " * len(mark), mark
+            inside = seen if child.visible is None else child.visible
             for x in child.children:
-                if isinstance(x, str):
+                if not isinstance(x, str):
+                    yield _render(x, w, pre, inside)
+                elif inside:
                     (w.lines if pre else w.text)(x)
-                else:
-                    yield _render(x, w, pre)
             w.indent, w.marker = indent, ""
             w.block(1)
         else:
-            yield _render(child, w, pre)
+            yield _render(child, w, pre, seen)
 
 
-def _rows(node: Node) -> Iterator[Node]:
-    left = [iter(node.children)]
+def _rows(node: Node, seen: bool) -> Iterator[tuple[Node, bool, int]]:
+    """Rows, whether they are visible, and the number of the group they stand in."""
+    left, group = [(iter(node.children), seen, 0)], 0
     while left:
-        c = next(left[-1], None)
+        children, visible, number = left[-1]
+        c = next(children, None)
         if c is None:
             left.pop()
         elif isinstance(c, Node) and c.shown:
+            own = visible if c.visible is None else c.visible
             if c.tag == "tr":
-                yield c
+                yield c, own, number
             elif c.tag in ("tbody", "thead", "tfoot"):
-                left.append(iter(c.children))
+                group += 1
+                left.append((iter(c.children), own, group))
+
+
+def _span(cell: Node, name: str, most: int) -> int:
+    """How many columns or rows a cell takes; 0 rows are all that are left of its group."""
+    if name not in cell.attrs.lower():
+        return 1
+    value = re.match(r"\s*\+?(\d+)", _attributes(cell.attrs).get(name, ""))
+    n = min(int(value[1][:9]), most) if value else 1
+    return n if n or name == "rowspan" else 1
+
+
+def _width(sizes: list[int], room: int) -> int:
+    """The widest column for which shorter cells need no more than ``room`` blanks."""
+    order, total = sorted(sizes), 0
+    best = order[0] if order else 0
+    for k, size in enumerate(order):
+        if k * size - total > room:
+            break
+        best, total = size, total + size
+    return best
 
 
-def _table_lines(node: Node) -> Steps:
-    """Captions, then rows whose cells start at common columns; spans take empty cells."""
+def _table_lines(node: Node, seen: bool) -> Steps:
+    """Captions, then rows whose cells start at common columns; spans leave empty places beside and below."""
     out: list[str] = []
     for c in node.children:
         if isinstance(c, Node) and c.tag == "caption" and c.shown:
             w = Writer()
-            yield _render(c, w)
+            yield _render(c, w, seen=seen)
             out += w.value().split("\n")
-    grid: list[list[list[str]]] = []
-    for row in _rows(node):
-        cells: list[list[str]] = []
+    grid: list[dict[int, list[str]]] = []
+    # By column: in how many more rows, and of which group, a cell from above stands there.
+    above: dict[int, list[int]] = {}
+    for row, visible, group in _rows(node, seen):
+        cells, at = {}, 0
+        above = {k: v for k, v in above.items() if v[0] and v[1] == group}
+        taken = set(above)
+        for v in above.values():
+            v[0] -= 1
         for c in row.children:
             if isinstance(c, Node) and c.tag in ("td", "th") and c.shown:
                 w = Writer()
-                yield _render(c, w)
-                cells.append(w.value().split("\n"))
-                if "colspan" in c.attrs.lower():
-                    span = _attributes(c.attrs).get("colspan", "")
-                    cells += [[""]] * (min(int(span), 100) - 1 if re.fullmatch(r"\d{1,9}", span) else 0)
-        if any(line for cell in cells for line in cell):
+                yield _render(c, w, seen=visible)
+                while at in taken:
+                    at += 1
+                cells[at] = w.value().split("\n")
+                wide, high = _span(c, "colspan", MAX_COLSPAN), _span(c, "rowspan", MAX_ROWSPAN)
+                if high != 1:
+                    above |= {k: [high - 1 if high else MAX_ROWSPAN, group] for k in range(at, at + wide)}
+                at += wide
+        if any(line for cell in cells.values() for line in cell):
             grid.append(cells)
-    widths = [0] * max(map(len, grid), default=0)
+    sizes: defaultdict[int, list[int]] = defaultdict(list)
     for cells in grid:
-        for k, cell in enumerate(cells):
-            widths[k] = max(widths[k], *(min(len(x), MAX_ALIGN) for x in cell))
+        last = max(cells)
+        for k in range(last + 1):
+            # The last cell of a row needs no blanks after it.
+            if k < last:
+                sizes[k] += [len(x) for x in cells.get(k, [""])]
+    text = sum(len(line) for cells in grid for cell in cells.values() for line in cell)
+    room = (BLANKS * text + LEAST_BLANKS) // max(1, len(sizes))
+    widths = {k: _width(v, room) for k, v in sizes.items()}
     for cells in grid:
-        for k in range(max(map(len, cells))):
-            out.append(" | ".join((cell[k] if k < len(cell) else "").ljust(widths[j]) for j, cell in enumerate(cells)).rstrip(" |") if len(cells) > 1 else cells[0][k] if k < len(cells[0]) else "")
+        for k in range(max(map(len, cells.values()))):
+            line = {j: cell[k] for j, cell in cells.items() if k < len(cell) and cell[k]}
+            last = max(line, default=-1)
+            out.append(" | ".join(line.get(j, "").ljust(widths[j] if j < last else 0) for j in range(last + 1)))
     return out
 
 
@@ -366,8 +426,9 @@ def visible_text(page: str | None) -> str:
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """id and ``text``, the visible text of every whole page.
 
-    Null and empty pages give an empty text, as do pages without visible text.
-    Each page is its own row, so repeated rows give repeated rows.
+    Null and empty pages give an empty text, as do pages without visible text;
+    pages of any length and depth are rendered whole.  Each page is its own
+    row, so repeated rows give repeated rows, and no rows none.
     """
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(html_col).alias("html"))
 

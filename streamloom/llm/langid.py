@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 
 from streamloom.llm.common import map_arrow, slices
 
-#: Bounds of the training sample: rows of a language, characters of a row, bytes of a dictionary.
-SAMPLE_ROWS, SAMPLE_CHARS, DICT_BYTES = 400, 2000, 96 << 10
+#: Bounds of the training sample: rows of a language, bytes of the lines kept of them, bytes of a dictionary.
+SAMPLE_ROWS, SAMPLE_BYTES, DICT_BYTES = 400, 1 << 20, 96 << 10
+#: Lines of a sample are cut after this many characters.
+LINE = 1000
 #: Texts are encoded in blocks of this many bytes, each against the plain dictionary.
 BLOCK_BYTES = 4096
 #: Least (second - best) / second for a sure decision, for texts of any length; the README has the error rates.
@@ -39,12 +41,14 @@ def held_out(doc_id: F.Column) -> F.Column:
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-        rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS, dict_bytes: int = DICT_BYTES) -> dict[str, bytes]:
+        rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES, dict_bytes: int = DICT_BYTES) -> dict[str, bytes]:
     """Dictionaries by language from at most ``rows`` rows of each language.
 
     The rows with the smallest hash of the id are the sample; only ids are
-    ranked, and the bounded list of ids then picks the texts.  Rows with a null
-    language or text, or without a letter, are not learned from.
+    ranked, and the bounded list of ids then picks the texts.  Of all lines of
+    their whole texts those with the smallest hashes are kept, about
+    ``sample_bytes`` of a language.  Rows with a null language or text, or
+    without a letter, are not learned from.
     """
     rows_ = labelled.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows_ = rows_.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
@@ -55,10 +59,15 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)), "doc_id"))
     picks = near.select("doc_id", "lang", rank.alias("rank")).where(F.col("rank") <= rows)
     sample = rows_.join(F.broadcast(picks.select("doc_id", "lang")), ["doc_id", "lang"], "left_semi")
+    # One text for each id, however often it is repeated; lines are distinct, and dealt out by their own hashes.
+    texts = sample.groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
+    lines = texts.select("lang", F.explode(F.regexp_extract_all("text", F.lit(rf"[^\n]{{1,{LINE}}}"), F.lit(0))).alias("line")).distinct()
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("line"), "line").rowsBetween(Window.unboundedPreceding, -1)
+    kept = lines.withColumn("before", F.coalesce(F.sum(F.octet_length("line").cast("long")).over(order), F.lit(0))).where(F.col("before") < sample_bytes)
     found: dict[str, set[str]] = {}
-    # One text for each id, however often it is repeated.
-    for r in sample.groupBy("lang", "doc_id").agg(F.min(F.substring("text", 1, chars)).alias("text")).collect():
-        found.setdefault(r.lang, set()).update(filter(LETTER.search, map(plain, r.text.split("\n"))))
+    for r in kept.select("lang", "line").collect():
+        if LETTER.search(r.line):
+            found.setdefault(r.lang, set()).add(plain(r.line))
     return _dictionaries(_own_lines(found, dict_bytes), dict_bytes)
 
 
@@ -115,8 +124,9 @@ def classify(docs: DataFrame, dicts: dict[str, bytes], id_col: str = "doc_id", t
 
     Without ``keep`` only the id goes along.  Null or empty text and text
     without a letter: ``und``, score 0, rejected.  A tie goes to the first
-    language by name; it has the narrowest margin, 0, and is rejected.
-    Repeated rows each get their row; input columns named like the new ones are replaced.
+    language by name; it has the narrowest margin, 0, and is rejected.  Texts of
+    any length are encoded whole, in blocks.  Repeated rows each get their row,
+    and no rows none; input columns named like the new ones are replaced.
     """
     new = ("lang_pred", "score", "rejected")
     rows = docs.drop(*new) if keep else docs.select(F.col(id_col), F.col(text_col))

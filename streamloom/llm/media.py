@@ -156,10 +156,11 @@ def _features(tag: int, pcm: np.ndarray) -> str:
 
 
 def read(media: DataFrame, up: int = 2, pcm: bool = False) -> DataFrame:
-    """Read stored files back: the payload and features of its resampled PCM.
+    """Read stored files back: the payload, and features of the samples in the resampled PCM file.
 
-    With ``pcm`` the resampled samples come along as a PCM file.  All ADPCM
-    blocks of a slice are decoded together.  Null media give null columns.
+    With ``pcm`` that file comes along.  All ADPCM blocks of a slice are decoded
+    together.  Null media give null columns, repeated rows repeated rows, and no
+    rows none; a file of any length is one row.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -178,10 +179,10 @@ def read(media: DataFrame, up: int = 2, pcm: bool = False) -> DataFrame:
                     at += n
                 else:
                     samples = expand(tag, data)
-                out = resample(samples, up)
+                stored = wave(resample(samples, up).astype("<i2").tobytes(), PCM, rate * up)
                 payloads.append(data)
-                feats.append(_features(tag, out))
-                pcms.append(wave(out.astype("<i2").tobytes(), PCM, rate * up) if pcm else None)
+                feats.append(_features(tag, expand(*read_wave(stored)[::2])))
+                pcms.append(stored if pcm else None)
             cols = [b.column(0), b.column("n_bytes"), b.column("media"), pa.array(payloads, pa.binary()), pa.array(feats, pa.string())]
             names = ["doc_id", "n_bytes", "media", "payload", "feature"]
             yield pa.RecordBatch.from_arrays(cols + [pa.array(pcms, pa.binary())] * pcm, names=names + ["pcm"] * pcm)

@@ -12,6 +12,8 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from streamloom.llm.common import free_name
+
 #: Production parameters: shards, and a prime over a hundred times as large.
 SHARDS, SLOTS = 32, 4099
 #: A table beyond this isn't broadcast.
@@ -67,20 +69,23 @@ def table_frame(spark: SparkSession, names: list[str], slots: int = SLOTS) -> Da
 def assign(rows: DataFrame, key: str = "doc_id", names: list[str] | None = None, slots: int = SLOTS) -> DataFrame:
     """Add ``slot`` and ``shard`` to every row, without a shuffle.
 
-    Rows with equal keys share a shard; null keys have the empty string's.
-    Input columns of these names are replaced.
+    Rows with equal keys share a shard, repeated rows too; null keys have the
+    empty string's.  No rows give no rows.  Input columns of these names are
+    replaced.
     """
     names = names or shard_names(SHARDS)
     placed = rows.drop("slot", "shard").withColumn("slot", slot_of(F.col(key), slots))
-    owners = table_frame(rows.sparkSession, names, slots).withColumnRenamed("slot", "_slot")
-    joined = placed.join(F.broadcast(owners), F.col("slot") == F.col("_slot"))
+    other = free_name(placed.columns, "_slot")
+    owners = table_frame(rows.sparkSession, names, slots).withColumnRenamed("slot", other)
+    joined = placed.join(F.broadcast(owners), F.col("slot") == F.col(other))
     return joined.select(*placed.columns, "shard")
 
 
 def write(rows: DataFrame, path: str, key: str = "doc_id", names: list[str] | None = None, slots: int = SLOTS, salts: int = 4) -> None:
     """Write Parquet by shard; each shard is dealt over ``salts`` tasks, so none takes a whole hot shard."""
     out = assign(rows, key, names, slots)
-    out.repartition(F.col("shard"), F.pmod(F.xxhash64(*[c for c in rows.columns if c != "shard"][:1]), F.lit(salts))).write.partitionBy("shard").parquet(path)
+    whole = F.xxhash64(*[f.name for f in out.schema.fields if "map<" not in f.dataType.simpleString()])
+    out.repartition(F.col("shard"), F.pmod(whole, F.lit(salts))).write.partitionBy("shard").parquet(path)
 
 
 def oracle(names: list[str], slots: int = SLOTS) -> str:

@@ -261,6 +261,7 @@ def kept_texts(w: Windows, gone: np.ndarray) -> pa.Array:
 
 
 def digest(docs: DataFrame) -> DataFrame:
+    """n_words, n_removed and the kept words' hash of every row of ``documents``; null and empty text: 0, 0 and the hash of nothing."""
     rows = deduplicate(docs.select("doc_id", "text"))
     return rows.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 

@@ -10,6 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from oracle import compare
+from pyspark.sql import functions as F
 
 from streamloom.llm import decontaminate, jaccard_join, substring_dedup, suffix_dedup
 from streamloom.llm import queries as q
@@ -234,8 +235,28 @@ def test_containment(spark):
     assert decontaminate.find(docs.limit(0), bench).count() == 0 and decontaminate.find(docs, bench.limit(0)).count() == 0
 
 
+def test_sketches_of_documents(spark):
+    """A document's sketch of a size class is what it has up to the class's largest item hash; classes have their own."""
+    items = [(k, " ".join(f"i{k}w{j}" for j in range(5 + 9 * k))) for k in range(8)]
+    bench = spark.createDataFrame(items, "item_id long, text string").select("item_id", decontaminate.words(F.col("text")).alias("w"))
+    sketch = decontaminate.sketches(bench).collect()
+    sizes = {k: len(t.split()) - 4 for k, t in items}
+    tops = {}
+    for r in sketch:
+        assert r.size_class == (sizes[r.item_id] - 1).bit_length()
+        tops[r.size_class] = max(tops.get(r.size_class, r.h), r.h)
+    for k, m in sizes.items():
+        most = 1 << (m - 1).bit_length()
+        assert sum(r.item_id == k for r in sketch) == min(m, most - -(-most * 4 // 5) + 1)
+    docs = spark.createDataFrame([(1, " ".join(t for _, t in items)), (2, "a b c")], "doc_id long, text string").select("doc_id", decontaminate.words(F.col("text")).alias("w"))
+    got = {(r.size_class, r.h) for r in decontaminate.document_sketches(docs, tops).collect()}
+    hashes = {r.h for r in decontaminate._shingles(docs, "doc_id", 5).collect()}
+    assert got == {(c, h) for c, top in tops.items() for h in hashes if h <= top}
+    assert {(r.size_class, r.h) for r in sketch} <= got and decontaminate.document_sketches(docs, {}).count() == 0
+
+
 def test_containment_beyond_broadcast(spark, sf, monkeypatch):
-    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 1)
+    monkeypatch.setattr(decontaminate, "BROADCAST", 1)
     compare(q.op4_decontamination(spark, sf), q.oracle_sql()["op4_decontamination"], sf)
 
 
