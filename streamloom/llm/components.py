@@ -20,13 +20,14 @@ def _mark(edges: DataFrame) -> tuple:
 
 def _large(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    # Written, so that the join can split the edges of a hub, which the tasks that look for its least node couldn't.
+    least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
     return both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = materialize(down.groupBy("u").agg(F.min("v").alias("m")), "least")
     joined = down.join(least, "u")
     return joined.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
@@ -40,7 +41,7 @@ def components(edges: DataFrame) -> DataFrame:
     now = materialize(edges.where(F.col("u") != F.col("v")).select("u", "v").distinct(), "edges")
     mark = _mark(now)
     while mark[0]:
-        now = materialize(_small(_large(now)), "edges")
+        now = materialize(_small(materialize(_large(now), "edges")), "edges")
         before, mark = mark, _mark(now)
         if mark == before:
             break

@@ -347,10 +347,11 @@ def _units(members: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame
     Chunk pairs have a null path, block pairs of a wide path have it.
     members: path, cid, n; classes: cid, copies, paths.
     """
-    # The path's own size says into how many chunks its classes are dealt, so nothing is counted or joined by a hot path.
-    primary = members.groupBy("cid").agg(F.max(F.struct("n", "path")).alias("m"))
-    primary = primary.select("cid", F.col("m.path").alias("primary"), F.pmod(F.xxhash64("cid"), F.ceil(F.col("m.n") / F.lit(CHUNK))).alias("block"))
-    primary = materialize(primary.withColumn("chunk", F.xxhash64("primary", "block")), "primary")
+    # Both sides are written first, so that the join with the counts can split a hot path.
+    primary = materialize(members.groupBy("cid").agg(F.max(F.struct("n", "path"))["path"].alias("primary")), "primary")
+    held = materialize(primary.groupBy("primary").agg(F.ceil(F.count("*") / F.lit(CHUNK)).alias("chunks")), "held")
+    primary = primary.join(held, "primary").select("cid", "primary", F.pmod(F.xxhash64("cid"), F.col("chunks")).alias("block"))
+    primary = materialize(primary.withColumn("chunk", F.xxhash64("primary", "block")), "blocks")
     # A path's chunks are counted before they are listed, so no list is long.  It is narrow if comparing its
     # chunks ships little more than its members; else it is compared by itself, in blocks.
     sizes = primary.groupBy("chunk").agg(F.count("*").alias("size"))
