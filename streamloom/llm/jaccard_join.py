@@ -7,9 +7,9 @@ again by a second and third token.  Small buckets are compared by brute force.
 The number of runs follows from the target recall.
 
 Equal sets are one class beforehand.  Classes are dealt to chunks by their most
-frequent path.  A chunk is compared with itself, and two chunks are compared
-once if most of their classes follow a common path; other paths compare just
-their own members.  A pair counts in one of these places only.  So a large
+frequent path.  The chunks of a path are compared with each other, and two
+chunks of different paths once if many of their classes follow a common one;
+other paths compare just their own members.  A pair counts in one of these places only.  So a large
 group of near copies, which meets on every run, costs its own pairs once; they
 are counted in blocks and never emitted.
 """
@@ -39,8 +39,8 @@ BROADCAST_BYTES = 8 << 20
 BUCKET, DEPTH, DENSER = 1024, 3, 3.0
 #: Members of a large bucket that are looked at, on average, to see whether it can be split.
 PROBE = 64
-#: Classes of a chunk.
-CHUNK = 512
+#: Classes of a chunk, and shingles of them all, on average.
+CHUNK, CHUNK_SHINGLES = 1024, 1 << 21
 OTHER = re.compile(r"[\W_]+")
 
 
@@ -102,17 +102,18 @@ def _seeds(n: int) -> np.ndarray:
 
 
 def _classify(docs: DataFrame, n: int, similarity: float, runs: int) -> DataFrame:
-    """doc_id, cid, paths of the first level."""
+    """doc_id, cid, size and paths of the first level."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds = _seeds(runs)
         for b in slices(batches):
-            cids, paths = [], []
+            cids, sizes, paths = [], [], []
             for h in shingle_sets(b.column(1).to_pylist(), n):
                 cids.append(_class(h))
+                sizes.append(len(h))
                 paths.append(np.concatenate(_follow(h, seeds, 1 / similarity)).view(np.int64) if len(h) else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cids, pa.binary()), pa.array(paths, pa.list_(pa.int64()))], names=["doc_id", "cid", "paths"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cids, pa.binary()), pa.array(sizes, pa.int64()), pa.array(paths, pa.list_(pa.int64()))], names=["doc_id", "cid", "size", "paths"])
 
-    return map_arrow(docs, run, "doc_id long, cid binary, paths array<long>")
+    return map_arrow(docs, run, "doc_id long, cid binary, size long, paths array<long>")
 
 
 def _with_class(docs: DataFrame, text_col: str, n: int, name: str) -> DataFrame:
@@ -345,31 +346,35 @@ def _units(members: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame
     """Rows of the comparisons (unit, side, path, cid), and the classes' keys for them.
 
     Chunk pairs have a null path, block pairs of a wide path have it.
-    members: path, cid, n; classes: cid, copies, paths.
+    members: path, cid, n; classes: cid, copies, size, paths.
     """
     # Both sides are written first, so that the join with the counts can split a hot path.
     primary = materialize(members.groupBy("cid").agg(F.max(F.struct("n", "path"))["path"].alias("primary")), "primary")
-    held = materialize(primary.groupBy("primary").agg(F.ceil(F.count("*") / F.lit(CHUNK)).alias("chunks")), "held")
+    weighed = primary.join(classes.select("cid", "size"), "cid").groupBy("primary").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
+    held = materialize(weighed.select("primary", F.ceil(F.greatest(F.col("n") / F.lit(CHUNK), F.col("s") / F.lit(CHUNK_SHINGLES))).alias("chunks")), "held")
     primary = primary.join(held, "primary").select("cid", "primary", F.pmod(F.xxhash64("cid"), F.col("chunks")).alias("block"))
     primary = materialize(primary.withColumn("chunk", F.xxhash64("primary", "block")), "blocks")
-    # A path's chunks are counted before they are listed, so no list is long.  It is narrow if comparing its
-    # chunks ships little more than its members; else it is compared by itself, in blocks.
+    # Classes of one primary path are compared in its own chunks, so a path is of use only for classes of different ones.
+    # Its chunks are counted before they are listed, so no list is long.  It is narrow if comparing those chunks
+    # ships little more than comparing its members by themselves, in blocks.
     sizes = primary.groupBy("chunk").agg(F.count("*").alias("size"))
-    reach = members.join(primary, "cid").groupBy("path", "chunk").agg(F.count("*").alias("k"))
+    reach = members.join(primary, "cid").groupBy("path", "primary", "chunk").agg(F.count("*").alias("k"))
     reach = materialize(reach.join(sizes, "chunk"), "reach")
-    per_path = reach.groupBy("path").agg(F.count("*").alias("chunks"), F.sum("size").alias("whole"), F.sum("k").alias("n"))
-    narrow = (F.col("whole") <= 2 * F.col("n")) & (F.col("chunks") <= 2 + 2 * F.col("n") / CHUNK)
-    per_path = materialize(per_path.where("chunks > 1").select("path", narrow.alias("is_narrow")), "wide")
+    per_primary = reach.groupBy("path", "primary").agg(F.count("*").alias("c"), F.sum("size").alias("s"), F.sum("k").alias("k"))
+    per_path = per_primary.groupBy("path").agg(F.count("*").alias("primaries"), F.sum("k").alias("n"), (F.sum("s") * F.sum("c") - F.sum(F.col("s") * F.col("c"))).alias("cost"))
+    narrow = F.col("cost") <= 2 * F.col("n") * F.ceil(F.col("n") / F.lit(CHUNK))
+    per_path = materialize(per_path.where("primaries > 1").select("path", narrow.alias("is_narrow")), "wide")
     wide = per_path.where("not is_narrow").select("path")
-    lists = reach.join(per_path.where("is_narrow"), "path").groupBy("path").agg(F.array_sort(F.collect_list("chunk")).alias("c"))
-    cross = lists.select(F.explode("c").alias("x"), "c").select("x", F.explode("c").alias("y")).where("x < y")
+    lists = reach.join(per_path.where("is_narrow"), "path").groupBy("path", "primary").agg(F.collect_list("chunk").alias("c"))
+    lists = lists.groupBy("path").agg(F.collect_list(F.struct("primary", "c")).alias("g")).select(F.explode("g").alias("a"), "g").select("a", F.explode("g").alias("b")).where("a.primary < b.primary")
+    cross = lists.select(F.explode("a.c").alias("x"), "b.c").select("x", F.explode("c").alias("y")).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
     blocks = primary.select("primary", "block", "chunk").distinct()
     other = blocks.select("primary", F.col("chunk").alias("y"))
     own = blocks.select("primary", F.col("chunk").alias("x")).join(other, "primary").where("x <= y").select("x", "y")
     pairs = cross.unionByName(own).distinct().withColumn("unit", F.xxhash64("x", "y"))
     marked = members.join(wide.withColumn("is_wide", F.lit(True)), "path", "left")
     paths = marked.groupBy("cid").agg(F.collect_set(F.when(F.col("is_wide").isNull(), F.col("path"))).alias("narrow"), F.collect_set(F.when(F.col("is_wide"), F.col("path"))).alias("wide"))
-    full = materialize(classes.join(primary.select("cid", "primary", "chunk"), "cid").join(paths, "cid"), "classes")
+    full = materialize(classes.drop("size").join(primary.select("cid", "primary", "chunk"), "cid").join(paths, "cid"), "classes")
     ends = pairs.select("unit", F.col("x").alias("chunk"), F.lit(0).alias("side")).unionByName(pairs.where("x < y").select("unit", F.col("y").alias("chunk"), F.lit(1).alias("side")))
     near = primary.select("chunk", "cid").join(ends, "chunk").select("unit", "side", F.lit(None).cast("long").alias("path"), "cid")
     # Blocks of a wide path: every pair of blocks meets once.
@@ -386,13 +391,13 @@ def _linked(named: DataFrame, n: int, similarity: float, recall: float) -> tuple
     named: doc_id, text; no null id.
     """
     found = materialize(_classify(named, n, similarity, runs_for(recall)), "paths")
-    by_set = found.where(F.col("cid").isNotNull()).groupBy("cid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("paths").alias("paths"))
+    by_set = found.where(F.col("cid").isNotNull()).groupBy("cid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("paths").alias("paths"))
     by_set = materialize(by_set, "sets")
     level = _sized(by_set.select(F.explode(F.array_distinct("paths")).alias("path"), "cid"))
     known = level.groupBy("cid").agg(F.collect_set("path").alias("paths"))
     classes = materialize(by_set.drop("paths").join(known, "cid"), "active")
     members = materialize(_buckets(level, named, classes, n, similarity), "buckets")
-    units, keys = _units(members, classes.select("cid", "copies", "paths"))
+    units, keys = _units(members, classes.select("cid", "copies", "size", "paths"))
     groups = max(8, classes.count() // 500)
     # First the paths alone tell who has somebody alike; only those classes' sets are shipped.
     kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary())
