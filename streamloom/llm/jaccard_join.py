@@ -40,7 +40,7 @@ BUCKET, DEPTH, DENSER = 1024, 3, 3.0
 #: Members of a large bucket that are looked at, on average, to see whether it can be split.
 PROBE = 64
 #: Classes of a chunk, and shingles of them all, on average.
-CHUNK, CHUNK_SHINGLES = 1024, 1 << 21
+CHUNK, CHUNK_SHINGLES = 2048, 1 << 21
 OTHER = re.compile(r"[\W_]+")
 
 
@@ -227,7 +227,7 @@ def _common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     ca, cb = np.searchsorted(both, va), np.searchsorted(both, vb)
     ka, kb = both[np.minimum(ca, len(both) - 1)] == va, both[np.minimum(cb, len(both) - 1)] == vb
     ra, ca, rb, cb = ra[ka], ca[ka], rb[kb], cb[kb]
-    for lo in range(0, len(both), step := 1 << 13):
+    for lo in range(0, len(both), step := 1 << 12):
         hi = min(lo + step, len(both))
         ma, mb = np.zeros((len(a), hi - lo), np.float32), np.zeros((len(b), hi - lo), np.float32)
         ia, ib = (ca >= lo) & (ca < hi), (cb >= lo) & (cb < hi)
@@ -362,7 +362,7 @@ def _units(members: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame
     reach = materialize(reach.join(sizes, "chunk"), "reach")
     per_primary = reach.groupBy("path", "primary").agg(F.count("*").alias("c"), F.sum("size").alias("s"), F.sum("k").alias("k"))
     per_path = per_primary.groupBy("path").agg(F.count("*").alias("primaries"), F.sum("k").alias("n"), (F.sum("s") * F.sum("c") - F.sum(F.col("s") * F.col("c"))).alias("cost"))
-    narrow = F.col("cost") <= 2 * F.col("n") * F.ceil(F.col("n") / F.lit(CHUNK))
+    narrow = F.col("cost") <= 4 * F.col("n") * F.ceil(F.col("n") / F.lit(CHUNK))
     per_path = materialize(per_path.where("primaries > 1").select("path", narrow.alias("is_narrow")), "wide")
     wide = per_path.where("not is_narrow").select("path")
     lists = reach.join(per_path.where("is_narrow"), "path").groupBy("path", "primary").agg(F.collect_list("chunk").alias("c"))
