@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,50 +17,65 @@ from streamloom.functions.codestream import Walk, geometry_signature, structure_
 from streamloom.operators.frames import _arrow
 from streamloom.schemas import CODEBLOCK_SEGMENTS, PRECINCT_LOG
 
+#: Frames whose rows are gathered together.
+FRAMES = 256
 
-def _walk(blob: bytes, signals: list[tuple[int, int]], flush: bool) -> tuple[list[dict], list[dict]]:
-    """Code-block rows and the log of one frame, with its header at the front."""
+
+UNSUPPORTED = (None, None, None, None, "unsupported", 0, 0, 0, "header", False)
+
+
+def _walk(blob: bytes, signals: list[tuple[int, int]], flush: bool, log: list[tuple] | None, blocks: list[tuple] | None) -> None:
+    """Append the log and the code-block rows of one frame, with its header at the front."""
     end = geometry_signature(blob)[1]
     header, found = structure_of(blob[:end]) if end else (None, None)
-    log: list[dict] = []
-    blocks: list[dict] = []
     if found is None:
-        return [], [{"crp_idx": None, "c": None, "r": None, "p": None, "status": "unsupported", "byte_offset": 0, "n_bytes": 0, "skipped": 0, "reason": "header", "overrun": False}]
+        if log is not None:
+            log.append(UNSUPPORTED)
+        return
     w = Walk(found, header.sod_off, log, blocks)
-    good = True
     for offset, pid in sorted(signals):
         w.signal(offset, pid)
-    if signals:
-        good = w.advance(blob)
+    good = w.advance(blob) if signals else True
     if flush and good:
         w.flush(blob)
-    return blocks, log
 
 
-def _frames(frames: DataFrame, ddl: str, which: int, flush: bool) -> DataFrame:
-    names = [f.split()[0] for f in ddl.split(", ")]
+def _frames(frames: DataFrame, ddl: str, logged: bool, flush: bool) -> DataFrame:
+    """Rows of whole frames, as columns of an Arrow batch for each batch of frames."""
+    schema = _arrow(ddl)
     rows = frames.select("stream_id", "frame_id", "blob", F.col("signals") if "signals" in frames.columns else F.lit(None).cast("array<struct<byte_offset:bigint,pid:bigint>>").alias("signals"))
+    # The columns after the frame's own, and the step of a log.
+    kinds = schema.types[3 if logged else 2 :]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = _arrow(ddl)
-        for b in batches:
-            for stream, frame, blob, signals in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                found = _walk(blob or b"", [(s["byte_offset"], s["pid"]) for s in signals or []], flush)[which]
-                if found:
-                    given = [{"stream_id": stream, "frame_id": frame, "step": k} | x for k, x in enumerate(found)]
-                    yield pa.RecordBatch.from_pylist([{n: g.get(n) for n in names} for g in given], schema=schema)
+        for whole in batches:
+            for at in range(0, whole.num_rows, FRAMES):
+                b = whole.slice(at, FRAMES)
+                found, ends = [], [0]
+                for blob, signals in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                    _walk(blob or b"", [(s["byte_offset"], s["pid"]) for s in signals or []], flush, found if logged else None, None if logged else found)
+                    ends.append(len(found))
+                if not found:
+                    continue
+                sizes = np.diff(ends)
+                of = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+                cols = [b.column(0).take(of), b.column(1).take(of)]
+                if logged:
+                    cols.append(pa.array(np.arange(len(found)) - np.repeat(ends[:-1], sizes), pa.int64()))
+                cols += [pa.array(c, t) for c, t in zip(zip(*found, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(cols, schema=schema)
 
     return rows.mapInArrow(run, ddl)
 
 
 def codeblock_segments(frames: DataFrame, flush: bool = True) -> DataFrame:
     """CODEBLOCK_SEGMENTS of frames (stream_id, frame_id, blob, optionally signals)."""
-    return _frames(frames, CODEBLOCK_SEGMENTS, 0, flush)
+    return _frames(frames, CODEBLOCK_SEGMENTS, False, flush)
 
 
 def precinct_log(frames: DataFrame, flush: bool = True) -> DataFrame:
     """Every step of the walk: parsed, empty, failed, recovered or lost; frames without a structure have one row."""
-    return _frames(frames, PRECINCT_LOG, 1, flush)
+    return _frames(frames, PRECINCT_LOG, True, flush)
 
 
 def ready_precincts(log: DataFrame) -> DataFrame:

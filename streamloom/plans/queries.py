@@ -425,11 +425,53 @@ def packet_parse(spark, sf_dir):
     return packets.codeblock_segments(_blobs(spark, sf_dir))
 
 
-@query()
+#: The precincts of the fixtures' header in order.
+SQL_ORDER = """crp AS (SELECT row_number() OVER (ORDER BY gy * (2 - r), gx * (2 - r), c, r) - 1 AS i, c, r, gy * (r + 1) + gx AS p
+  FROM (SELECT unnest(range(3)) AS c), (SELECT unnest(range(2)) AS r), (SELECT unnest(range(2)) AS gx), (SELECT unnest(range(2)) AS gy) WHERE gx <= r AND gy <= r)"""
+
+
+@query(f"""WITH {SQL_ORDER}, o AS (SELECT o_custkey % 64 AS stream_id, o_orderkey AS frame_id, o_orderkey % 4 AS k FROM orders),
+w AS (SELECT stream_id, frame_id, i AS step, i::INT AS crp_idx, c, r, p, CASE WHEN k = 1 AND i = 0 THEN 'parsed' ELSE 'empty' END AS status, CASE k WHEN 0 THEN 98 + i WHEN 1 THEN CASE WHEN i = 0 THEN 98 ELSE 121 + i END ELSE 98 END AS byte_offset,
+  CASE WHEN k = 2 THEN 0 WHEN k = 1 AND i = 0 THEN 24 ELSE 1 END AS n_bytes, '' AS reason, k = 2 AS overrun FROM o, crp WHERE k < 3
+  UNION ALL SELECT stream_id, frame_id, 0, 0, 0, 0, 0, 'failed', 98, 3, 'passes', false FROM o WHERE k = 3 UNION ALL SELECT stream_id, frame_id, 1, 0, NULL, NULL, NULL, 'lost', 101, 0, 'no_signal', false FROM o WHERE k = 3)
+SELECT stream_id, frame_id, step, crp_idx, c::INT AS c, r::INT AS r, p::INT AS p, status, byte_offset::BIGINT AS byte_offset, n_bytes::BIGINT AS n_bytes, 0::INT AS skipped, reason, overrun FROM w""")
 def precinct_walk(spark, sf_dir):
     return packets.precinct_log(_blobs(spark, sf_dir))
 
 
+#: Signals of a broken frame: one that helps, an unknown precinct, one that is done, and two that are passed.
+SIGNALS = ([(143, 7)], [(143, 300)], [(143, 0)], [(99, 7), (100, 8)])
+
+
+def _broken(spark, sf_dir):
+    """Frames whose first precinct can't be read, dealt to the orders, with signals."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select((F.col("o_custkey") % 64).cast("bigint").alias("stream_id"), F.col("o_orderkey").cast("bigint").alias("frame_id"))
+    kinds = ", ".join("array(" + ", ".join(f"struct({a}L AS byte_offset, {b}L AS pid)" for a, b in x) + ")" for x in SIGNALS)
+    return o.withColumn("blob", F.unhex(F.lit((HEADER + b"\xff\x7f" * 20 + bytes(30) + EOC).hex()))).withColumn("signals", F.expr(f"element_at(array({kinds}), cast(frame_id % 4 + 1 as int))"))
+
+
+SQL_BROKEN = f"""WITH {SQL_ORDER}, o AS (SELECT o_custkey % 64 AS stream_id, o_orderkey AS frame_id, o_orderkey % 4 AS k FROM orders),
+w AS (SELECT stream_id, frame_id, 0 AS step, 0 AS crp_idx, 0 AS c, 0 AS r, 0 AS p, 'failed' AS status, 98 AS byte_offset, 3 AS n_bytes, 0 AS skipped, 'passes' AS reason FROM o
+  UNION ALL SELECT stream_id, frame_id, 1, CASE WHEN k = 0 THEN 7 ELSE 1 END, NULL, NULL, NULL, CASE WHEN k = 0 THEN 'recovered' ELSE 'lost' END, 101, 0, CASE WHEN k = 0 THEN 6 ELSE 0 END, ['', 'bad_pid', 'backward', 'no_signal'][k + 1] FROM o
+  UNION ALL SELECT stream_id, frame_id, i - 5, i, c, r, p, 'empty', 143 + i - 7, 1, 0, '' FROM o, crp WHERE k = 0 AND i >= 7)
+"""
+
+
+@query(SQL_BROKEN + "SELECT stream_id, frame_id, step::BIGINT AS step, crp_idx::INT AS crp_idx, c::INT AS c, r::INT AS r, p::INT AS p, status, byte_offset::BIGINT AS byte_offset, n_bytes::BIGINT AS n_bytes, skipped::INT AS skipped, reason, false AS overrun FROM w")
+def precinct_recovery(spark, sf_dir):
+    """The walk of frames that are broken at their first precinct, with signals to go on from."""
+    return packets.precinct_log(_broken(spark, sf_dir))
+
+
+@query(SQL_BROKEN + """, l AS (SELECT stream_id, max(frame_id) AS frame_id FROM w GROUP BY stream_id)
+SELECT stream_id, count(*) FILTER (status = 'empty') AS precincts_parsed, count(*) FILTER (status = 'empty') AS sum_precinct_bytes, CASE WHEN count(*) FILTER (status = 'empty') > 0 THEN 1.0::DOUBLE END AS avg_precinct_bytes, count(*) FILTER (status = 'failed') AS failed_parses,
+count(*) FILTER (status = 'recovered') AS recoveries, sum(skipped)::BIGINT AS skipped_precincts, count(*) FILTER (reason = 'no_signal') AS recover_no_signal, count(*) FILTER (reason = 'bad_pid') AS recover_bad_pid, count(*) FILTER (reason = 'backward') AS recover_backward,
+0::BIGINT AS overruns, '0,0,0,0,98' AS last_failure, 0::BIGINT AS snaps_with_drift, 0::BIGINT AS max_drift, 0::BIGINT AS sum_drift FROM w GROUP BY stream_id""")
+def recovery_stats(spark, sf_dir):
+    s = packets.precinct_stats(packets.precinct_log(_broken(spark, sf_dir)))
+    return s.withColumn("last_failure", F.concat_ws(",", *[F.col(f"last_failure.{n}") for n in ("c", "r", "p", "crp_idx", "pos")]))
+
+
 @query("""WITH o AS (SELECT o_custkey % 64 AS stream_id, o_orderkey, o_orderkey % 4 AS k FROM orders), f AS (SELECT stream_id, frame_id, crp_idx, c, r, p FROM (SELECT stream_id, o_orderkey AS frame_id, unnest(range(15)) AS i FROM o WHERE k < 3)
 JOIN (SELECT row_number() OVER (ORDER BY gy * (2 - r), gx * (2 - r), c, r) - 1 AS crp_idx, c, r, gy * (r + 1) + gx AS p FROM (SELECT unnest(range(3)) AS c), (SELECT unnest(range(2)) AS r), (SELECT unnest(range(2)) AS gx), (SELECT unnest(range(2)) AS gy) WHERE gx <= r AND gy <= r) ON crp_idx = i)
 SELECT stream_id, frame_id, crp_idx AS step, crp_idx::INT AS crp_idx, c::INT AS c, r::INT AS r, p::INT AS p FROM f""")
@@ -453,20 +495,95 @@ def log_lines(spark, sf_dir):
 
 
 def _stream_packets(spark, sf_dir):
-    """Ordered packets whose payloads are frames of the fixtures: geometry flips, empty bodies, real gaps."""
-    o = _ordered(spark, sf_dir)
+    """Ordered packets whose payloads are frames of the fixtures: geometry flips, empty and broken bodies, real gaps."""
+    o = frames.gap_flags(sent_packets(spark, sf_dir).where("event_id % 211 <> 0"))
     n = F.col("seq_ext")
     frame_no = F.floor((n - 1) / FRAME)
     head = F.when(frame_no % 7 < 4, F.unhex(F.lit("C000000000000000" + HEADER.hex()))).otherwise(F.unhex(F.lit("C000000000000000" + VARIANTS["wide"].hex())))
-    body = F.unhex(F.lit("00" * 8 + "00" * 2))
+    body = F.when(frame_no % 23 < 12, F.unhex(F.lit("00" * 8 + "00" * 2))).otherwise(F.unhex(F.lit("00" * 8 + "ff7f")))
     return o.withColumn("payload", F.when(F.col("mh") > 0, head).otherwise(body))
 
 
-@query()
+#: The frame life of those packets: frames by their packets, streaks and latched headers by recursion over frames, events in order.
+SQL_EVENTS = f"""WITH RECURSIVE {SQL}, k0 AS (SELECT *, coalesce(seq_ext <> lag(seq_ext) OVER w + 1, false) AS gap FROM sent WHERE event_id % 211 <> 0 WINDOW w AS (PARTITION BY stream_id ORDER BY seq_ext)),
+fr AS (SELECT *, sum(CASE WHEN mh >= 1 THEN 1 ELSE 0 END) OVER (PARTITION BY stream_id ORDER BY seq_ext ROWS UNBOUNDED PRECEDING)::BIGINT AS frame_id FROM k0),
+pk AS (SELECT *, CASE WHEN mh >= 1 THEN 98 ELSE 2 END AS n, seq_ext = min(seq_ext) OVER f AS opens FROM fr WHERE frame_id > 0 WINDOW f AS (PARTITION BY stream_id, frame_id)),
+fm AS (SELECT stream_id, frame_id, min(seq_ext) AS s, min(seq_ext) FILTER (gap AND NOT opens) AS g, min(seq_ext) FILTER (marker) AS e, bool_or(gap AND opens) AS late FROM pk GROUP BY ALL),
+fd AS (SELECT stream_id, frame_id, s, e, CASE WHEN e IS NULL OR g <= e THEN g END AS g, lead(s) OVER w AS ns, lead(late) OVER w AS nl, (s - 1) // {FRAME} % 7 < 4 AS variant, (s - 1) // {FRAME} % 23 >= 12 AS broken FROM fm WINDOW w AS (PARTITION BY stream_id ORDER BY frame_id)),
+st AS (SELECT stream_id, frame_id, variant, CASE WHEN e IS NULL OR g IS NOT NULL THEN 0 WHEN broken THEN 1 ELSE 0 END AS streak, 0 AS relatch FROM fd WHERE frame_id = 1
+  UNION ALL SELECT d.stream_id, d.frame_id, d.variant, CASE WHEN d.e IS NULL OR d.g IS NOT NULL THEN x.before WHEN d.broken THEN x.before + 1 ELSE 0 END, x.why FROM (
+    SELECT st.stream_id, st.frame_id + 1 AS frame_id, CASE WHEN st.streak >= 4 THEN 2 WHEN fd.variant <> st.variant THEN 1 ELSE 0 END AS why, CASE WHEN st.streak >= 4 OR fd.variant <> st.variant THEN 0 ELSE st.streak END AS before
+    FROM st JOIN fd ON fd.stream_id = st.stream_id AND fd.frame_id = st.frame_id + 1) x JOIN fd d USING (stream_id, frame_id)),
+ev AS (
+  SELECT stream_id, frame_id, pk.seq_ext AS tm, 2 AS o, 'chunk' AS kind, coalesce(sum(n) OVER (PARTITION BY stream_id, frame_id ORDER BY pk.seq_ext ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset", n::BIGINT AS len, NULL::INT AS reason, NULL::BOOLEAN AS intact, 0 AS trunc, 0 AS total
+    FROM pk JOIN fd USING (stream_id, frame_id) WHERE pk.seq_ext < coalesce(g, pk.seq_ext + 1) AND pk.seq_ext <= coalesce(e, pk.seq_ext)
+  UNION ALL SELECT stream_id, frame_id, g, 0, 'abort', NULL, NULL, 1, NULL, 0, 0 FROM fd WHERE g IS NOT NULL
+  UNION ALL SELECT stream_id, frame_id, ns, 0, 'abort', NULL, NULL, CASE WHEN nl THEN 1 ELSE 3 END, NULL, 0, 0 FROM fd WHERE g IS NULL AND e IS NULL AND ns IS NOT NULL
+  UNION ALL SELECT stream_id, frame_id, coalesce(e, ns), 1, 'count', NULL, NULL, NULL, NULL, 1, 1 FROM fd WHERE (g IS NOT NULL OR e IS NULL) AND coalesce(e, ns) IS NOT NULL
+  UNION ALL SELECT stream_id, frame_id, s, 3, 'relatch', NULL, NULL, relatch, NULL, 0, 0 FROM st JOIN fd USING (stream_id, frame_id) WHERE relatch > 0
+  UNION ALL SELECT stream_id, frame_id, e, 4, 'ready', 0, (SELECT sum(n) FROM pk WHERE pk.stream_id = fd.stream_id AND pk.frame_id = fd.frame_id AND pk.seq_ext <= fd.e), NULL, true, broken::INT, 1 FROM fd WHERE g IS NULL AND e IS NOT NULL),
+es AS (SELECT stream_id, row_number() OVER (PARTITION BY stream_id ORDER BY tm, o) - 1 AS event_no, frame_id, kind, "offset", len::INT AS len, reason::INT AS reason, intact::BOOLEAN AS intact, NULL::BIGINT AS pid, trunc::INT AS trunc, total::INT AS total FROM ev)
+"""
+
+
+@query(SQL_EVENTS + "SELECT * FROM es")
 def relatch_events(spark, sf_dir):
     return frames.frame_events(_stream_packets(spark, sf_dir))
 
 
-@query()
+@query(SQL_EVENTS + """SELECT stream_id, sum(total)::BIGINT AS total_frames, sum(trunc)::BIGINT AS trunc_frames, count(*) FILTER (kind = 'ready') AS ready, count(*) FILTER (kind = 'ready' AND intact) AS intact, count(*) FILTER (kind = 'abort' AND reason = 1) AS abort_gap,
+count(*) FILTER (kind = 'abort' AND reason = 2) AS abort_parse, count(*) FILTER (kind = 'abort' AND reason = 3) AS abort_missed_eoc, count(*) FILTER (kind = 'abort' AND reason = 4) AS abort_slab_cap, count(*) FILTER (kind = 'abort' AND reason = 5) AS abort_damaged_eoc, count(*) FILTER (kind = 'relatch') AS relatches FROM es GROUP BY stream_id""")
 def event_totals(spark, sf_dir):
     return frames.event_totals(frames.frame_events(_stream_packets(spark, sf_dir)))
+
+
+def _hex(x, digits):
+    return F.lpad(F.hex(x.cast("bigint")), digits, "0")
+
+
+def _varied_headers(spark, sf_dir):
+    """A main header of its own for every order: sizes, levels, directions, steps, capabilities and an override of one component."""
+    k = F.col("o_orderkey").cast("bigint")
+    nl, nc = 1 + k % 5, 1 + k % 4
+    types = [1 + (k + j) % 3 for j in range(5)]
+    steps = 1 + sum((F.when(F.lit(j) < nl, F.when(t == 1, 3).otherwise(1)).otherwise(0) for j, t in enumerate(types)), F.lit(0))
+    siz = F.concat(F.lit("FF51002F4000"), _hex(64 + k % 1000, 8), _hex(48 + k % 777, 8), F.lit("00" * 8), _hex(64 + k % 1000, 8), _hex(48 + k % 777, 8), F.lit("00" * 8 + "0003" + "070101" * 3))
+    cap = F.concat(F.lit("FF50000A40020000"), _hex(k % 65536, 4), _hex(k * 7 % 65536, 4))
+    cod = F.concat(F.lit("FF52"), _hex(13 + nl, 4), F.lit("01"), _hex(3 + k % 2 * 2, 2), _hex(1 + k % 9, 4), _hex(k % 2, 2), _hex(nl, 2), _hex(5 + k % 3, 2), _hex(k % 3, 2), F.lit("4801"), F.expr("repeat('55', cast(2 + o_orderkey % 5 as int))"))
+    coc = F.concat(F.lit("FF53"), _hex(10 + nc, 4), _hex(k % 3, 2), F.lit("01"), _hex(nc, 2), F.lit("0600" + "4801"), F.expr("repeat('66', cast(2 + o_orderkey % 4 as int))"))
+    dfs = F.concat(F.lit("FF7200070001"), _hex(nl, 2), _hex(types[0] * 64 + types[1] * 16 + types[2] * 4 + types[3], 2), _hex(types[4] * 64, 2))
+    qcd = F.concat(F.lit("FF5C"), _hex(3 + steps, 4), F.lit("40"), F.array_join(F.transform(F.sequence(F.lit(1), steps.cast("int")), lambda j: F.lpad(F.hex(((k + j) % 32 * 8).cast("bigint")), 2, "0")), ""))
+    whole = F.concat(F.lit("FF4F"), siz, F.when(k % 4 > 0, cap).otherwise(""), cod, F.when(k % 3 > 0, coc).otherwise(""), dfs, qcd, F.lit("FF93"))
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(k.alias("epoch"), F.unhex(whole).alias("data"))
+
+
+SQL_VARIED = """WITH k AS (SELECT o_orderkey AS epoch, o_orderkey AS k, 1 + o_orderkey % 5 AS nl, 1 + o_orderkey % 4 AS nc, list_transform(range(5), lambda j: 1 + (o_orderkey + j) % 3) AS ty FROM orders),
+h AS (SELECT *, 1 + list_sum(list_transform(ty[1:nl], lambda t: CASE WHEN t = 1 THEN 3 ELSE 1 END))::BIGINT AS steps FROM k)
+"""
+
+
+@query(SQL_VARIED + """SELECT epoch, true AS valid, 64 + k % 1000 AS xsiz, 48 + k % 777 AS ysiz, 64 + k % 1000 AS xtsiz, 3 AS csiz, 7 AS ssiz, CASE WHEN k % 4 > 0 THEN k % 65536 ELSE 0 END::INT AS ccap2, CASE WHEN k % 4 > 0 THEN k * 7 % 65536 ELSE 0 END::INT AS ccap15,
+nl::INT AS nl, (7 + k % 3)::INT AS cbw, (2 + k % 3)::INT AS cbh, 72 AS cbs, 1 AS transform, (3 + k % 2 * 2)::INT AS progression, (1 + k % 9)::INT AS layers, (k % 2)::INT AS mct, repeat('55', (1 + nl)::INT) || repeat('FF', (5 - nl)::INT) AS prec,
+array_to_string(list_prepend(0, ty[1:nl]), ',') AS types, array_to_string(list_prepend(0, list_transform(range(1, nl + 1), lambda i: len(list_filter(ty[1:i], lambda x: x <> 3)))), ',') AS hor, array_to_string(list_prepend(0, list_transform(range(1, nl + 1), lambda i: len(list_filter(ty[1:i], lambda x: x <> 2)))), ',') AS ver,
+0 AS qtype, 2 AS guard, array_to_string(list_transform(range(1, steps + 1), lambda j: (k + j) % 32), ',') AS exponents,
+CASE WHEN k % 2 = 1 AND NOT (k % 4 > 0 AND k % 65536 // 16384 % 2 = 1) THEN 'CAP: PRCL without extended progression' ELSE '' END AS warnings FROM h""")
+def header_fields(spark, sf_dir):
+    """Every field of generated headers, from their bytes."""
+    h = header.parse_headers(_varied_headers(spark, sf_dir))
+    c, levels = "header.cod.", F.col("header.dfs.levels")
+
+    def joined(name):
+        return F.array_join(F.transform(levels, lambda x: x[name].cast("string")), ",")
+
+    return h.select(
+        "epoch", "header.valid", "header.siz.xsiz", "header.siz.ysiz", "header.siz.xtsiz", "header.siz.csiz", F.col("header.siz.comps")[1]["ssiz"].alias("ssiz"), "header.ccap2", "header.ccap15", c + "nl", c + "cbw", c + "cbh", c + "cbs", c + "transform",
+        F.col(c + "progression_order").alias("progression"), F.col(c + "num_layers").alias("layers"), c + "mct", F.array_join(F.transform(c + "prec", lambda x: _hex(x["prh"] * 16 + x["prw"], 2)), "").alias("prec"),
+        joined("type").alias("types"), joined("hor_depth").alias("hor"), joined("ver_depth").alias("ver"), F.col("header.qcd.type").alias("qtype"), F.col("header.qcd.num_guard_bits").alias("guard"),
+        F.array_join(F.transform("header.qcd.steps", lambda x: x["exponent"].cast("string")), ",").alias("exponents"), F.array_join("header.warnings", "; ").alias("warnings"))
+
+
+@query(SQL_VARIED + """SELECT epoch, c::INT AS c, CASE WHEN o THEN nc ELSE nl END::INT AS nl, CASE WHEN o THEN 8 ELSE 7 + k % 3 END::INT AS cbw, CASE WHEN o THEN 2 ELSE 2 + k % 3 END::INT AS cbh, 72 AS cbs, 1 AS transform
+FROM (SELECT *, k % 3 > 0 AND k % 3 = c AS o FROM h, (SELECT unnest(range(3)) AS c))""")
+def header_overrides(spark, sf_dir):
+    """Component codings of the generated headers: the override of one component over the default."""
+    return header.component_codings(header.parse_headers(_varied_headers(spark, sf_dir)).drop("data"))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
+from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +30,24 @@ def write_frames(frames: DataFrame, path: str) -> None:
     frames.select("stream_id", "frame_id", "blob").write.partitionBy("stream_id").mode("append").parquet(path)
 
 
+def write_j2c(frames: DataFrame, folder: str) -> None:
+    """Each ready frame as a file of its own, stream_id/out_NNNNN.j2c, below a folder that all executors have mounted.
+
+    A file is written beside its name and renamed, so a task that is run again leaves whole files only.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for stream, frame, blob in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                path = Path(folder, str(stream), f"out_{frame:05d}.j2c")
+                path.parent.mkdir(parents=True, exist_ok=True)
+                part = path.with_suffix(f".{uuid.uuid4().hex}")
+                part.write_bytes(blob or b"")
+                part.replace(path)
+            yield pa.RecordBatch.from_pydict({"n": [b.num_rows]})
+
+    frames.select("stream_id", "frame_id", "blob").mapInArrow(run, "n long").write.format("noop").mode("overwrite").save()
+
+
 def by_kind(writers: dict[str, Callable[[DataFrame, int], None]]) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function that hands the rows of each event kind to their writer, as callbacks."""
 

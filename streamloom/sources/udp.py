@@ -12,8 +12,9 @@ import time
 from collections.abc import Iterator
 from datetime import datetime, timezone
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
+from pyspark.sql.streaming import StreamingQuery
 
 MAX_BYTES, MIN_BYTES = 9216, 12
 
@@ -71,13 +72,16 @@ class UdpReader(SimpleDataSourceStreamReader):
             del self.kept[k]
 
 
+SCHEMA = "arrival_id bigint, arrival_ts timestamp, data binary"
+
+
 class UdpSource(DataSource):
     @classmethod
     def name(cls) -> str:
         return "rtp_udp"
 
     def schema(self) -> str:
-        return "arrival_id bigint, arrival_ts timestamp, data binary"
+        return SCHEMA
 
     def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
         return UdpReader(dict(self.options))
@@ -86,3 +90,13 @@ class UdpSource(DataSource):
 def register(spark: SparkSession) -> None:
     """Make ``spark.readStream.format("rtp_udp")`` known."""
     spark.dataSource.register(UdpSource)
+
+
+def land(datagrams: DataFrame, folder: str) -> StreamingQuery:
+    """Write datagrams as they come to Parquet, from where they can be read again after a restart."""
+    return datagrams.writeStream.format("parquet").option("path", f"{folder}/datagrams").option("checkpointLocation", f"{folder}/landing").start()
+
+
+def landed(spark: SparkSession, folder: str) -> DataFrame:
+    """The landed datagrams as a replayable stream."""
+    return spark.readStream.schema(SCHEMA).parquet(f"{folder}/datagrams")

@@ -87,7 +87,7 @@ class Receiver(StatefulProcessor):
             for seq, marker, payload in zip(batch["seq"], batch["marker"], batch["payload"], strict=True):
                 for _, (m, p), gap in buffer.push(int(seq), (bool(marker), bytes(payload))):
                     given += machine.feed(p, m, gap)
-        given.append(machine._event("stats", offset=buffer.late, len=buffer.duplicate, pid=buffer.net_lost))
+        given.append(machine.event("stats", offset=buffer.late, len=buffer.duplicate, pid=buffer.net_lost))
         out = pd.DataFrame([{"stream_id": key[0], "event_no": number + k} | e for k, e in enumerate(given)])
         self.state.update((pickle.dumps((buffer, machine, number + len(given))),))
         for c in ("offset", "len", "reason", "pid"):

@@ -116,6 +116,37 @@ def test_udp_source_reader():
     assert not r.kept
 
 
+def test_a_live_receiver_lands_and_works_off(spark, tmp_path, capfd, monkeypatch):
+    """Command line, socket, landing table and frame machine from end to end."""
+    import socket
+    import threading
+    import time
+
+    from streamloom import cli
+
+    with socket.socket(socket.AF_INET, socket.SOCK_DGRAM) as s:
+        s.bind(("127.0.0.1", 0))
+        port = s.getsockname()[1]
+    rest = EMPTY[len(HEADER) :]
+    parts = [b"\xc0" + bytes(7) + HEADER] + [bytes(8) + rest[i : i + 4] for i in range(0, len(rest), 4)]
+
+    def send():
+        with socket.socket(socket.AF_INET, socket.SOCK_DGRAM) as out:
+            for n in range(400):  # again and again, as nobody may be listening yet
+                for k, p in enumerate(parts):
+                    out.sendto(datagram(n * len(parts) + k, p, k == len(parts) - 1), ("127.0.0.1", port))
+                time.sleep(0.05)
+
+    sender = threading.Thread(target=send, daemon=True)
+    sender.start()
+    cli.main(["127.0.0.1", str(port), "--duration", "15", "--land", str(tmp_path / "land"), "--out", str(tmp_path / "events")])
+    got = spark.read.parquet(str(tmp_path / "events"))
+    kept = spark.read.parquet(str(tmp_path / "land" / "datagrams"))
+    assert kept.count() > len(parts) and got.where("kind = 'ready' AND intact").count() > 0
+    assert kept.select("arrival_id").distinct().count() == kept.count()
+    sender.join()
+
+
 def test_files_and_sinks(spark, tmp_path):
     from streamloom.operators import frames, packets
     from streamloom.sources import files, sinks
@@ -129,6 +160,8 @@ def test_files_and_sinks(spark, tmp_path):
     f = spark.createDataFrame([(1, 1, bytearray(EMPTY)), (2, 1, bytearray(EMPTY))], "stream_id bigint, frame_id bigint, blob binary")
     sinks.write_frames(f, str(tmp_path / "frames"))
     assert spark.read.parquet(str(tmp_path / "frames")).count() == 2
+    sinks.write_j2c(f, str(tmp_path / "j2c"))
+    assert sorted(str(x.relative_to(tmp_path / "j2c")) for x in (tmp_path / "j2c").rglob("*.*")) == ["1/out_00001.j2c", "2/out_00001.j2c"] and files.read_codestreams(spark, str(tmp_path / "j2c" / "*")).count() == 2
     lines = sinks.log_lines(packets.codeblock_segments(f), packets.precinct_log(f))
     assert {r.line for r in lines.collect()} == {"EMPTY***"}
     sinks.write_logs(lines, str(tmp_path / "logs"))
