@@ -34,7 +34,7 @@ WORDS, SIMILARITY, RECALL = 5, 0.8, 0.999999
 #: Common paths that a pair must have to be compared: texts with just a passage in common mostly have fewer.
 MEETINGS = 3
 #: Bytes that may be broadcast to find texts.
-BROADCAST_BYTES = 8 << 20
+BROADCAST_BYTES = 16 << 20
 #: Buckets beyond this are split by another token; deeper tokens are sampled this much more densely, so a split loses little.
 BUCKET, DEPTH, DENSER = 1024, 3, 3.0
 #: Members of a large bucket that are looked at, on average, to see whether it can be split.
@@ -305,25 +305,26 @@ def _compare(rows: list[dict], similarity: float) -> list[tuple[bytes, bytes, in
     rows_, cols = np.flatnonzero(meets.any(axis=1)), np.flatnonzero(meets.any(axis=0))
     inter = _common([a.sets[i] for i in rows_], [b.sets[j] for j in cols])
     union = a.sizes[rows_][:, None] + b.sizes[cols][None, :] - inter
-    i, j = np.nonzero((inter >= similarity * union - 1e-6) & meets[np.ix_(rows_, cols)])
-    if not len(i):
+    linked = (inter >= similarity * union - 1e-6) & meets[np.ix_(rows_, cols)]
+    if not linked.any():
         return []
-    i, j = rows_[i], cols[j]
+    # Both sides are nodes; of one chunk with itself the halves of the matrix are.
+    m = len(a.cids)
+    nodes, copies = (a.cids, a.copies) if b is a else (a.cids + b.cids, np.concatenate([a.copies, b.copies]))
+    cols = cols if b is a else cols + m
+    links = np.zeros(len(nodes), np.int64)
+    np.add.at(links, rows_, linked @ copies[cols])
+    np.add.at(links, cols, linked.T @ copies[rows_])
     # Local components: labels fall to the least neighbour until nothing changes.
-    nodes = a.cids if b is a else a.cids + b.cids
-    copies = a.copies if b is a else np.concatenate([a.copies, b.copies])
-    j = j + (0 if b is a else len(a.cids))
-    label, links = np.arange(len(nodes)), np.zeros(len(nodes), np.int64)
+    label = np.arange(len(nodes), dtype=np.int32)
+    none = np.int32(len(nodes))
     while True:
         old = label.copy()
-        least = np.minimum(label[i], label[j])
-        np.minimum.at(label, i, least)
-        np.minimum.at(label, j, least)
+        np.minimum.at(label, rows_, np.where(linked, label[cols][None, :], none).min(axis=1))
+        np.minimum.at(label, cols, np.where(linked, label[rows_][:, None], none).min(axis=0))
         label = label[label]
         if (label == old).all():
             break
-    np.add.at(links, i, copies[j])
-    np.add.at(links, j, copies[i])
     return [(nodes[k], nodes[label[k]], int(links[k])) for k in np.flatnonzero(links)]
 
 

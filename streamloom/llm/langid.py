@@ -19,13 +19,13 @@ from pyspark.sql import functions as F
 from streamloom.llm.common import map_arrow, slices
 
 #: Bounds of the training sample: rows of a language, bytes of the lines kept of them, bytes of a dictionary.
-SAMPLE_ROWS, SAMPLE_BYTES, DICT_BYTES = 400, 1 << 20, 96 << 10
+SAMPLE_ROWS, SAMPLE_BYTES, DICT_BYTES = 800, 4 << 20, 1 << 20
 #: Lines of a sample are cut after this many characters.
 LINE = 1000
 #: Texts are encoded in blocks of this many bytes, each against the plain dictionary.
 BLOCK_BYTES = 4096
 #: Least (second - best) / second for a sure decision, for texts of any length; the README has the error rates.
-MIN_MARGIN = 0.02
+MIN_MARGIN = 0.01
 LEVEL = 3
 LETTER = re.compile(r"[^\W\d_]")
 OTHER = re.compile(r"[\W\d_]+")
