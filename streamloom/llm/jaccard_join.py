@@ -447,7 +447,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     often = materialize(found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias(again)), "again")
     key = F.col(id_col).cast("long")
     named = docs.where(key.isNotNull())
-    one = named.join(stay.select(kept).distinct(), key == F.col(kept), "left_semi").join(often, key == F.col(again), "left_anti")
+    # Ids are measured like all that is broadcast; only many of them need the documents shuffled.
+    ids = materialize(stay.select(kept).distinct(), "ids")
+    one = named.join(F.broadcast(ids) if fits(ids, 32, BROADCAST_BYTES) else ids, key == F.col(kept), "left_semi").join(often, key == F.col(again), "left_anti")
     # Only rows of repeated ids must be told apart by their sets.
     some = _with_class(named.join(often, key == F.col(again), "left_semi"), text_col, n, own)
     some = some.join(stay, (key == F.col(kept)) & F.col(own).eqNullSafe(F.col(cid)), "left_semi")
