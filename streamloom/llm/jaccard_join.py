@@ -227,7 +227,7 @@ def _common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     ca, cb = np.searchsorted(both, va), np.searchsorted(both, vb)
     ka, kb = both[np.minimum(ca, len(both) - 1)] == va, both[np.minimum(cb, len(both) - 1)] == vb
     ra, ca, rb, cb = ra[ka], ca[ka], rb[kb], cb[kb]
-    for lo in range(0, len(both), step := 1 << 12):
+    for lo in range(0, len(both), step := 1 << 10):
         hi = min(lo + step, len(both))
         ma, mb = np.zeros((len(a), hi - lo), np.float32), np.zeros((len(b), hi - lo), np.float32)
         ia, ib = (ca >= lo) & (ca < hi), (cb >= lo) & (cb < hi)
@@ -304,8 +304,12 @@ def _compare(rows: list[dict], similarity: float) -> list[tuple[bytes, bytes, in
     meets = _meets(a, b, wide)
     rows_, cols = np.flatnonzero(meets.any(axis=1)), np.flatnonzero(meets.any(axis=0))
     inter = _common([a.sets[i] for i in rows_], [b.sets[j] for j in cols])
-    union = a.sizes[rows_][:, None] + b.sizes[cols][None, :] - inter
-    linked = (inter >= similarity * union - 1e-6) & meets[np.ix_(rows_, cols)]
+    # A few rows at a time: matrices of two chunks are large.
+    bands = [slice(k, k + 256) for k in range(0, len(rows_), 256)]
+    linked = meets[np.ix_(rows_, cols)]
+    for k in bands:
+        linked[k] &= inter[k] >= similarity * (a.sizes[rows_[k]][:, None] + b.sizes[cols][None, :] - inter[k]) - 1e-6
+    del inter, meets
     if not linked.any():
         return []
     # Both sides are nodes; of one chunk with itself the halves of the matrix are.
@@ -320,8 +324,9 @@ def _compare(rows: list[dict], similarity: float) -> list[tuple[bytes, bytes, in
     none = np.int32(len(nodes))
     while True:
         old = label.copy()
-        np.minimum.at(label, rows_, np.where(linked, label[cols][None, :], none).min(axis=1))
-        np.minimum.at(label, cols, np.where(linked, label[rows_][:, None], none).min(axis=0))
+        for k in bands:
+            np.minimum.at(label, rows_[k], np.where(linked[k], label[cols][None, :], none).min(axis=1))
+            np.minimum.at(label, cols, np.where(linked[k], label[rows_[k]][:, None], none).min(axis=0))
         label = label[label]
         if (label == old).all():
             break
