@@ -152,19 +152,10 @@ def resync_offsets(spark, sf_dir):
     return _signals(spark, sf_dir)
 
 
-@query(SQL_T1 + """, fl AS (SELECT stream_id, frame_id, "offset" + size // 2 AS byte_offset FROM ch WHERE event_id % 11 = 0)
-SELECT stream_id, frame_id, byte_offset, (SELECT min(byte_offset) FROM sg WHERE sg.stream_id = fl.stream_id AND sg.frame_id = fl.frame_id AND sg.byte_offset > fl.byte_offset) AS signal_offset,
-(SELECT arg_min(pid, (byte_offset, pid)) FROM sg WHERE sg.stream_id = fl.stream_id AND sg.frame_id = fl.frame_id AND sg.byte_offset > fl.byte_offset) AS signal_pid FROM fl""")
-def next_signal_asof(spark, sf_dir):
-    c = _chunks(spark, sf_dir)
-    failures = c.where("event_id % 11 = 0").select("stream_id", "frame_id", F.expr("offset + size div 2").alias("byte_offset"))
-    return frames.next_signal(failures, frames.resync_points(c))
-
-
 @query(SQL_T1 + """, fl AS (SELECT stream_id, frame_id, "offset" + size // 2 AS byte_offset FROM ch), sn AS (SELECT stream_id, frame_id, byte_offset, min(pid) AS pid FROM sg GROUP BY ALL)
 SELECT fl.stream_id, fl.frame_id, fl.byte_offset, sn.byte_offset AS signal_offset, sn.pid AS signal_pid FROM fl ASOF LEFT JOIN sn ON fl.stream_id = sn.stream_id AND fl.frame_id = sn.frame_id AND fl.byte_offset < sn.byte_offset""")
-def next_signal_asof_whole(spark, sf_dir):
-    """The middle of every chunk is a failure position; ``next_signal_asof`` and its SQL have those of one event in 11."""
+def next_signal_asof(spark, sf_dir):
+    """The middle of every chunk is a failure position."""
     c = _chunks(spark, sf_dir)
     failures = c.select("stream_id", "frame_id", F.expr("offset + size div 2").alias("byte_offset"))
     return frames.next_signal(failures, frames.resync_points(c))
@@ -338,32 +329,19 @@ def reassemble(spark, sf_dir):
     return frames.assemble(c).select("stream_id", "n_chunks", F.md5(F.hex("blob").cast("binary")).alias("blob_md5"), "discontinuities")
 
 
-@query("""WITH d AS (SELECT doc_id, substr(hex(encode(coalesce(text, ''))), 1, 128) AS h FROM documents),
-l AS (SELECT doc_id, list_prepend(1469598103934665603::HUGEINT, list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::HUGEINT)) AS x FROM d)
+@query("""WITH d AS (SELECT doc_id, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS h FROM documents),
+l AS (SELECT doc_id, list_prepend(1469598103934665603::HUGEINT, list_transform(h, lambda b: ('0x' || b)::HUGEINT)) AS x FROM d)
 SELECT doc_id, lower(lpad(to_hex(list_reduce(x, lambda a, b: xor(a, b) * 1099511628211::HUGEINT % 18446744073709551616::HUGEINT)::UBIGINT), 16, '0')) AS sig FROM l""")
 def fnv_signature(spark, sf_dir):
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.substring(F.coalesce("text", F.lit("")).cast("binary"), 1, 64).alias("b"))
-    return d.select("doc_id", integer.signature(F.col("b")).alias("sig"))
-
-
-@query()
-def fnv_signature_whole(spark, sf_dir):
-    """Signatures of whole texts; ``fnv_signature`` and its SQL sign the first 64 bytes."""
+    """Signatures of whole texts; null texts are empty."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("b"))
     return header.byte_signatures(d, "b").select("doc_id", "sig")
 
 
-@query("""WITH d AS (SELECT doc_id, hex(encode(text)) AS h FROM documents WHERE text IS NOT NULL), k AS (SELECT *, (10 + doc_id % 20) AS n FROM d WHERE length(h) >= 80)
-SELECT doc_id, (('0x' || substr(h, 2 * n - 1, 2))::BIGINT * 16 + ('0x' || substr(h, 2 * n - 3, 2))::BIGINT % 16) AS scup FROM k""")
-def scup_lengths(spark, sf_dir):
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("text").cast("binary").alias("b")).where(F.length("b") >= 40)
-    return d.select("doc_id", integer.scup(F.col("b"), (F.lit(10) + F.col("doc_id") % 20).cast("int")).cast("bigint").alias("scup"))
-
-
 @query("""WITH k AS (SELECT doc_id, hex(encode(text)) AS h, 10 + doc_id % 20 AS n FROM documents)
 SELECT doc_id, CASE WHEN length(h) >= 2 * n THEN ('0x' || substr(h, 2 * n - 1, 2))::BIGINT * 16 + ('0x' || substr(h, 2 * n - 3, 2))::BIGINT % 16 END AS scup FROM k""")
-def scup_lengths_whole(spark, sf_dir):
-    """A row for every document, null where the text is shorter than the segment; ``scup_lengths`` and its SQL have those of 40 bytes and more."""
+def scup_lengths(spark, sf_dir):
+    """A row for every document, null where the text is shorter than the segment."""
     b, n = F.col("b"), (F.lit(10) + F.col("doc_id") % 20).cast("int")
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("text").cast("binary").alias("b"))
     return d.select("doc_id", F.when(F.length(b) >= n, integer.scup(b, n)).cast("bigint").alias("scup"))
