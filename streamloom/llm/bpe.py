@@ -43,6 +43,22 @@ def _byte_chars() -> list[str]:
     return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
 
 
+#: Characters (from-to, hexadecimal) that the tokenizers library takes for unassigned and the regex module
+#: for letters or digits, below those after the last ideographs, which ABOVE adds.
+NEWER = """
+558 58B-58C 88F C5C CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959 10EC5-10EC7
+10ED9-10EEE 11B0A 11DB0-11DDB 11DE0-11DE9 11DF1 1246F 12475-1247F 12550-12686 16EA0-16EB8 16EBB-16ED3 16FF2-16FF3
+16FF4-16FF6 187F8-187FF 18CD6-18CDA 18D09-18D20 18D80-18DF2 18E00-19191 191A0-191D2 1B123-1B128 1B168 1D6A6 1DF1F-1DF24
+1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F
+2B81E 2CEA2-2CEAD
+""".split()
+ABOVE = "[" + "".join("-".join(chr(int(x, 16)) for x in span.split("-")) for span in NEWER) + "\U000323B0-\U0010FFFF]"
+
+#: Capitals that the library lowers and that Python's tables may not know yet.
+LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+LOWER |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
+
+
 class Encoder:
     """A tokenizer file of the kind: NFC, white space, lower case; split by pattern; byte-level BPE with word ends."""
 
@@ -57,9 +73,10 @@ class Encoder:
         space = r"\t-\r\x20\x85\p{Z}"
         pattern = split["pattern"]["Regex"].replace(r"[^\s", "[^" + space)
         self.words = regex.compile(pattern)
-        # The regex module takes unassigned characters beyond the last ideographs for letters.
-        above = "[\U000323B0-\U0010FFFF]"
-        self.above = regex.compile(above)
+        # Most texts have no character from the first of them on, which one comparison a character tells.
+        above = ABOVE
+        self.high, self.above = regex.compile(f"[{ABOVE[1]}-\U0010FFFF]"), regex.compile(above)
+        self.capitals = regex.compile("[" + "".join(map(chr, LOWER)) + "]")
         self.words_above = regex.compile(pattern.replace(r"[\p{L}]+", rf"(?:(?!{above})\p{{L}})+").replace(r"[\p{N}]", rf"(?!{above})\p{{N}}").replace(rf"[^{space}\p{{L}}\p{{N}}]+", rf"(?:[^{space}\p{{L}}\p{{N}}]|{above})+"))
         vocab = model["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -220,8 +237,11 @@ class Encoder:
             text = unicodedata.normalize("NFC", text)
             if "Σ" in text:  # the library lowers character by character
                 text = text.replace("Σ", "σ")
-            if self.above.search(text):
-                return self.words_above.findall(text.lower())
+            if self.high.search(text):
+                if self.capitals.search(text):
+                    text = text.translate(LOWER)
+                if self.above.search(text):
+                    return self.words_above.findall(text.lower())
         return self.words.findall(text.lower())
 
     def learn(self, words: set[str]) -> None:

@@ -57,6 +57,12 @@ def test_bpe_of_any_text(text):
     check_bpe(c, t, [text])
 
 
+def test_bpe_of_recent_characters(coder, library):
+    """Letters, digits and capitals that the library's and Python's Unicode tables treat differently."""
+    spans = [(int(x.split("-")[0], 16), int(x.split("-")[-1], 16)) for x in bpe.NEWER]
+    check_bpe(coder, library, [f":{chr(c)}a" for a, b in spans for c in range(a, b + 1)] + [f":{chr(c)}a" for c in bpe.LOWER])
+
+
 def test_bpe_rows(spark, library):
     rows = [(1, "Hello world", "x"), (1, "Hello world", "y"), (2, None, None), (None, "", "z")]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids_le string")
