@@ -23,7 +23,6 @@ others, so a passage that a third of the corpus has is merged once.
 from __future__ import annotations
 
 import hashlib
-import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,31 +43,57 @@ HOT = 1024
 RANGE_BYTES, RANGE_HASHES = 2 << 20, 2 << 20
 #: Windows of a document that are looked at together.
 PIECE = 1 << 20
+#: Windows that are hashed at once, so that what is computed of them stays in a core's cache.
+STEP = 1 << 14
 #: Kinds of answers: starts of repeats of LENGTH bytes, of SHORTER bytes, and windows to look at again.
 REMOVED, REPORTED, AGAIN = 0, 1, 2
 
 
 def _sliding(x: np.ndarray, width: int, least: bool) -> np.ndarray:
-    """Minimum or maximum of every ``width`` neighbours, from running ones of blocks."""
-    n = len(x)
-    fn = np.minimum if least else np.maximum
-    rows = np.concatenate([x, np.full(-n % width, 2**64 - 1 if least else 0, np.uint64)]).reshape(-1, width)
-    ahead = fn.accumulate(rows, axis=1).reshape(-1)
-    back = fn.accumulate(rows[:, ::-1], axis=1)[:, ::-1].reshape(-1)
-    return fn(back[: n - width + 1], ahead[width - 1 : n])
-
-
-def _runs(b: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows with one least hash: starts, ends, hashes; and the hashes of all places that are least somewhere."""
-    h = rolling(b, gram)
-    width = length - gram + 1
-    least = _sliding(h, width, True)
-    cut = np.flatnonzero(least[1:] != least[:-1]) + 1
-    starts = np.append(0, cut)
-    # A place is least in some window if the largest of its windows' minima is its own hash.
+    """Minimum or maximum of every ``width`` neighbours, by doubling."""
+    fn, have = np.minimum if least else np.maximum, 1
+    while have < width:
+        step = min(have, width - have)
+        x, have = fn(x[: len(x) - step], x[step:]), have + step
+    return x
+
+
+def _runs(raw: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows with one least hash, each of one document: starts, ends, hashes; and the hashes of all places that are least somewhere.
+
+    The documents lie end to end and are looked at STEP windows at a time; runs
+    that a step cuts are joined again, so the result doesn't depend on it.
+    """
+    n, width = len(raw) - length + 1, length - gram + 1
+    lo, hi = offsets[:-1], offsets[1:] - length + 1
+    lo, hi = lo[hi > lo], hi[hi > lo]
+    inside, opens = np.zeros(len(raw) + 1, np.int8), np.zeros(len(raw) + 1, bool)
+    np.add.at(inside, lo, 1)
+    np.add.at(inside, hi, -1)
+    inside = np.cumsum(inside, dtype=np.int8) > 0
+    # A run begins with its document and, so that regions stay bounded, with every piece of a long one.
+    pieces = -(-(hi - lo) // PIECE)
+    opens[np.repeat(lo, pieces) + PIECE * _flat(np.zeros(len(lo), np.int64), pieces)] = True
+    opens[hi] = True
     pad = np.zeros(width - 1, np.uint64)
-    places = _sliding(np.concatenate([pad, least, pad]), width, False) == h
-    return starts, np.append(cut, len(least)), least[starts], h[places]
+    parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64))]
+    for at in range(0, n, STEP):
+        h = rolling(raw[at : min(at + STEP, n) + length - 1], gram)
+        least = _sliding(h, width, True)
+        within = inside[at : at + len(least)]
+        begins = np.flatnonzero(np.append(True, least[1:] != least[:-1]) | opens[at : at + len(least)])
+        ends, live = np.append(begins[1:], len(least)), within[begins]
+        begins, ends = begins[live], ends[live]
+        values = least[begins]
+        least[~within] = 0
+        # A place is least in some window if the largest of its windows' minima is its own hash.
+        places = np.flatnonzero(_sliding(np.concatenate([pad, least, pad]), width, False) == h)
+        parts.append((begins + at, ends + at, values, places + at, h[places]))
+    starts, ends, values, places, hashes = (np.concatenate(x) for x in zip(*parts, strict=True))
+    first = np.append(True, (starts[1:] != ends[:-1]) | (values[1:] != values[:-1]) | opens[starts[1:]])[: len(starts)]
+    last = np.append(first[1:], True)[: len(starts)]
+    # Steps overlap by a window, and a place is one.
+    return starts[first], ends[last], values[first], hashes[np.unique(places, return_index=True)[1]]
 
 
 class Pack:
@@ -76,19 +101,17 @@ class Pack:
 
     def __init__(self, batch: pa.RecordBatch, text_col: str, length: int, gram: int):
         self.raw, self.offsets = text_bytes(batch.column(text_col))
-        parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64))]
-        for lo, hi in zip(self.offsets[:-1].tolist(), self.offsets[1:].tolist(), strict=True):
-            for at in range(lo, hi - length + 1, PIECE):
-                s, e, v, p = _runs(self.raw[at : min(at + PIECE + length - 1, hi)], length, gram)
-                parts.append((s + at, e + at, v, p))
-        self.starts, self.ends, self.least, self.places = (np.concatenate(x) for x in zip(*parts, strict=True))
+        self.starts, self.ends, self.least, self.places = _runs(self.raw, self.offsets, length, gram)
 
     def regions(self, starts: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
         """Sizes and bytes of the regions of runs of starts: to ``length`` bytes past the last start, within the document."""
-        stop = self.offsets[np.searchsorted(self.offsets, starts, side="right")]
-        sizes = np.minimum(ends - 1 + length, stop) - starts
+        sizes = self.sizes(starts, ends, length)
         return sizes, self.raw[_flat(starts, sizes)]
 
+    def sizes(self, starts: np.ndarray, ends: np.ndarray, length: int) -> np.ndarray:
+        stop = self.offsets[np.searchsorted(self.offsets, starts, side="right")]
+        return np.minimum(ends - 1 + length, stop) - starts
+
 
 def _opened(batches: Iterator[pa.RecordBatch], text_col: str, shorter: int, gram: int) -> Iterator[tuple[int, Pack, list[dict]]]:
     for b in batches:
@@ -142,6 +165,23 @@ def _flat(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
 
 
+#: Columns of regions: least hash, start, number of starts, size, bytes; and of frequent windows: hash, times, places.
+REGIONS, WINDOWS = ("<u8", "<u4", "<u4", "<u4", "u1"), ("<u8", "<u4", "<u4")
+
+
+def _columns(kinds: tuple[str, ...], *columns: np.ndarray) -> bytes:
+    """Columns of these kinds end to end, after their lengths."""
+    return b"".join([np.array([len(c) for c in columns], "<u8").tobytes(), *(c.astype(k, copy=False).tobytes() for k, c in zip(kinds, columns, strict=True))])
+
+
+def _from_columns(kinds: tuple[str, ...], data: bytes) -> list[np.ndarray]:
+    out, at = [], 8 * len(kinds)
+    for kind, n in zip(kinds, np.frombuffer(data, "<u8", len(kinds)).tolist(), strict=True):
+        out.append(np.frombuffer(data, kind, n, at))
+        at += out[-1].nbytes
+    return out
+
+
 def _regions(packs: DataFrame, text_col: str, length: int, shorter: int, gram: int, ranges: int) -> DataFrame:
     """Regions of repeated hashes by range; with part >= ranges, hashes of the windows of frequent ones."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,10 +194,14 @@ def _regions(packs: DataFrame, text_col: str, length: int, shorter: int, gram: i
             rows = []
             i = np.flatnonzero(kind == 1)
             part = (mix(p.least[i]) % np.uint64(ranges)).astype(np.int64)
-            for k, own in _parts(np.argsort(part, kind="stable"), part):
-                s, e, v = p.starts[i[own]], p.ends[i[own]], p.least[i[own]]
-                sizes, text = p.regions(s, e, length)
-                rows.append((k, pack, zip_.compress(pickle.dumps((v, s.astype(np.uint32), (e - s).astype(np.uint32), sizes.astype(np.uint32), text)))))
+            i = i[np.argsort(part, kind="stable")]
+            part = np.sort(part)
+            s, e, v = p.starts[i], p.ends[i], p.least[i]
+            sizes = p.sizes(s, e, length)
+            cuts = np.flatnonzero(np.append(True, part[1:] != part[:-1])[: len(part)])
+            for k, lo, hi in zip(part[cuts].tolist(), cuts.tolist(), np.append(cuts[1:], len(part)).tolist(), strict=False):
+                text = p.raw[_flat(s[lo:hi], sizes[lo:hi])]
+                rows.append((k, pack, zip_.compress(_columns(REGIONS, v[lo:hi], s[lo:hi], (e - s)[lo:hi], sizes[lo:hi], text))))
             i = np.flatnonzero(kind == 2)
             if len(i):
                 w = np.sort(_flat(p.starts[i], p.ends[i] - p.starts[i]))
@@ -168,7 +212,7 @@ def _regions(packs: DataFrame, text_col: str, length: int, shorter: int, gram: i
                 part = (mix(key) % np.uint64(ranges)).astype(np.int64)
                 for k, own in _parts(np.argsort(part, kind="stable"), part):
                     here = w[order[_flat(first[own], times[own])]]
-                    rows.append((ranges + k, pack, zip_.compress(pickle.dumps((key[own], times[own].astype(np.uint32), here.astype(np.uint32))))))
+                    rows.append((ranges + k, pack, zip_.compress(_columns(WINDOWS, key[own], times[own], here))))
             if rows:
                 yield _rows(rows, PART)
 
@@ -211,12 +255,16 @@ def _again(packs: DataFrame, text_col: str, length: int, shorter: int, gram: int
 AGAIN_ROWS = pa.schema([("key", pa.binary()), ("least", pa.int64()), ("starts", pa.int64()), ("text", pa.binary()), ("pack", pa.int64()), ("places", pa.binary())])
 
 
-def _stable(key: np.ndarray, top: int) -> np.ndarray:
-    """A stable order by non-negative integers up to ``top``, by 16 bits at a time."""
-    order = np.argsort((key & 0xFFFF).astype(np.uint16), kind="stable")
-    if top > 0xFFFF:
-        order = order[np.argsort((key[order] >> 16).astype(np.uint16), kind="stable")]
-    return order
+def _deal(key: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
+    """A stable order by non-negative integers up to ``top``, and these in order: they are sorted with their places below them."""
+    if max(top, len(key)) >= 1 << 32:
+        order = np.argsort(key, kind="stable")
+        return order, key[order]
+    both = key.astype(np.uint64)
+    both <<= np.uint64(32)
+    both |= np.arange(len(key), dtype=np.uint64)
+    both.sort()
+    return (both & np.uint64(0xFFFFFFFF)).view(np.int64), (both >> np.uint64(32)).view(np.int64)
 
 
 def block_ranks(padded: np.ndarray, at: np.ndarray, block: int) -> np.ndarray:
@@ -227,10 +275,14 @@ def block_ranks(padded: np.ndarray, at: np.ndarray, block: int) -> np.ndarray:
     """
     if not len(at):
         return np.zeros(0, np.int64)
-    _, first, rank, times = np.unique(rolling(padded, block)[at], return_index=True, return_inverse=True, return_counts=True)
-    rank = rank.reshape(-1).astype(np.int64)
-    several = np.flatnonzero(times[rank] > 1)
-    own, like = at[several], at[first[rank[several]]]
+    h = rolling(padded, block)[at]
+    order = np.argsort(h)
+    new = np.append(True, h[order[1:]] != h[order[:-1]])
+    number = np.cumsum(new) - 1
+    rank = np.empty(len(at), np.int64)
+    rank[order] = number
+    several = np.flatnonzero(~new)
+    own, like = at[order[several]], at[order[np.flatnonzero(new)[number[several]]]]
     if block < 8:
         same = all((padded[own + k] == padded[like + k]).all() for k in range(block))
     else:
@@ -247,44 +299,45 @@ class Shards:
     """The regions of a range as strings over blocks: region r has one string for each residue of the block size.
 
     A suffix is a byte of a region, followed by what is a block on; each string
-    also has an empty suffix, so all regions end in ``block`` extra places.
+    ends in an empty suffix.  Of a region of which only the first ``starts``
+    suffixes are asked for, the strings without any of them are left out.  Rows
+    are a region's suffixes in their order, and shards must be ascending.
     """
 
-    def __init__(self, texts: np.ndarray, sizes: np.ndarray, shard: np.ndarray, block: int):
-        n = len(sizes)
-        room = sizes + block
-        self.first = np.cumsum(room) - room
-        of = np.repeat(np.arange(n), room)
-        inside = np.arange(len(of)) - self.first[of]
-        padded = np.zeros(len(of), np.uint8)
-        padded[inside < sizes[of]] = texts
-        at = np.flatnonzero(inside + block <= sizes[of])
+    def __init__(self, texts: np.ndarray, sizes: np.ndarray, shard: np.ndarray, block: int, starts: np.ndarray | None = None):
+        strings = np.full(len(sizes), block) if starts is None else np.minimum(starts, block)
+        # Block by block, the places of those strings, up to the one past the region.
+        pieces = sizes // block + 1
+        of = np.repeat(np.arange(len(sizes)), pieces)
+        place = _flat(np.zeros(len(sizes), np.int64), pieces) * block
+        width = np.minimum(strings[of], sizes[of] + 1 - place)
+        at = _flat((np.cumsum(sizes) - sizes)[of] + place, width)
+        rows = np.bincount(of, weights=width, minlength=len(sizes)).astype(np.int64)
+        self.first = np.cumsum(rows) - rows
+        live = at + block <= np.repeat(np.cumsum(sizes), rows)
         # Rank 0: the empty suffix and whatever has less than a block left; their order doesn't matter.
-        self.symbol = np.zeros(len(of), np.int64)
-        self.symbol[at] = block_ranks(padded, at, block) + 1
-        self.block, self.shard = block, shard[of]
-        self.alphabet = int(self.symbol.max(initial=0))
-        self.end = inside >= sizes[of]
-        self.next = np.arange(len(of)) + np.where(self.end, 0, block)
-        self.begins = inside < block
+        self.symbol = np.zeros(len(at), np.int64)
+        self.symbol[live] = block_ranks(texts, at[live], block) + 1
+        self.shard, self.alphabet = np.repeat(shard, rows), int(self.symbol.max(initial=0))
+        # The row before each in its string; before a first one stands an empty one, which has no symbol.
+        self.before = np.full(len(at), -1)
+        from_ = np.flatnonzero(live)
+        self.before[from_ + np.repeat(strings, rows)[from_]] = from_
+        self.before[self.before < 0] = np.flatnonzero(~live)
 
     def sort(self, rounds: int) -> np.ndarray:
-        """Every shard's own suffix array, one after the other, by doubling up to ``rounds`` symbols.
+        """Every shard's own suffix array by ``rounds`` symbols, one after the other.
 
-        All ranks begin with the shard's number, so suffixes of two shards are
-        never compared by their symbols, nor do they share a rank.
+        Rows are dealt by their first symbol in the order of what follows it.
+        All keys begin with the shard's number, so suffixes of two shards are
+        never compared by their symbols.
         """
-        top = int(self.symbol.max(initial=0)) + 1
-        rank = np.unique(self.shard * top + self.symbol, return_inverse=True)[1].reshape(-1)
-        known = 1
-        while known < rounds:
-            step = min(known, rounds - known)
-            ahead = np.arange(len(rank))
-            for _ in range(step):
-                ahead = self.next[ahead]
-            rank = np.unique(rank * (int(rank.max(initial=0)) + 1) + rank[ahead], return_inverse=True)[1].reshape(-1)
-            known += step
-        return np.argsort(rank, kind="stable")
+        key, order = self.shard * (self.alphabet + 1) + self.symbol, np.arange(len(self.symbol))
+        top = int(key.max(initial=0))
+        for _ in range(rounds):
+            order = self.before[order]
+            order = order[_deal(key[order], top)[0]]
+        return order
 
 
 def interleave(before: np.ndarray, shard_of: np.ndarray, alphabet: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
@@ -296,20 +349,21 @@ def interleave(before: np.ndarray, shard_of: np.ndarray, alphabet: int, rounds:
     prefix plus one.  ``common`` is at most ``rounds``.
     """
     n = len(before)
-    mixed, take = shard_of.copy(), np.arange(n)
-    interval, common = np.zeros(n, np.int64), np.full(n, rounds, np.int64)
-    common[:1] = 0
-    several = int(shard_of.max(initial=0))
-    for k in range(rounds):
-        c = before[take]
-        deal = _stable(c, alphabet)
-        mixed, c, source = mixed[deal], c[deal], interval[deal]
+    take, interval, common = np.arange(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    # A shard's dealt rows are its own in order, so where each of them goes is told by its own transform.
+    own, _ = _deal(shard_of * (alphabet + 1) + before, int(shard_of.max(initial=0)) * (alphabet + 1) + alphabet)
+    goes = np.empty(n, np.int64)
+    goes[own] = np.arange(n)
+    for _ in range(rounds):
+        deal, c = _deal(before[take], alphabet)
+        source, take = interval[deal], goes[take[deal]]
         # All rows without a symbol before them are equal.
-        new = np.append(False, (c[1:] != c[:-1]) | (source[1:] != source[:-1]) & (c[1:] != 0))
-        common[new & (common == rounds)] = k
-        interval = np.cumsum(new)
-        take = np.empty(n, np.int64)
-        take[_stable(mixed, several)] = np.arange(n)
+        new = source[1:] != source[:-1]
+        new &= c[1:] != 0
+        new |= c[1:] != c[:-1]
+        # A boundary stays one in all later rounds.
+        common[1:] += ~new
+        interval[1:] = np.cumsum(new)
     return take, common
 
 
@@ -317,19 +371,15 @@ def merge_transforms(shards: Shards, rounds: int) -> tuple[np.ndarray, np.ndarra
     """The merged suffix array and its common prefixes in symbols, from the shards' own transforms."""
     order = shards.sort(rounds)
     # The transform: the symbol before each suffix; a string's first suffix has none and stands for its empty one.
-    previous = np.zeros(len(order), np.int64)
-    live = np.flatnonzero(~shards.end)
-    previous[shards.next[live]] = shards.symbol[live] + 1
-    previous[shards.begins] = 0
-    take, common = interleave(previous[order], shards.shard[order], shards.alphabet + 1, rounds)
+    take, common = interleave(shards.symbol[shards.before[order]], shards.shard[order], shards.alphabet, rounds)
     return order[take], common
 
 
 def repeated_starts(least: np.ndarray, m: np.ndarray, sizes: np.ndarray, text: np.ndarray, copies: np.ndarray, shard: np.ndarray, length: int, shorter: int, block: int) -> tuple[np.ndarray, np.ndarray]:
     """For the starts of distinct regions, m of each: whether their strings of ``length`` and of ``shorter`` bytes occur again.
 
-    A region occurs ``copies`` times.  One without another of its least hash is
-    an interval by itself if it occurs again, and isn't transformed.
+    A region occurs ``copies`` times.  Those of a least hash of which each
+    occurs again are repeated intervals by themselves and aren't transformed.
     """
     at, ends = np.cumsum(sizes) - sizes, np.cumsum(m)
     # A string of the full length must lie in the document.
@@ -337,11 +387,11 @@ def repeated_starts(least: np.ndarray, m: np.ndarray, sizes: np.ndarray, text: n
     short = np.repeat(copies > 1, m)
     long = short & room
     _, group = np.unique(least, return_inverse=True)
-    i = np.flatnonzero((np.bincount(group)[group] > 1) | (copies == 1))
+    i = np.flatnonzero(np.bincount(group, weights=copies == 1)[group] > 0)
     if len(i):
         i = i[np.argsort(shard[i], kind="stable")]
         _, number = np.unique(shard[i], return_inverse=True)
-        s = Shards(text[_flat(at[i], sizes[i])], sizes[i], number, block)
+        s = Shards(text[_flat(at[i], sizes[i])], sizes[i], number, block, m[i])
         suffix, common = merge_transforms(s, length // block)
         starts, to = _flat(s.first, m[i]), _flat(ends[i] - m[i], m[i])
         weight = np.repeat(copies[i], m[i])
@@ -355,7 +405,7 @@ def repeated_starts(least: np.ndarray, m: np.ndarray, sizes: np.ndarray, text: n
 
 def _merge_regions(packs: list[int], data: list[bytes], length: int, shorter: int, block: int) -> list[tuple]:
     unzip = zstandard.ZstdDecompressor()
-    parts = [pickle.loads(unzip.decompress(d)) for d in data]
+    parts = [_from_columns(REGIONS, unzip.decompress(d)) for d in data]
     least = np.concatenate([x[0] for x in parts])
     start, m, sizes = (np.concatenate([x[k] for x in parts]).astype(np.int64) for k in (1, 2, 3))
     text = np.concatenate([x[4] for x in parts])
@@ -367,21 +417,33 @@ def _merge_regions(packs: list[int], data: list[bytes], length: int, shorter: in
     _, first, copies = np.unique(same, return_index=True, return_counts=True)
     at = ends - sizes
     long, short = repeated_starts(least[first], m[first], sizes[first], text[_flat(at[first], sizes[first])], copies, pack[first], length, shorter, block)
-    begin = np.cumsum(m[first]) - m[first]
     out = []
-    for k in range(len(packs)):
-        own = np.flatnonzero(pack == k)
-        places, from_ = _flat(start[own], m[own]), _flat(begin[same[own]], m[own])
-        for kind, hit in ((REMOVED, long), (REPORTED, short)):
-            found = np.sort(places[hit[from_]])
-            if len(found):
-                out.append((kind, packs[k], _spans(found)))
+    for kind, hit in ((REMOVED, long), (REPORTED, short)):
+        begins, lengths, per = _hit_runs(hit, m[first])
+        # Every occurrence of a region has the runs of the distinct one.
+        n = per[same]
+        which = _flat((np.cumsum(per) - per)[same], n)
+        lo = np.repeat(start, n) + begins[which]
+        hi, cuts = lo + lengths[which], np.searchsorted(np.repeat(pack, n), np.arange(len(packs) + 1)).tolist()
+        spans = lo.astype(np.uint32), hi.astype(np.uint32)
+        out += [(kind, p, spans[0][a:b].tobytes() + spans[1][a:b].tobytes()) for p, a, b in zip(packs, cuts[:-1], cuts[1:], strict=True) if a < b]
     return out
 
 
+def _hit_runs(hit: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of true flags of regions, m flags of each: their begins in the region, their lengths, and how many a region has."""
+    heads = np.cumsum(m) - m
+    new = np.append(True, ~hit[:-1])[: len(hit)]
+    new[heads[m > 0]] = True
+    at = np.flatnonzero(new & hit)
+    last = np.append(new[1:] | ~hit[1:], True)[: len(hit)]
+    of = np.searchsorted(heads, at, side="right") - 1
+    return at - heads[of], np.flatnonzero(last & hit) + 1 - at, np.bincount(of, minlength=len(m))
+
+
 def _count_windows(packs: list[int], data: list[bytes]) -> list[tuple]:
     unzip = zstandard.ZstdDecompressor()
-    parts = [pickle.loads(unzip.decompress(d)) for d in data]
+    parts = [_from_columns(WINDOWS, unzip.decompress(d)) for d in data]
     key, times = np.concatenate([x[0] for x in parts]), np.concatenate([x[1] for x in parts]).astype(np.int64)
     _, place = np.unique(key, return_inverse=True)
     again = np.bincount(place, weights=times)[place] > 1

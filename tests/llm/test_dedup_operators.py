@@ -106,6 +106,56 @@ def test_repeats_come_from_the_merge(docs, monkeypatch):
     assert not case().any()
 
 
+def test_only_what_is_asked_for_is_transformed(monkeypatch):
+    """Rows of a transform are the starts and what follows them by blocks; regions that all occur again have none."""
+    rng, rows, interleave = np.random.default_rng(2), [], suffix_dedup.interleave
+
+    def counted(before, *rest):
+        rows.append(len(before))
+        return interleave(before, *rest)
+
+    monkeypatch.setattr(suffix_dedup, "interleave", counted)
+    one, other = rng.integers(0, 256, (2, 409)).astype(np.uint8)
+    other[5:405] = one[5:405]
+    case = [np.array([1, 1]), np.array([10, 10]), np.array([409, 409]), np.concatenate([one, other])]
+    long, short = suffix_dedup.repeated_starts(*case, np.array([1, 1]), np.array([0, 1]), 400, 300, 100)
+    assert np.flatnonzero(long).tolist() == [5, 15] and np.flatnonzero(short).tolist() == [5, 6, 7, 8, 9, 15, 16, 17, 18, 19]
+    # Ten starts of each, four blocks and an end.
+    assert rows == [2 * 10 * 5]
+    long, short = suffix_dedup.repeated_starts(*case, np.array([2, 3]), np.array([0, 1]), 400, 300, 100)
+    assert long.all() and short.all() and len(rows) == 1
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text("ab", max_size=40), max_size=6), st.integers(1, 9), st.integers(1, 9), st.integers(1, 30), st.integers(1, 30))
+def test_runs_do_not_depend_on_steps(texts, gram, more, step, piece):
+    """Runs of least hashes, and the places of these, against a look at each window."""
+    length, raw = gram + more, np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.cumsum([0, *map(len, texts)])
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(suffix_dedup, "STEP", step)
+        m.setattr(suffix_dedup, "PIECE", piece)
+        starts, ends, least, places = suffix_dedup._runs(raw, offsets, length, gram)
+    runs, seen = [], set()
+    for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        for k in range(lo, hi - length + 1):
+            h = suffix_dedup.rolling(raw[k : k + length], gram).tolist()
+            seen |= {(k + j, x) for j, x in enumerate(h) if x == min(h)}
+            if runs and runs[-1][1:] == [k, min(h)] and (k - lo) % piece:
+                runs[-1][1] += 1
+            else:
+                runs.append([k, k + 1, min(h)])
+    assert [list(x) for x in zip(starts.tolist(), ends.tolist(), least.tolist(), strict=True)] == runs
+    assert places.tolist() == [x for _, x in sorted(seen)]
+
+
+def test_deal():
+    """Orders are stable, also of integers that don't fit beside their places."""
+    for key in ([], [3, 1, 3, 0, 1], [2**32, 5, 2**40, 5, 0]):
+        order, got = suffix_dedup._deal(np.array(key, np.int64), max(key, default=0))
+        assert order.tolist() == sorted(range(len(key)), key=lambda k: key[k]) and got.tolist() == sorted(key)
+
+
 THUE = "".join("ab"[bin(k).count("1") % 2] for k in range(2048))
 MORSE = THUE.translate(str.maketrans("ab", "ba"))
 
