@@ -1,10 +1,12 @@
 """N-gram Jaccard self-join by chosen paths.
 
 Each run samples shared tokens: a set of n shingles follows each of its tokens
-with probability 1 / (similarity * n), by a hash, so similar sets follow the
-same ones.  Sets that meet nobody leave; a bucket that is still large is split
-again by a second and third token.  Small buckets are compared by brute force.
-The number of runs follows from the target recall.
+1 / (similarity * n) times on average, by a hash, so similar sets follow the
+same ones.  All runs share one hash of a token: what they ask for together is
+a whole number of paths and a chance of one more.  Sets that meet nobody leave;
+a bucket that is still large is split again by a second and third token.  Small
+buckets are compared by brute force.  The number of runs follows from the
+target recall.
 
 Equal sets are one class beforehand.  Classes are dealt to chunks by their most
 frequent path.  The chunks of a path are compared with each other, and two
@@ -16,6 +18,7 @@ are counted in blocks and never emitted.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 import re
@@ -33,6 +36,7 @@ from streamloom.llm.substring_dedup import find_words
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.999999
 #: Common paths that a pair must have to be compared: texts with just a passage in common mostly have fewer.
 MEETINGS = 3
+SEED = np.uint64(0xD6E8FEB86659FD93)
 #: Bytes that may be broadcast to find texts.
 BROADCAST_BYTES = 16 << 20
 #: Buckets beyond this are split by another token; deeper tokens are sampled this much more densely, so a split loses little.
@@ -42,13 +46,18 @@ PROBE = 64
 #: Classes of a chunk, and shingles of them all, on average.
 CHUNK, CHUNK_SHINGLES = 2048, 1 << 21
 OTHER = re.compile(r"[\W_]+")
+#: What OTHER takes of ASCII, for texts of that alone.
+ASCII_OTHER = {c: " " for c in range(128) if OTHER.match(chr(c))}
+#: Values that meet in fewer than one of so many pairs are counted pair by pair, at most so many pairs at once; others by a product of matrices.
+RARE, PAIRS = 128, 1 << 20
 
 
 def runs_for(recall: float) -> int:
     """Least number of runs after which a pair at the threshold has ``MEETINGS`` common paths with this probability.
 
-    A run leads such a pair along one common path on average, by independent
-    choices, so the number is about Poisson.
+    A run leads such a pair along one common path at least on average.  The
+    number is a sum of independent choices, of one a shared token, and a
+    Poisson number of that mean is small more often.
     """
     runs = 1
     while math.exp(-runs) * sum(runs**k / math.factorial(k) for k in range(MEETINGS)) > 1 - recall:
@@ -56,28 +65,42 @@ def runs_for(recall: float) -> int:
     return runs
 
 
+@functools.cache
+def _is_word() -> np.ndarray:
+    """For every character whether it belongs to a word: what OTHER doesn't take."""
+    return np.array([chr(c).isalnum() for c in range(0x110000)])
+
+
+def _words(text: str) -> str:
+    """The text in lower case, with blanks for what is in no word."""
+    text = text.lower()
+    if text.isascii():
+        return text.translate(ASCII_OTHER)
+    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    return np.where(_is_word()[points], points, np.uint32(32)).tobytes().decode("utf-32-le")
+
+
 def shingle_sets(texts: list[str], n: int = WORDS) -> Iterator[np.ndarray]:
     """Sorted distinct hashes of the word n-grams of each text.
 
     Words are lower-case runs of letters and digits.  A text of fewer than n
     words, but at least one, has one shingle of all of them.
     """
-    plain = pa.array([OTHER.sub(" ", t.lower()) for t in texts], pa.string())
-    raw, offsets = text_bytes(plain)
+    raw, offsets = text_bytes(pa.array([_words(t) for t in texts], pa.string()))
     starts, ends, doc = find_words(raw, offsets)
     words = words_hash(raw, starts, ends)
     first = np.searchsorted(doc, np.arange(len(texts) + 1))
     size = np.diff(first)
-    short = np.flatnonzero((size > 0) & (size < n))
-    at = np.flatnonzero(doc[: len(doc) - n + 1] == doc[n - 1 :]) if len(doc) >= n else np.zeros(0, np.int64)
-    few = [short[size[short] == k] for k in range(1, n)]
-    h = np.concatenate([runs_hash(words, n)[at], *(runs_hash(words, k)[first[own]] for k, own in enumerate(few, 1))])
-    of = np.concatenate([doc[at], *few])
-    order = np.lexsort((h, of))
-    h, of = h[order], of[order]
-    new = np.append(True, (h[1:] != h[:-1]) | (of[1:] != of[:-1])) if len(h) else np.zeros(0, bool)
-    h, of = h[new], of[new]
-    yield from np.split(h, np.searchsorted(of, np.arange(1, len(texts))))
+    # Of a document with n words, the runs that start at all but its last n - 1.
+    runs = runs_hash(words, n)
+    sets = [runs[a : a + k - n + 1] if k >= n else runs[:0] for a, k in zip(first.tolist(), size.tolist(), strict=False)]
+    for k in range(1, n):
+        own = np.flatnonzero(size == k)
+        for i, h in zip(own.tolist(), runs_hash(words[first[own][:, None] + np.arange(k)].ravel(), k)[::k], strict=True):
+            sets[i] = np.array([h])
+    for h in sets:
+        h = np.sort(h)
+        yield h[np.append(True, h[1:] != h[:-1])] if len(h) else h
 
 
 def _class(hashes: np.ndarray) -> bytes | None:
@@ -97,20 +120,26 @@ def _follow(hashes: np.ndarray, seeds: np.ndarray, rate: float) -> list[np.ndarr
     return out
 
 
-def _seeds(n: int) -> np.ndarray:
-    return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+def _paths(hashes: np.ndarray, rate: float) -> np.ndarray:
+    """The paths that a set follows in all runs: each token has ``rate`` by the set's size, whole ones and one more by a hash.
+
+    A smaller set follows all that a larger one does along their shared tokens.
+    """
+    each, part = divmod(rate / len(hashes), 1)
+    t = mix(hashes ^ SEED)
+    more = t[mix(t ^ np.uint64(each)) <= np.uint64(min(2**64 - 1, int(2**64 * part)))]
+    return np.concatenate([*(mix(t + np.uint64(k)) for k in range(int(each))), mix(more + np.uint64(each))])
 
 
 def _classify(docs: DataFrame, n: int, similarity: float, runs: int) -> DataFrame:
     """doc_id, cid, size and paths of the first level."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds = _seeds(runs)
         for b in slices(batches):
             cids, sizes, paths = [], [], []
             for h in shingle_sets(b.column(1).to_pylist(), n):
                 cids.append(_class(h))
                 sizes.append(len(h))
-                paths.append(np.concatenate(_follow(h, seeds, 1 / similarity)).view(np.int64) if len(h) else np.zeros(0, np.int64))
+                paths.append(_paths(h, runs / similarity).view(np.int64) if len(h) else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cids, pa.binary()), pa.array(sizes, pa.int64()), pa.array(paths, pa.list_(pa.int64()))], names=["doc_id", "cid", "size", "paths"])
 
     return map_arrow(docs, run, "doc_id long, cid binary, size long, paths array<long>")
@@ -227,6 +256,12 @@ def _common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     ca, cb = np.searchsorted(both, va), np.searchsorted(both, vb)
     ka, kb = both[np.minimum(ca, len(both) - 1)] == va, both[np.minimum(cb, len(both) - 1)] == vb
     ra, ca, rb, cb = ra[ka], ca[ka], rb[kb], cb[kb]
+    na, nb = np.bincount(ca, minlength=len(both)), np.bincount(cb, minlength=len(both))
+    often = na * nb * RARE >= len(a) * len(b)
+    _add_pairs(out, ra, ca, rb, cb, nb, ~often)
+    both = np.flatnonzero(often)
+    ka, kb = often[ca], often[cb]
+    ra, ca, rb, cb = ra[ka], np.searchsorted(both, ca[ka]), rb[kb], np.searchsorted(both, cb[kb])
     for lo in range(0, len(both), step := 1 << 10):
         hi = min(lo + step, len(both))
         ma, mb = np.zeros((len(a), hi - lo), np.float32), np.zeros((len(b), hi - lo), np.float32)
@@ -237,6 +272,22 @@ def _common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _add_pairs(out: np.ndarray, ra: np.ndarray, ca: np.ndarray, rb: np.ndarray, cb: np.ndarray, nb: np.ndarray, which: np.ndarray) -> None:
+    """Add one to ``out`` for every pair of rows and each of the values ``which`` they share; ``nb`` counts the rows of a value in b."""
+    rb = rb[np.argsort(cb, kind="stable")]
+    first = np.cumsum(nb) - nb
+    keep = which[ca]
+    ra, ca = ra[keep], ca[keep]
+    done = np.append(0, np.cumsum(nb[ca]))
+    flat, lo = out.reshape(-1), 0
+    while lo < len(ca):
+        hi = max(lo + 1, int(np.searchsorted(done, done[lo] + PAIRS, side="right")) - 1)
+        times = nb[ca[lo:hi]]
+        at = np.arange(done[hi] - done[lo]) + np.repeat(first[ca[lo:hi]] - (done[lo:hi] - done[lo]), times)
+        np.add.at(flat, np.repeat(ra[lo:hi] * len(out[0]), times) + rb[at], np.float32(1))
+        lo = hi
+
+
 class Side:
     """Classes of one side of a comparison, as columns."""
 
@@ -300,6 +351,15 @@ def _compare(rows: list[dict], similarity: float) -> list[tuple[bytes, bytes, in
     """(cid, least linked cid or itself, documents linked) of the classes of one unit."""
     if len(rows) < 2:
         return []
+    if len(rows) == 2:
+        x, y = rows
+        p, q = (np.frombuffer(r["hashes"], np.uint64) for r in rows)
+        if not _few(rows):
+            return []
+        inter = len(np.intersect1d(p, q, assume_unique=True))
+        if inter < similarity * (len(p) + len(q) - inter) - 1e-6:
+            return []
+        return [(x["cid"], x["cid"], y["copies"]), (y["cid"], x["cid"], x["copies"])]
     a, b, wide = _sides(rows)
     meets = _meets(a, b, wide)
     rows_, cols = np.flatnonzero(meets.any(axis=1)), np.flatnonzero(meets.any(axis=0))

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -12,7 +13,7 @@ from hypothesis import strategies as st
 from oracle import compare
 from pyspark.sql import functions as F
 
-from streamloom.llm import decontaminate, jaccard_join, substring_dedup, suffix_dedup
+from streamloom.llm import common, decontaminate, jaccard_join, substring_dedup, suffix_dedup
 from streamloom.llm import queries as q
 from streamloom.llm.components import components
 
@@ -261,6 +262,59 @@ def test_join_of_large_buckets(spark, monkeypatch):
     assert sum(links.values()) > 1000
 
 
+@pytest.mark.parametrize("rare", [1, 128, 10**9])
+def test_common_values(monkeypatch, rare):
+    """Pair by pair, by matrices and by both: the same counts."""
+    monkeypatch.setattr(jaccard_join, "RARE", rare)
+    monkeypatch.setattr(jaccard_join, "PAIRS", 50)
+    rng = np.random.default_rng(2)
+    a, b = ([np.unique(rng.zipf(1.3, rng.integers(0, 60)) % 500).astype(np.uint64) for _ in range(k)] for k in (70, 33))
+    want = [[len(np.intersect1d(x, y)) for y in b] for x in a]
+    assert jaccard_join._common(a, b).tolist() == want
+    assert jaccard_join._common(a, a).tolist() == [[len(np.intersect1d(x, y)) for y in a] for x in a]
+    assert not jaccard_join._common(a, [x + np.uint64(500) for x in b]).any()
+
+
+def test_rare_common_values_cost_their_pairs():
+    """60000 values that two classes of either side share: products of matrices of all of them take many seconds."""
+    values = np.random.default_rng(3).permutation(np.repeat(np.arange(60_000, dtype=np.uint64), 2)).reshape(2000, 60)
+    sets = [np.unique(x) for x in values]
+    before = time.process_time()
+    got = jaccard_join._common(sets, sets)
+    assert time.process_time() - before < 2
+    assert got.diagonal().tolist() == [len(x) for x in sets]
+    assert got.sum() == sum(int((k * k).sum()) for k in [np.unique(np.concatenate(sets), return_counts=True)[1]])
+
+
+def test_paths_of_all_runs_cost_one_pass(monkeypatch):
+    """A set of 2000 shingles is hashed about twice, not once a run, and follows as many paths as runs ask for."""
+    hashed = []
+    monkeypatch.setattr(jaccard_join, "mix", lambda h: (hashed.append(np.size(h)), common.mix(h))[1])
+    tokens = common.mix(np.arange(1, 200_001, dtype=np.uint64))
+    found = [len(np.unique(jaccard_join._paths(x, 25))) for x in np.split(tokens, 100)]
+    assert 23 < np.mean(found) < 27
+    assert sum(hashed) < 3 * len(tokens)
+
+
+@pytest.mark.parametrize("n", [1, 4, 5, 20, 300])
+def test_similar_sets_share_paths(n):
+    """A pair at the threshold has 20 common paths on average, and all that the larger set follows along shared tokens."""
+    shared = []
+    for k in range(300):
+        whole = common.mix(np.arange(1, n + 1, dtype=np.uint64) + np.uint64(1000 * k))
+        part = whole[: -(-4 * n // 5)]
+        small, large = (set(jaccard_join._paths(x, 20 / 0.8).tolist()) for x in (part, whole))
+        shared.append(len(small & large))
+    assert min(shared) >= jaccard_join.MEETINGS and np.mean(shared) > 19
+
+
+def test_words_of_every_character():
+    """The table of word characters is what the expression leaves, and texts of ASCII alone agree."""
+    for c in [*range(0x3000), *range(0x1D400, 0x1D800), 0x10FFFF]:
+        for text in (f"A{chr(c)}b", f"A{chr(c)}b\u00e9"):
+            assert jaccard_join._words(text).split(" ") == [x or "" for x in jaccard_join.OTHER.sub(" ", text.lower()).split(" ")]
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(100, 140)] + [(1, 1), (7, 3), (3, 9), (9, 7), (5, 7)]
     got = {(r.u, r.v) for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
